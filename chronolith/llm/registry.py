@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from chronolith.llm.packing import op4_query
+from chronolith.llm.toxicity import op3_query
 from chronolith.llm.token_counts import op5_query
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_lexicon_automaton_toxicity": op3_query,
         "op4_sum_of_squares_packing": op4_query,
         "op5_transducer_token_counts": op5_query,
     }
