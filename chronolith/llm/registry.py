@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronolith.llm.near_dedup import OP2_SQL, op2_query
 from chronolith.llm.packing import op4_query
 from chronolith.llm.toxicity import op3_query
 from chronolith.llm.token_counts import op5_query
@@ -13,6 +14,7 @@ from chronolith.llm.token_counts import op5_query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bagminhash_near_dedup": op2_query,
         "op3_lexicon_automaton_toxicity": op3_query,
         "op4_sum_of_squares_packing": op4_query,
         "op5_transducer_token_counts": op5_query,
@@ -20,4 +22,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_bagminhash_near_dedup": OP2_SQL,
+    }
