@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from chronolith.llm.near_dedup import OP2_SQL, op2_query
 from chronolith.llm.packing import op4_query
 from chronolith.llm.toxicity import op3_query
+from chronolith.llm.secret_scan import op10_query
 from chronolith.llm.token_counts import op5_query
 
 
@@ -18,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_lexicon_automaton_toxicity": op3_query,
         "op4_sum_of_squares_packing": op4_query,
         "op5_transducer_token_counts": op5_query,
+        "op10_markov_secret_scan": op10_query,
     }
 
 
