@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronolith.llm.decontaminate import op1_query
 from chronolith.llm.near_dedup import OP2_SQL, op2_query
 from chronolith.llm.packing import op4_query
 from chronolith.llm.toxicity import op3_query
@@ -15,6 +16,7 @@ from chronolith.llm.token_counts import op5_query
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_bm25_decontamination": op1_query,
         "op2_bagminhash_near_dedup": op2_query,
         "op3_lexicon_automaton_toxicity": op3_query,
         "op4_sum_of_squares_packing": op4_query,
