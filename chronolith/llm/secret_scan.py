@@ -84,7 +84,7 @@ def labelled_strings(docs: DataFrame, *, max_docs: int = SAMPLE_DOCS, max_random
     chosen = docs.where("text is not null").select("doc_id", F.substring("text", 1, 20_000).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     words = F.filter(F.split("text", r"[^A-Za-z]+"), lambda w: F.length(w) > 1)
     pair = lambda w, i: F.array(F.concat_ws("_", F.lower(w), F.lower(F.get(F.col("w"), i + 1))), F.concat(F.lower(w), F.initcap(F.coalesce(F.get(F.col("w"), i + 1), F.lit("")))), F.concat_ws("-", w, F.get(F.col("w"), i + 1)), F.upper(w))
-    names = chosen.select(words.alias("w")).select(F.explode(F.flatten(F.transform("w", pair))).alias("s")).withColumn("random", F.lit(0))
+    names = chosen.select(words.alias("w")).select(F.explode_outer(F.flatten(F.transform("w", pair))).alias("s")).where("s is not null").withColumn("random", F.lit(0))
     digest = F.sha2(F.col("id").cast("string"), 256)
     raw = F.base64(F.unhex(digest))
     kinds = F.array(F.substring(digest, 1, 40), F.substring(raw, 1, 40), F.upper(F.substring(F.translate(raw, "+/=", "XYZ"), 1, 24)), F.substring(F.translate(raw, "+/=", "_-a"), 5, 32))
@@ -94,7 +94,7 @@ def labelled_strings(docs: DataFrame, *, max_docs: int = SAMPLE_DOCS, max_random
 def train_markov(sample: DataFrame) -> tuple[list[float], float]:
     """Log-ratios of all character pairs, row by row of the alphabet, and the threshold for a run's mean."""
     n = len(ALPHABET)
-    grams = sample.select("random", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.substring(F.col("s"), i, 2))).alias("g")).where(F.length("g") == 2)
+    grams = sample.select("random", F.explode_outer(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.substring(F.col("s"), i, 2))).alias("g")).where(F.length("g") == 2)
     counts = {(r.random, r.g): r.n for r in grams.groupBy("random", "g").agg(F.count("*").alias("n")).collect()}  # at most 2 * 67 * 67 rows count
     table = []
     for a in ALPHABET:

@@ -254,7 +254,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_
     model = ToxicityModel(prior=toxic / max(toxic + clean, 1))
     if not toxic or not clean:
         return model
-    counted = sample.select("y", F.explode(forms(F.col("text"))).alias("form")).groupBy("form").agg(
+    counted = sample.select("y", F.explode_outer(forms(F.col("text"))).alias("form")).where("form is not null").groupBy("form").agg(
         F.sum("y").cast("long").alias("a"), F.sum(1 - F.col("y")).cast("long").alias("b")
     )
     least = max(3, math.ceil(0.002 * toxic))  # forms below it cannot reach the least ratio with fewer documents
