@@ -34,7 +34,7 @@ def byte_alphabet() -> list[str]:
 class WordTokenizer:
     """Ids of whole texts as little-endian unsigned integers of ``width`` bytes."""
 
-    def __init__(self, path: str, width: int = 4):
+    def __init__(self, path: str, width: int = 4, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -49,6 +49,7 @@ class WordTokenizer:
         self.letter = byte_alphabet()
         self.code = {2: "H", 4: "I"}[width]
         self.width = width
+        self.entries = entries
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -58,7 +59,7 @@ class WordTokenizer:
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            if len(self.words) >= CACHE_ENTRIES:
+            if len(self.words) >= self.entries:
                 self.words.clear()
             letter = self.letter
             found = self.pack([t.id for t in self.model.tokenize("".join([letter[b] for b in word.encode()]))])
@@ -69,7 +70,7 @@ class WordTokenizer:
     def chunk(self, chunk: str) -> bytes:
         found = b"".join(map(self.word, self.pattern.findall(chunk)))
         if len(chunk) <= 64:
-            if len(self.chunks) >= CACHE_ENTRIES:
+            if len(self.chunks) >= self.entries:
                 self.chunks.clear()
             self.chunks[chunk] = found
         return found
@@ -93,11 +94,11 @@ class WordTokenizer:
         return b"".join(got)
 
 
-_made: dict[tuple[str, int], WordTokenizer] = {}
+_made: dict[tuple[str, int, int], WordTokenizer] = {}
 
 
-def word_tokenizer(path: str, width: int = 4) -> WordTokenizer:
+def word_tokenizer(path: str, width: int = 4, entries: int = CACHE_ENTRIES) -> WordTokenizer:
     """One tokenizer for each worker process and file."""
-    if (path, width) not in _made:
-        _made[path, width] = WordTokenizer(path, width)
-    return _made[path, width]
+    if (path, width, entries) not in _made:
+        _made[path, width, entries] = WordTokenizer(path, width, entries)
+    return _made[path, width, entries]
