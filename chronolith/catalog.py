@@ -295,8 +295,13 @@ def table_info(spark, d):
 
 # --- windows -----------------------------------------------------------------------------------------------------
 
-_W = Window.partitionBy("symbol").orderBy("timestamp", "id")
-_RUN = _W.rowsBetween(Window.unboundedPreceding, 0)
+def _w():
+    return Window.partitionBy("symbol").orderBy("timestamp", "id")
+
+
+def _run():
+    return _w().rowsBetween(Window.unboundedPreceding, 0)
+
 
 
 def _window(name: str, column: Callable[[], F.Column], sql: str) -> None:
@@ -308,14 +313,14 @@ def _window(name: str, column: Callable[[], F.Column], sql: str) -> None:
 
 
 _OVER = "OVER (PARTITION BY symbol ORDER BY timestamp, id {})"
-_window("win_row_number", lambda: F.row_number().over(_W).cast("long"), "row_number() " + _OVER.format(""))
-_window("win_lag_lead", lambda: F.lead("price", 2).over(_W) - F.lag("price").over(_W), f"lead(price, 2) {_OVER.format('')} - lag(price) {_OVER.format('')}")
-_window("win_running_sum", lambda: r(F.sum("price").over(_RUN), 4), f"round(sum(price) {_OVER.format('ROWS UNBOUNDED PRECEDING')}, 4)")
-_window("win_running_count", lambda: F.count("*").over(_RUN), f"count(*) {_OVER.format('ROWS UNBOUNDED PRECEDING')}")
-_window("win_rolling_avg", lambda: r(F.avg("price").over(_W.rowsBetween(-9, 0))), f"round(avg(price) {_OVER.format('ROWS BETWEEN 9 PRECEDING AND CURRENT ROW')}, 6)")
-_window("win_rolling_minmax", lambda: F.max("price").over(_W.rowsBetween(-9, 0)) - F.min("price").over(_W.rowsBetween(-9, 0)), f"max(price) {_OVER.format('ROWS BETWEEN 9 PRECEDING AND CURRENT ROW')} - min(price) {_OVER.format('ROWS BETWEEN 9 PRECEDING AND CURRENT ROW')}")
-_window("win_rolling_std", lambda: r(F.coalesce(F.stddev_samp("price").over(_W.rowsBetween(-9, 0)), F.lit(0.0)), 5), f"round(coalesce(stddev_samp(price) {_OVER.format('ROWS BETWEEN 9 PRECEDING AND CURRENT ROW')}, 0), 5)")
-_window("win_in_expr", lambda: r(F.col("price") / F.nullif(F.max("price").over(_RUN), F.lit(0.0)) * 100, 5), f"round(price / nullif(max(price) {_OVER.format('ROWS UNBOUNDED PRECEDING')}, 0) * 100, 5)")
+_window("win_row_number", lambda: F.row_number().over(_w()).cast("long"), "row_number() " + _OVER.format(""))
+_window("win_lag_lead", lambda: F.lead("price", 2).over(_w()) - F.lag("price").over(_w()), f"lead(price, 2) {_OVER.format('')} - lag(price) {_OVER.format('')}")
+_window("win_running_sum", lambda: r(F.sum("price").over(_run()), 4), f"round(sum(price) {_OVER.format('ROWS UNBOUNDED PRECEDING')}, 4)")
+_window("win_running_count", lambda: F.count("*").over(_run()), f"count(*) {_OVER.format('ROWS UNBOUNDED PRECEDING')}")
+_window("win_rolling_avg", lambda: r(F.avg("price").over(_w().rowsBetween(-9, 0))), f"round(avg(price) {_OVER.format('ROWS BETWEEN 9 PRECEDING AND CURRENT ROW')}, 6)")
+_window("win_rolling_minmax", lambda: F.max("price").over(_w().rowsBetween(-9, 0)) - F.min("price").over(_w().rowsBetween(-9, 0)), f"max(price) {_OVER.format('ROWS BETWEEN 9 PRECEDING AND CURRENT ROW')} - min(price) {_OVER.format('ROWS BETWEEN 9 PRECEDING AND CURRENT ROW')}")
+_window("win_rolling_std", lambda: r(F.coalesce(F.stddev_samp("price").over(_w().rowsBetween(-9, 0)), F.lit(0.0)), 5), f"round(coalesce(stddev_samp(price) {_OVER.format('ROWS BETWEEN 9 PRECEDING AND CURRENT ROW')}, 0), 5)")
+_window("win_in_expr", lambda: r(F.col("price") / F.nullif(F.max("price").over(_run()), F.lit(0.0)) * 100, 5), f"round(price / nullif(max(price) {_OVER.format('ROWS UNBOUNDED PRECEDING')}, 0) * 100, 5)")
 
 
 @query(f"WITH {TICKS} SELECT id, rank() OVER (PARTITION BY symbol ORDER BY volume) AS x FROM ticks")
@@ -509,8 +514,8 @@ _indicator("rolling_std_pop", lambda: {"std": S.std("close", 20)}, {"std": _full
 _indicator("rolling_min_max", lambda: {"low": S.least("close", 20), "high": S.greatest("close", 20)}, {"low": f"min(close) {_B.format(19)}", "high": f"max(close) {_B.format(19)}"})
 _mid, _dev = f"avg(close) {_B.format(19)}", f"stddev_pop(close) {_B.format(19)}"
 _indicator("bollinger", lambda: S.bollinger("close"), {"middle": _full(20, _mid), "upper": _full(20, f"{_mid} + 2 * {_dev}"), "lower": _full(20, f"{_mid} - 2 * {_dev}"), "bandwidth": _full(20, f"4 * {_dev} / {_mid}")})
-_indicator("vwap_cum", lambda: {"vwap": S.vwap()}, {"vwap": f"sum((high + low + close) / 3 * volume) {_B.format('UNBOUNDED')} / sum(volume) {_B.format('UNBOUNDED')}"})
-_indicator("vwap_rolling", lambda: {"vwap": S.vwap(10)}, {"vwap": f"sum((high + low + close) / 3 * volume) {_B.format(9)} / sum(volume) {_B.format(9)}"})
+_indicator("vwap_cum", lambda: {"vwap": S.vwap()}, {"vwap": f"coalesce(sum((high + low + close) / 3 * volume) {_B.format('UNBOUNDED')} / nullif(sum(volume) {_B.format('UNBOUNDED')}, 0), 0)"})
+_indicator("vwap_rolling", lambda: {"vwap": S.vwap(10)}, {"vwap": f"coalesce(sum((high + low + close) / 3 * volume) {_B.format(9)} / nullif(sum(volume) {_B.format(9)}, 0), 0)"})
 _indicator("volatility", lambda: {"volatility": S.volatility("close", 20)}, {"volatility": f"{_dev} / {_mid}"})
 
 

@@ -19,8 +19,14 @@ class Series:
 
     def __init__(self, keys: list[str], order: list[str]):
         self.keys, self.order = keys, order
-        self.by = Window.partitionBy(*keys).orderBy(*order)
-        self.running = self.by.rowsBetween(Window.unboundedPreceding, 0)
+
+    @property
+    def by(self):
+        return Window.partitionBy(*self.keys).orderBy(*self.order)
+
+    @property
+    def running(self):
+        return self.by.rowsBetween(Window.unboundedPreceding, 0)
 
     def last(self, n: int):
         return self.by.rowsBetween(1 - n, 0)
