@@ -117,16 +117,16 @@ def mean_ratio(s: Column, table: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), one) / (F.length(s) - 1)
 
 
-def with_secret_spans(docs: DataFrame, model: tuple[list[float], float], *, text_col: str = "text") -> DataFrame:
-    """Adds ``base_spans`` and ``secret_spans`` (all): arrays of (start, kind's number in KINDS, end) in order."""
+def with_secret_spans(docs: DataFrame, model: tuple[list[float], float], *, text_col: str = "text", out: tuple[str, str] = ("base_spans", "secret_spans")) -> DataFrame:
+    """Adds the base spans and all spans: arrays of (start, kind's number in KINDS, end) in order, as the columns ``out``
+    (in place of columns of those names)."""
     table, threshold = model
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn("base_spans", base_spans(text))
+    found = docs.withColumn(out[0], base_spans(text))
     run = rf"[A-Za-z0-9+/_=-]{{{RUN},}}"
-    mixed = rf"{run}"
-    more = _spans(text, "random", mixed, run, lambda m: mean_ratio(m["part"], table) >= F.lit(threshold)) if threshold < math.inf else F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    free = F.filter(more, lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return found.withColumn("secret_spans", F.array_sort(F.concat("base_spans", free)))
+    more = _spans(text, "random", run, run, lambda m: mean_ratio(m["part"], table) >= F.lit(threshold)) if threshold < math.inf else F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    free = F.filter(more, lambda m: ~F.exists(F.col(out[0]), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return found.withColumn(out[1], F.array_sort(F.concat(F.col(out[0]), free)))
 
 
 def joined(spans: Column) -> Column:

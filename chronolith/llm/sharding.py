@@ -7,7 +7,8 @@ of a hash of key and text, then, where rows are equal, of a row number: so a hot
 row above the limit is a shard of its own.
 
 Cases: null keys and texts are hashed as empty ones; repeated rows may fall into different shards once their
-bucket is too large; ties do not matter; an empty table gives no rows; extra columns are kept.
+bucket is too large; ties do not matter; an empty table gives no rows; extra columns are kept, but for those of
+the added columns' names.
 """
 
 from __future__ import annotations
@@ -40,11 +41,15 @@ def assign_shards(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "
     text = F.coalesce(F.col(text_col), F.lit(""))
     left = docs.withColumns({"_size": F.octet_length(text).cast("long"), "_prefix": F.lit(""), "_row": F.lit("0")})
     done: list[DataFrame] = []
+    kept = [c for c in docs.columns if c not in ("shard", "depth", "doc_bytes", "shard_bytes")]
+    names = [F.col(c) for c in kept]
     for k in range(ROUNDS):
         if k == 8:  # equal rows: number them once, in a table that a lost executor cannot renumber
             left = materialize(left.withColumn("_row", F.monotonically_increasing_id().cast("string")), "equal-rows")
         total = left.agg(F.sum("_size")).first()[0]
         if total is None:
+            if not done:
+                done.append(left.select(*names, F.lit("").alias("shard"), "_size", F.col("_size").alias("_bytes")))
             break
         bits = min(MOST_BITS, 3 + max(math.ceil(math.log2(max(total, 1) / limit)), 0))
         rows = left.withColumn("_fine", F.shiftright(_round_bits(k, key, text, F.col("_row")), 32 - bits))
@@ -52,15 +57,14 @@ def assign_shards(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "
         depths = fine.select("*", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("d")).withColumn("p", F.expr(f"shiftright(_fine, {bits} - d)"))
         fits = depths.groupBy("_prefix", "d", "p").agg(F.sum("b").alias("bytes")).where(F.col("bytes") <= limit)
         # the shortest prefix that fits, for each fine bucket
-        mine = depths.join(fits, ["_prefix", "d", "p"]).groupBy("_prefix", "_fine").agg(F.min(F.struct("d", "bytes")).alias("m"))
+        mine = depths.join(fits, ["_prefix", "d", "p"]).groupBy("_prefix", "_fine").agg(F.min(F.struct("d", "bytes")).alias("_m"))
         placed = rows.join(mine, ["_prefix", "_fine"], "left")
-        of = F.expr(f"substring(lpad(bin(_fine), {bits}, '0'), 1, m.d)")
-        names = [F.col(c) for c in docs.columns]
-        done.append(placed.where("m is not null").select(*names, F.concat("_prefix", of).alias("shard"), "_size", F.col("m.bytes").alias("bytes")))
+        of = F.expr(f"substring(lpad(bin(_fine), {bits}, '0'), 1, _m.d)")
+        done.append(placed.where("_m is not null").select(*names, F.concat("_prefix", of).alias("shard"), "_size", F.col("_m.bytes").alias("_bytes")))
         # a single row above the limit, or nothing left to tell rows apart
-        rest = placed.where("m is null").withColumn("_prefix", F.concat("_prefix", F.expr(f"lpad(bin(_fine), {bits}, '0')")))
-        done.append(rest.where(F.col("_size") > limit).select(*names, F.concat("_prefix", F.lit("-"), F.md5(F.concat_ws("\n", key, text).cast("binary"))).alias("shard"), "_size", F.col("_size").alias("bytes")))
-        left = rest.where(F.col("_size") <= limit).select(*docs.columns, "_size", "_prefix", "_row")
+        rest = placed.where("_m is null").withColumn("_prefix", F.concat("_prefix", F.expr(f"lpad(bin(_fine), {bits}, '0')")))
+        done.append(rest.where(F.col("_size") > limit).select(*names, F.concat("_prefix", F.lit("-"), F.md5(F.concat_ws("\n", key, text).cast("binary"))).alias("shard"), "_size", F.col("_size").alias("_bytes")))
+        left = rest.where(F.col("_size") <= limit).select(*names, "_size", "_prefix", "_row")
         if not left.take(1):
             break
         left = materialize(left, "oversized")
@@ -68,7 +72,7 @@ def assign_shards(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "
     for x in done[1:]:
         out = out.unionByName(x)
     depth = F.length(F.substring_index("shard", "-", 1)).cast("int")
-    return out.select(*docs.columns, "shard", depth.alias("depth"), F.col("_size").alias("doc_bytes"), F.col("bytes").alias("shard_bytes"))
+    return out.select(*kept, "shard", depth.alias("depth"), F.col("_size").alias("doc_bytes"), F.col("_bytes").alias("shard_bytes"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:

@@ -271,8 +271,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_
     return model
 
 
-def with_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text") -> DataFrame:
-    """Adds ``toxicity``: a struct of ``score`` (0 to 1), ``n_matches`` and ``n_quoted``."""
+def with_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", out: str = "toxicity") -> DataFrame:
+    """Adds ``out`` (in place of a column of that name): a struct of ``score`` (0 to 1), ``n_matches`` and ``n_quoted``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_TERMS terms and a sample's misspellings
 
     @F.pandas_udf("struct<score double, n_matches int, n_quoted int>")
@@ -281,7 +281,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "tex
         found = [scorer.matches(t) for t in texts]
         return pd.DataFrame({"score": [scorer.score(f) for f in found], "n_matches": [len(f) for f in found], "n_quoted": [sum(h[3] for h in f) for f in found]})
 
-    return docs.withColumn("toxicity", toxicity(F.col(text_col)))
+    return docs.withColumn(out, toxicity(F.col(text_col)))
 
 
 def held_out(doc_id: Column) -> Column:

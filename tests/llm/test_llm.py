@@ -1,0 +1,511 @@
+"""The training-data operators against brute force, the tokenizers' libraries, and hard rows."""
+
+import hashlib
+import random
+import re
+import struct
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from chronolith.llm import bagminhash as bmh
+from chronolith.llm import binary_packing, decontaminate, near_dedup, packing, quality, secret_scan, sharding, token_counts, toxicity, warc
+from chronolith.llm.bpe_words import WordTokenizer
+
+SF = "/root/testdata/sf0.001"
+WORDS = P.path("word_bpe_49k.json")
+PIECES = P.path("piece_bpe_32k.model")
+ODD = ["", "  ", "Don't STOP we've", "ΣΑΣ Σ", "a\x1cb", "áé́ ́", "İstanbul ẞ", "<|startoftext|>hi", "日本語 12345 🙃🙃e", "   x  y   ", "▁▁a▁b", "<s>hi</s>", "\n\n a\tb", "\x00a", " " * 37 + "x"]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist()
+
+
+@pytest.fixture(scope="module")
+def hard(spark):
+    """Nulls, empty and very long texts, repeated rows, and columns whose names clash."""
+    long = " ".join(f"word{i % 977} thing{i % 13}" for i in range(60_000))
+    rows = [(1, None), (2, ""), (3, long), (4, "alpha beta gamma delta epsilon zeta"), (4, "alpha beta gamma delta epsilon zeta"), (5, "ALPHA beta gamma delta epsilon zeta"), (None, "token = 'abcdef123456'"), (6, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.select("*", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length("text").cast("long").alias("n_chars"), *[F.lit("clash").alias(c) for c in ("id", "node", "key", "score", "leaks", "toxicity", "shard", "m", "bytes", "base_spans", "label")])
+
+
+# --- tokenizers --------------------------------------------------------------------------------------------------
+
+
+def test_word_tokenizer_equals_library(texts):
+    from tokenizers import Tokenizer
+
+    own, lib = WordTokenizer(WORDS), Tokenizer.from_file(WORDS)
+    for t in texts[:150] + ODD:
+        got = own.encode(t)
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_transducer_equals_library(texts, monkeypatch):
+    import sentencepiece
+
+    t, sp = token_counts.Transducer(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rng = random.Random(1)
+    parts = ["a", "b", " ", "  ", "the", "ing", "é", "日", "\n", "▁", "in", "qu", "tion", "🙃", "0", "12", "A", ","]
+    cases = texts[:150] + ODD + ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(800)]
+    want = [len(sp.encode(x)) for x in cases]
+    assert [t.tokens(x) for x in cases] == want
+    monkeypatch.setattr(token_counts, "CHUNK", 61)
+    assert [t.tokens(x) for x in cases] == want
+
+
+def test_scan_composes_all_prefixes():
+    t = token_counts.Transducer(PIECES)
+    text = "▁the▁quick▁brown▁fox▁jumps▁over"
+    maps = [t.map_of(text[a : a + 4]) for a in range(0, len(text), 4)]
+    got = [t.total(m) for m in t.scan(maps)]
+    assert got == [t.total(t.map_of(text[: 4 * k + 4])) for k in range(len(maps))]
+
+
+def test_op5_hard_rows(spark, hard):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for r in token_counts.count_tokens(hard, PIECES).join(hard.select("doc_id", "text").distinct(), "doc_id").collect():
+        assert (r.n_bytes, r.n_tokens) == (len((r.text or "").encode()), len(sp.encode(r.text or "")))
+    assert token_counts.count_tokens(hard.limit(0), PIECES).count() == 0
+
+
+# --- packing -----------------------------------------------------------------------------------------------------
+
+
+def check_pieces(rows, tokens, window):
+    """Each token once, windows gapless."""
+    by_doc, by_window = defaultdict(list), defaultdict(list)
+    for doc, start, length, win, offset in rows:
+        by_doc[doc].append((start, length))
+        by_window[win].append((offset, length))
+    assert {d: sum(n for _, n in p) for d, p in by_doc.items()} == {d: n for d, n in tokens.items() if n}
+    for pieces in by_doc.values():
+        at = 0
+        for start, length in sorted(pieces):
+            assert start == at
+            at += length
+    for pieces in by_window.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= window
+    return {w: sum(n for _, n in p) for w, p in by_window.items()}
+
+
+def test_sum_of_squares():
+    rng = random.Random(3)
+    packer, tokens, rows = packing.SumOfSquares(256, 8), {}, []
+    for i in range(2000):
+        tokens[i] = int(rng.lognormvariate(4, 1)) + 1
+        rows += packer.add(i, tokens[i])
+    rows += packer.finish()
+    fill = check_pieces(rows, tokens, 256)
+    assert all(n == 256 or n & (n - 1) == 0 for n in fill.values())
+    assert sum(n < 256 for n in fill.values()) <= 9
+
+
+def test_op4(spark, hard, texts):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(WORDS)
+    df = packing.pack_documents(hard.where("doc_id is not null").dropDuplicates(["doc_id"]), WORDS, window=64)
+    rows = df.collect()
+    want = {r.doc_id: lib.encode(r.text or "", add_special_tokens=False).ids + [1] for r in hard.select("doc_id", "text").dropDuplicates(["doc_id"]).collect()}
+    check_pieces([(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in rows], {k: len(v) for k, v in want.items() if k is not None}, 64)
+    for r in rows:
+        assert r.ids == struct.pack(f"<{r.length}I", *want[r.doc_id][r.start : r.start + r.length])
+    assert packing.pack_documents(hard.limit(0), WORDS).count() == 0
+    assert packing.pack_documents(hard, WORDS).agg(F.sum("length")).first()[0] > sum(map(len, want.values()))
+
+
+def test_best_fit_decreasing():
+    rng = random.Random(5)
+    for _ in range(20):
+        lengths = [rng.randrange(0, 300) for _ in range(200)]
+        windows = binary_packing.best_fit_decreasing(lengths, 100)
+        # brute force: the same number of windows by a linear search for the tightest fit
+        rest, n = [], sum(x // 100 for x in lengths)
+        for s in sorted((x % 100 for x in lengths if x % 100), reverse=True):
+            fit = [x for x in rest if x >= s]
+            if fit:
+                rest.remove(min(fit))
+                rest.append(min(fit) - s)
+            else:
+                n += 1
+                rest.append(100 - s)
+        assert len(windows) == n
+        got = Counter()
+        for w in windows:
+            assert sum(p[2] for p in w) <= 100
+            for d, _, k in w:
+                got[d] += k
+        assert got == Counter({i: x for i, x in enumerate(lengths) if x})
+    assert list(binary_packing.position_ids([0, 2, 5])) == [0, 1, 0, 1, 2]
+
+
+def test_op7_round_trip(spark, hard):
+    rows = binary_packing.write_matrices(hard, WORDS, window=128, block_tokens=20_000)
+    got = defaultdict(list)
+    for r in binary_packing.read_pieces(rows, window=128).collect():
+        got[r.id].append((r.start, r.length, r.ids_crc32))
+    own = WordTokenizer(WORDS)
+    for r in hard.where("doc_id not in (4)").collect():
+        ids = own.encode(r.text or "") + (49407).to_bytes(4, "little")
+        assert sum(n for _, n, _ in got[r.doc_id]) == len(ids) // 4
+        for s, n, crc in got[r.doc_id]:
+            assert crc == zlib.crc32(ids[4 * s : 4 * (s + n)])
+    assert binary_packing.read_pieces(binary_packing.write_matrices(hard.limit(0), WORDS)).count() == 0
+
+
+# --- near duplicates ---------------------------------------------------------------------------------------------
+
+
+def test_signatures_estimate_weighted_jaccard():
+    rng = random.Random(7)
+    errors = []
+    for _ in range(60):
+        base = [rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(120)]
+        other = [w if rng.random() > 0.1 else rng.choice("xyz") for w in base]
+        a, b = bmh.bag(" ".join(base), 2), bmh.bag(" ".join(other), 2)
+        s = bmh.signatures([a, b], 256)
+        errors.append((s[0] == s[1]).mean() - bmh.weighted_jaccard(a, b))
+    assert abs(np.mean(errors)) < 0.015
+    assert np.std(errors) < 0.05
+
+
+def brute_classes(rows):
+    bags = {}
+    for i, t in rows:
+        w = (t or "").lower().encode().split()
+        bags[i] = Counter(tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))) if w else Counter()
+    root = {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    text = {i: t or "" for i, t in rows}
+    for a in text:
+        for b in text:
+            if a < b:
+                o, n = sum((bags[a] & bags[b]).values()), sum(bags[a].values()) + sum(bags[b].values())
+                if text[a] == text[b] or (n > o and o >= 0.8 * (n - o) - 1e-9):
+                    x, y = find(a), find(b)
+                    root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in text}
+
+
+def test_near_duplicate_classes(spark, monkeypatch):
+    rng = random.Random(11)
+    rows, n = [], 0
+    for g in range(6):
+        base = [f"w{g}x{rng.randrange(400)}" for _ in range(90)]
+        for _ in range(14):
+            copy = list(base)
+            for _ in range(rng.randrange(5)):
+                copy[rng.randrange(90)] = f"e{rng.random()}"
+            rows.append((n, " ".join(copy)))
+            n += 1
+    rows += [(n, None), (n + 1, ""), (n + 2, "a b"), (n + 3, "a b"), (n + 4, "A b")]
+    monkeypatch.setattr(near_dedup, "LEAST_BLOCK", 4)  # several blocks for each hub
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, node string")
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(df).collect()}
+    assert got == brute_classes(rows)
+    kept = {r.doc_id for r in near_dedup.keep_one(df).collect()}
+    assert kept == set(got.values())
+
+
+def test_op2_hard_rows(spark, hard):
+    rows = near_dedup.near_duplicate_classes(hard).collect()
+    got = {(r.doc_id, r.class_id) for r in rows}
+    assert len(rows) == hard.count()
+    assert got == {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6), (None, None)}
+    assert near_dedup.near_duplicate_classes(hard.limit(0)).count() == 0
+    assert near_dedup.keep_one(hard).columns == hard.columns
+
+
+# --- toxicity ----------------------------------------------------------------------------------------------------
+
+
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_automaton_equals_edit_distance():
+    rng = random.Random(13)
+    terms = ["idiot$", "scum$", "worthless$", "pathetically$", "vequ", "lostra"]
+    automaton = toxicity.LexiconAutomaton(terms)
+    for _ in range(3000):
+        w = list(rng.choice(terms).rstrip("$"))
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randrange(2)] = rng.choice(["", "a", "o", "z"])
+        word = "".join(w)
+        want = [(levenshtein(word, t[:-1]), t) for t in terms if t.endswith("$") and levenshtein(word, t[:-1]) <= toxicity.allowed(t)]
+        want += [(0, t) for t in terms if not t.endswith("$") and word.startswith(t)]
+        got = automaton.match(word)
+        assert (got is None) == (not want)
+        if got:
+            assert got[1] == min(want)[0] and (got[1], got[0]) in want
+
+
+def test_quotation_counts_less():
+    model = toxicity.ToxicityModel({"idiot$": 6.0}, frozenset(), (2.0, 0.5, 0.2, 0.5), -4.0, 0.1)
+    s = toxicity.Scorer(model)
+    score = lambda t: s.score(s.matches(t))
+    assert score("you are an idiot and a fool") > score('he said "idiot is a rude word" and left') > score("")
+    assert score("you are an idiott and a fool") > 0.5
+
+
+def test_op3_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit_toxicity(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    out = labels.where(toxicity.held_out(F.col("doc_id")))
+    rows = toxicity.with_toxicity(docs.join(F.broadcast(out), "doc_id"), model).select("toxic", "toxicity.score").collect()
+    tp = sum(r.score >= 0.5 and r.toxic == 1 for r in rows)
+    fp = sum(r.score >= 0.5 and r.toxic == 0 for r in rows)
+    toxic = sum(r.toxic for r in rows)
+    assert tp / toxic > 0.88 and fp / (len(rows) - toxic) < 0.02
+
+
+def test_op3_hard_rows(spark, hard):
+    labels = spark.createDataFrame([(4, 1), (4, 0), (5, 0), (None, 1), (6, None)], "doc_id long, toxic int")
+    model = toxicity.fit_toxicity(hard, labels)
+    rows = toxicity.with_toxicity(hard, model, out="t").select("t.score").collect()
+    assert len(rows) == hard.count() and all(0 <= r.score <= 1 for r in rows)
+    model = toxicity.fit_toxicity(hard, labels.limit(0))
+    assert {r.score for r in toxicity.with_toxicity(hard, model, out="t").select("t.score").collect()} == {0.0}
+
+
+# --- decontamination ---------------------------------------------------------------------------------------------
+
+
+def test_search_equals_exhaustive_scores(texts):
+    b = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()
+    index = decontaminate.build_index([(r["item_id"], r["text"]) for r in b])
+    got = decontaminate.Searcher(index).search(texts)
+    flat = {t: postings for block in index.postings for t, postings in block.items()}
+    assert set(flat) == set(range(len(index.vocabulary)))
+    for text, found in zip(texts, got):
+        words = decontaminate.Searcher(index)._ids(text)
+        want = set()
+        for low in range(0, len(words), decontaminate.STEP):
+            passage = words[low : low + index.span]
+            have = decontaminate._grams(passage, 3)
+            for i, item in enumerate(index.items):
+                s = sum(w for t in set(passage) for block in index.postings for k, w in block.get(t, ()) if k == i)
+                q, a = decontaminate._share(item.words[: item.cut], passage, have), decontaminate._share(item.words[item.cut :], passage, have)
+                if s >= decontaminate.THRESHOLD and (min(q, a) >= (decontaminate.BOTH if len(item.words) >= decontaminate.SHORT else 1.0) or (q >= decontaminate.QUESTION_ALONE and item.cut >= decontaminate.SHORT)):
+                    want.add(item.item_id)
+        assert {x[0] for x in found} == want
+
+
+def test_op1_finds_contained_items(spark):
+    docs = pq.read_table("/root/testdata/sf0.01/documents.parquet").to_pylist()
+    items = pq.read_table("/root/testdata/sf0.01/benchmark.parquet").to_pylist()
+    flat = lambda t: " ".join(t.split())
+    want = {(r["doc_id"], x["item_id"]) for r in docs for x in items if flat(x["text"]) in flat(r["text"])}
+    got = {(r.doc_id, r.item_id) for r in decontaminate.op1_query(spark, "/root/testdata/sf0.01").collect()}
+    assert want and want <= got and len(got - want) <= 2
+
+
+def test_op1_hard_rows(spark, hard, monkeypatch):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "alpha beta gamma delta epsilon zeta"), (3, None), (4, ""), (None, "x")], "item_id long, text string")
+    run = lambda: sorted((r.doc_id, x.item_id) for r in decontaminate.with_leaks(hard, items, out="l").select("doc_id", "l").collect() for x in r.l)
+    want = [(4, 1), (4, 1), (4, 2), (4, 2), (5, 1), (5, 2)]
+    assert run() == want
+    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 1)
+    assert len(decontaminate.indexes(items, max_items=1)) > 1
+    assert decontaminate.with_leaks(hard, items.limit(0), out="l").where(F.size("l") > 0).count() == 0
+
+
+# --- WARC --------------------------------------------------------------------------------------------------------
+
+
+def test_op6_round_trip(spark):
+    big, rows = "é" * 700, []
+    rows = [(1, "http://a", big), (2, "http://b\nx", big), (3, None, "small"), (4, "u", "small"), (5, "u", None), (6, "u", "z" * 3_000_000), (7, "u", ""), (None, "u", big)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string").repartition(3)
+    files = warc.normalise_archives(warc.write_archives(df))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read_archives(files).collect()}
+    for i, _, html in rows:
+        data = (html or "").encode()
+        ref = 2 if html == big and i != 2 else None
+        assert got[i] == (len(data), hashlib.sha1(data).hexdigest(), "revisit" if ref else "response", ref)
+    assert warc.read_archives(warc.normalise_archives(warc.write_archives(df.limit(0)))).count() == 0
+
+
+def test_records_of_a_monolithic_stream():
+    import io
+
+    payloads = [bytes([65 + i % 26]) * (i * 997) for i in range(60)]
+    records = [warc.make_record(i, "u", p, hashlib.sha1(p).hexdigest(), None) for i, p in enumerate(payloads)]
+    z = zlib.compressobj(3, zlib.DEFLATED, 31)
+    whole = b"".join(z.compress(r) for r in records) + z.flush()
+    assert list(warc.records(warc.inflate(io.BytesIO(whole)))) == records
+    assert list(warc.records(warc.inflate(io.BytesIO(b"".join(map(warc.gzip_member, records)))))) == records
+    with pytest.raises(ValueError):
+        list(warc.records(iter([records[3][:-9]])))
+
+
+# --- shards ------------------------------------------------------------------------------------------------------
+
+
+def test_op8_limits(spark, hard):
+    rows = [(7, "same " * 40)] * 60 + [(i, "t" * (i % 90)) for i in range(300)] + [(None, None), (9, "b" * 5000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("depth", F.lit("clash"))
+    got = sharding.assign_shards(df, limit=1000).collect()
+    assert len(got) == len(rows)
+    total, shown = Counter(), {}
+    for r in got:
+        total[r.shard] += r.doc_bytes
+        shown[r.shard] = r.shard_bytes
+    assert total == Counter(shown) or all(total[k] == v for k, v in shown.items())
+    assert all(v <= 1000 or v == 5000 for v in total.values())
+    bits = sorted({s for s in total if "-" not in s})
+    assert not any(b.startswith(a) for a in bits for b in bits if a != b)  # a prefix code
+    assert sharding.assign_shards(hard, limit=1000).count() == hard.count()
+    assert sharding.assign_shards(hard.limit(0)).count() == 0
+
+
+# --- quality -----------------------------------------------------------------------------------------------------
+
+
+def brute_counts(t):
+    w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    seen = defaultdict(list)
+    for j in range(len(w) - 4):
+        seen[tuple(w[j : j + 5])].append(j)
+    cover = {k for v in seen.values() if len(v) > 1 for j in v for k in range(j, j + 5)}
+    lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(cover)
+
+
+def test_op9_counts(spark, hard):
+    rows = [(r.doc_id, r.text) for r in hard.collect()] + [(r["doc_id"], r["text"]) for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()] + [(900, "a b a b a b a b a b a"), (901, "x\n\nx\n x\nx"), (902, "# | <é>\x0b🙃 #")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in quality.with_counts(df).collect():
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_counts(r.text)
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+
+
+def test_op9_score_is_the_ratio(spark):
+    import xxhash
+
+    def h(*longs, word=None):
+        x = xxhash.xxh64_intdigest(word.encode(), 42) if word is not None else 42
+        for v in longs:
+            x = xxhash.xxh64_intdigest(struct.pack("<q", v), x)
+        return x - 2**64 if x >= 2**63 else x
+
+    table = [((i * 7919) % 1000) / 1000 - 0.5 for i in range(quality.BUCKETS)]
+    t = "one two three two ünï one"
+    words = [h(word=w) for w in t.split()]
+    bins = [w % quality.BUCKETS for w in words] + [h(a, b) % quality.BUCKETS for a, b in zip(words, words[1:])]
+    df = quality.with_counts(spark.createDataFrame([(1, t), (2, None), (3, "one")], "doc_id long, text string"), table)
+    got = {r.doc_id: r.score for r in df.collect()}
+    assert abs(got[1] - sum(table[b] for b in bins) / len(bins)) < 1e-12
+    assert got[2] is None and abs(got[3] - table[words[0] % quality.BUCKETS]) < 1e-12
+
+
+def test_op9_separates_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.op9_query(spark, sf).join(labels, "doc_id").collect()
+    good = [r.kept for r in rows if r.quality == 1]
+    bad = [r.kept for r in rows if r.quality == 0]
+    assert sum(good) / len(good) > 0.9 and sum(bad) / len(bad) < 0.1
+    assert quality.best_cut([(0.1, 0), (0.2, 0), (0.4, 1), (0.5, 1)]) == pytest.approx(0.3)
+
+
+# --- secrets -----------------------------------------------------------------------------------------------------
+
+
+def brute_spans(t):
+    t = t or ""
+    assign = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+    s = [(m.start(), 0, m.end()) for m in re.finditer(assign, t) if len(m[2]) >= 6]
+    s += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    s += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(s)
+
+
+def test_op10_base_spans(spark, hard):
+    rng = random.Random(17)
+    parts = ["token", "PassWord", "api_key", "apikey", "=", ":", " ", "'", '"', "abcdef", "12", "AKIA", "ABCDEFGH12345678", "0123456789abcdef01234567", "🙃", "é", "\n", "secret=token=abcdef", "x"]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(25)))) for i in range(600)] + [(r.doc_id, r.text) for r in hard.collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_secret", secret_scan.base_spans(F.coalesce("text", F.lit(""))))
+    for r in df.collect():
+        assert [tuple(x) for x in r._secret] == brute_spans(r.text)
+
+
+def test_op10_markov(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secret_scan.train_markov(secret_scan.labelled_strings(docs))
+    key = "k9Qz4XvB7pLr2WnT8sYd5HjM3cFg"
+    rows = [(1, f"see {key} here"), (2, "the_quick_brown_fox_jumps_over_everything"), (3, "onthtionwhonattionndthetherewith"), (4, f"token={key}"), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in secret_scan.with_secret_spans(df, model).select("doc_id", secret_scan.joined(F.col("secret_spans")).alias("s")).collect()}
+    assert got == {1: f"random:4:{4 + len(key)}", 2: "", 3: "", 4: f"assign:0:{6 + len(key)}", 5: ""}
+    table, _ = model
+    a = secret_scan.ALPHABET
+    s = "Ab3_x"
+    want = sum(table[a.index(p) * len(a) + a.index(q)] for p, q in zip(s, s[1:])) / 4
+    assert abs(spark.range(1).select(secret_scan.mean_ratio(F.lit(s), table)).first()[0] - want) < 1e-12
+    red = secret_scan.with_secret_spans(df, model).select("doc_id", secret_scan.redact(F.col("text"), F.col("secret_spans")).alias("t"))
+    assert {r.doc_id: r.t for r in red.collect()}[1] == "see [SECRET] here"
+
+
+def test_op10_empty_sample(spark, hard):
+    model = secret_scan.train_markov(secret_scan.labelled_strings(hard.limit(0), max_random=0))
+    assert secret_scan.with_secret_spans(hard, model).count() == hard.count()
+
+
+# --- pipeline ----------------------------------------------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, hard, tmp_path):
+    import corpus_pipeline
+
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = hard
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == hard.columns
+        docs = spark.createDataFrame(docs.collect(), hard.schema)
+    assert {r.doc_id for r in docs.collect()} == {1, 3, 4, 6, None}
+    assert [r.text for r in docs.where("doc_id is null").collect()] == ["[SECRET]'"]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, hard.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_and_removes(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r["text"] for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()}
+    items = [" ".join(r["text"].split()) for r in pq.read_table(f"{sf}/benchmark.parquet").to_pylist()]
+    left = corpus_pipeline.run(spark, sf).select("doc_id").distinct()
+    left = {r.doc_id for r in left.collect()}
+    assert not any(x in " ".join(rows[d].split()) for d in left for x in items)
+    assert len({rows[d] for d in left}) == len(left)
+    assert len(left) > 0.5 * len(rows)
