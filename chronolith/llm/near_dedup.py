@@ -29,20 +29,31 @@ from chronolith.llm.components import components
 BANDS, ROWS = 26, 5  # a pair of similarity 0.8 shares a band with probability 0.99997
 THRESHOLD = 0.8
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 512, 65_536, 16
+SEEN = 200_000
 
 
 def _digest(text):
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def band_table(nodes: DataFrame) -> DataFrame:
-    """(key, node) of every band of every text with a word; ``nodes`` has node and text."""
+def band_table(rows: DataFrame) -> DataFrame:
+    """(key, node) of every band of every text with a word; ``rows`` has node and text. Texts that a task has
+    just seen are skipped, so most copies cost nothing; the others repeat the same pairs."""
     import pyarrow as pa
 
     def run(batches: Iterator) -> Iterator:
+        seen: set[bytes] = set()
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
                 part = batch.slice(low, 256)
+                new = []
+                for i, node in enumerate(part.column(0).to_pylist()):
+                    if node not in seen:
+                        seen.add(node)
+                        new.append(i)
+                if len(seen) > SEEN:
+                    seen.clear()
+                part = part.take(pa.array(new, pa.int32()))
                 bags = [bmh.bag(t) for t in part.column(1).to_pylist()]
                 full = [i for i, b in enumerate(bags) if len(b[0])]
                 if not full:
@@ -51,7 +62,7 @@ def band_table(nodes: DataFrame) -> DataFrame:
                 node = part.column(0).take(pa.array(np.repeat(full, BANDS)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), node], ["key", "node"])
 
-    return nodes.select("node", "text").mapInArrow(run, "key long, node binary")
+    return rows.select("node", "text").mapInArrow(run, "key long, node binary")
 
 
 def _against_hub(text: str, hub: tuple) -> tuple[float, int, bytes, bytes]:
@@ -128,16 +139,21 @@ def _links_of_block(cell: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["a", "b"])
 
 
-def near_duplicate_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) that connect the same nodes as all candidate pairs of similarity 0.8 or more do."""
-    bands = materialize(band_table(nodes), "bands")
-    sizes = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialize(bands.join(sizes, "key"), "buckets")
+def near_duplicate_links(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the same nodes as all candidate pairs of similarity 0.8 or more do.
+
+    ``rows`` has id, node and text of every document, ``first`` one (id, node) for each node."""
+    bands = materialize(band_table(rows), "bands")
+    mark = F.xxhash64("node")
+    sizes = bands.groupBy("key").agg(F.count("*").alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high")).where("low <> high")
+    shared = materialize(bands.join(sizes.select("key", "n"), "key").distinct(), "buckets")
     degree = shared.groupBy("node").agg(F.sum("n").alias("degree"))
     hub = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub"))
     pairs = shared.select("key", "node").join(hub.select("key", F.col("hub.node").alias("hub")), "key").where("hub <> node").select("hub", "node").distinct()
     pairs = materialize(pairs, "pairs")
-    texts = nodes.join(pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct(), "node")
+    wanted = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct().join(first, "node")
+    # the same plan at every size: the texts are shuffled once
+    texts = rows.join(wanted.hint("merge"), ["id", "node"], "left_semi").dropDuplicates(["id", "node"]).select("node", "text")
     texts = materialize(texts, "candidates")
     compare = F.pandas_udf(compare_with_hub, "struct<j double, size int, bits binary, other binary>")
     joined = pairs.join(texts, "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
@@ -156,12 +172,10 @@ def near_duplicate_links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``class_id``, the least id among the near copies, for every row."""
-    rows = docs.select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("node"))
-    # one row with the text for each distinct text: the rows that hold the least id of their digest, once more made distinct
-    first = rows.where("id is not null").groupBy("node").agg(F.min("id").alias("id"))
     texts = docs.select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    nodes = materialize(texts.join(first, ["id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "texts")
-    roots = components(near_duplicate_links(nodes))
+    rows = texts.select("id", "node")
+    first = materialize(rows.where("id is not null").groupBy("node").agg(F.min("id").alias("id")), "first")
+    roots = components(near_duplicate_links(texts.where("id is not null"), first))
     of_node = first.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = of_node.groupBy("root").agg(F.min("id").alias("class_id"))
     classes = of_node.join(least, "root").select("node", "class_id")
