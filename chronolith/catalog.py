@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from chronolith import functions as X
 from chronolith.operators import analytics as an
 from chronolith.operators import data_quality as dq
+from chronolith.operators import facts as fa
 from chronolith.operators import indicators as ind
 from chronolith.operators import mutations as mut
 from chronolith.operators import scans
@@ -139,6 +140,11 @@ def scan_series_range(spark, d):
     return scans.scan(bars(spark, d), symbols=["click", "error"], interval="1h", start=1704240000000, end=1704412800000).select("symbol", "timestamp", "close")
 
 
+@query(f"WITH {TICKS}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY timestamp, id) AS rn FROM ticks) SELECT symbol, id FROM n WHERE rn > 5 AND rn <= 12")
+def slice_rows(spark, d):
+    return scans.slice_rows(ticks(spark, d), 5, 12, keys=["symbol"], order=["timestamp", "id"]).select("symbol", "id")
+
+
 @query("SELECT DISTINCT event_type, user_id FROM events")
 def list_series(spark, d):
     return scans.list_series(read_table(spark, d, "events"), ["event_type", "user_id"])
@@ -519,6 +525,10 @@ _indicator("vwap_rolling", lambda: {"vwap": S.vwap(10)}, {"vwap": f"coalesce(sum
 _indicator("volatility", lambda: {"volatility": S.volatility("close", 20)}, {"volatility": f"{_dev} / {_mid}"})
 
 
+_indicator("percent_b", lambda: {"b": S.percent_b("close")}, {"b": _full(20, f"(close - ({_mid} - 2 * {_dev})) / nullif(4 * {_dev}, 0)")})
+_indicator("mean_move", lambda: {"move": S.mean_move("close", 3)}, {"move": "(" + " + ".join(f"abs(lag(close, {k}) OVER (PARTITION BY symbol ORDER BY timestamp) - lag(close, {k + 1}) OVER (PARTITION BY symbol ORDER BY timestamp))" for k in range(3)) + ") / 3"})
+
+
 @query(f"WITH {BARS}, x AS (SELECT *, CASE WHEN lag(close) OVER w IS NULL OR close > lag(close) OVER w THEN volume WHEN close < lag(close) OVER w THEN -volume ELSE 0 END AS v FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)) SELECT symbol, timestamp, round(sum(v) OVER (PARTITION BY symbol ORDER BY timestamp ROWS UNBOUNDED PRECEDING), 4) AS obv FROM x")
 def obv(spark, d):
     return ind.with_obv(bars(spark, d), S).select("symbol", "timestamp", r("obv", 4).alias("obv"))
@@ -691,6 +701,17 @@ def ann_lsh(spark, d):
     return vec.lsh_search(e, e.where("vec_id % 50 = 0"), 10, dim=dim)
 
 
+@query()
+def facts_search(spark, d):
+    facts = read_table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("fact_id"), "text", F.col("role").alias("scope"))
+    return fa.search(fa.write_facts(facts), "the and of", 5, scope="user").select("fact_id", r("similarity").alias("similarity"))
+
+
+@query("WITH p AS (SELECT b.vec_id FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4) SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT vec_id FROM p)")
+def facts_dedup(spark, d):
+    return fa.deduplicate(read_table(spark, d, "embeddings"), 0.4, unique="vec_id").select("vec_id")
+
+
 # --- data quality ------------------------------------------------------------------------------------------------
 
 

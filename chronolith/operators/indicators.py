@@ -66,6 +66,20 @@ class Series:
         up, low = mid + k * dev, mid - k * dev
         return {"middle": mid, "upper": up, "lower": low, "bandwidth": F.when(mid > 0, (up - low) / mid).when(mid.isNotNull(), 0.0)}
 
+    def percent_b(self, v: str, n: int = 20, k: float = 2.0) -> Column:
+        """Where a value lies between the Bollinger bands; null where they meet."""
+        b = self.bollinger(v, n, k)
+        return (F.col(v) - b["lower"]) / F.nullif(b["upper"] - b["lower"], F.lit(0.0))
+
+    def mean_move(self, v: str, n: int) -> Column:
+        """Mean absolute change over the last n changes, from row n + 1 on."""
+        at = lambda k: F.lag(v, k).over(self.by) if k else F.col(v)
+        return sum(F.abs(at(k) - at(k + 1)) for k in range(n)) / n
+
+    def grid_spacing(self, v: str, n: int, base: float, least: float, most: float) -> Column:
+        """A spacing in proportion to volatility, within bounds."""
+        return F.greatest(F.lit(least), F.least(F.lit(most), F.lit(base) * (1 + F.coalesce(self.volatility(v, n), F.lit(0.0)) * 100)))
+
     def obv(self, close: str = "close", volume: str = "volume") -> Column:
         before = F.lag(close).over(self.by)
         sign = F.when(before.isNull(), 1).when(F.col(close) > before, 1).when(F.col(close) < before, -1).otherwise(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,9 @@ def table_info(bars: DataFrame) -> DataFrame:
     """Total rows, and those not deleted (volume not negative)."""
     dead = F.count_if(F.col("volume") < 0)
     return bars.agg(F.count("*").alias("total_rows"), (F.count("*") - dead).alias("valid_rows"), dead.alias("tombstones"))
+
+
+def slice_rows(df: DataFrame, start: int, end: int, *, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows start to end (exclusive, from 0) of each series."""
+    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_n", n).where((F.col("_n") > start) & (F.col("_n") <= end)).drop("_n")
