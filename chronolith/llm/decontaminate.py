@@ -201,27 +201,32 @@ def indexes(benchmark: DataFrame, *, max_items: int = MAX_ITEMS, max_bytes: int
     return [build_index([(r.item_id, r.text) for r in rows.where(part == k).collect()]) for k in range(parts)]
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """Adds ``leaks``: item id, score, shares of question and answer, and the passage's first word, for each item found."""
+def _finder(shared):
+    """A function of texts that runs the broadcast index."""
+
+    def find(texts: pd.Series) -> pd.Series:
+        index = shared.value
+        if id(index) not in _searchers:
+            if len(_searchers) > 64:
+                _searchers.clear()
+            _searchers[id(index)] = Searcher(index)
+        search = _searchers[id(index)].search
+        rows = texts.tolist()
+        found = [x for low in range(0, len(rows), 128) for x in search(rows[low : low + 128])]
+        names = ("item_id", "score", "question", "answer", "first_word")
+        return pd.Series([[dict(zip(names, x)) for x in leaks] for leaks in found], dtype=object)
+
+    return find
+
+
+def with_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", out: str = "leaks") -> DataFrame:
+    """Adds ``out`` (in place of a column of that name): item id, score, shares of question and answer, and the passage's first word, for each item found."""
     column = None
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def find(texts: pd.Series, shared=shared) -> pd.Series:
-            index = shared.value
-            if id(index) not in _searchers:
-                if len(_searchers) > 64:
-                    _searchers.clear()
-                _searchers[id(index)] = Searcher(index)
-            search = _searchers[id(index)].search
-            rows = texts.tolist()
-            found = [x for low in range(0, len(rows), 128) for x in search(rows[low : low + 128])]
-            names = ("item_id", "score", "question", "answer", "first_word")
-            return pd.Series([[dict(zip(names, x)) for x in leaks] for leaks in found], dtype=object)
-
-        part = F.pandas_udf(find, _LEAK)(F.col(text_col))
+        part = F.pandas_udf(_finder(shared), _LEAK)(F.col(text_col))
         column = part if column is None else F.concat(column, part)
-    return docs.withColumn("leaks", column)
+    return docs.withColumn(out, column)
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:
