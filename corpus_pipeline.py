@@ -17,7 +17,7 @@ from chronolith.llm.toxicity import fit_toxicity, held_out, with_toxicity
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents whose toxicity score is 0.5 or more."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
-    return with_toxicity(docs, model).where("toxicity.score < 0.5").select(docs.columns)
+    return with_toxicity(docs, model, out="_toxicity_").where("_toxicity_.score < 0.5").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,14 +27,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents in which a benchmark item is found."""
-    return with_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(docs.columns)
+    return with_leaks(docs, table(spark, sf_dir, "benchmark"), out="_leaks_").where(F.size("_leaks_") == 0).select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret span by a mark; the other text stays."""
-    found = with_secret_spans(docs, train_markov(labelled_strings(docs)))
-    text = redact(F.col("text"), F.col("secret_spans"))
-    changed = F.size("secret_spans") > 0
+    found = with_secret_spans(docs, train_markov(labelled_strings(docs)), out=("_base_", "_spans_"))
+    text = redact(F.col("text"), F.col("_spans_"))
+    changed = F.size("_spans_") > 0
     found = found.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
     return found.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
 
