@@ -81,7 +81,7 @@ def labelled_strings(docs: DataFrame, *, max_docs: int = SAMPLE_DOCS, max_random
     """The training sample (s, random): identifiers made of the words of at most ``max_docs`` documents, and
     ``max_random`` strings of hexadecimal, base-64 and upper-case digits drawn from a digest of their number."""
     spark = docs.sparkSession
-    chosen = docs.where("text is not null").select("doc_id", F.substring("text", 1, 20_000).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    chosen = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     words = F.filter(F.split("text", r"[^A-Za-z]+"), lambda w: F.length(w) > 1)
     pair = lambda w, i: F.array(F.concat_ws("_", F.lower(w), F.lower(F.get(F.col("w"), i + 1))), F.concat(F.lower(w), F.initcap(F.coalesce(F.get(F.col("w"), i + 1), F.lit("")))), F.concat_ws("-", w, F.get(F.col("w"), i + 1)), F.upper(w))
     names = chosen.select(words.alias("w")).select(F.explode_outer(F.flatten(F.transform("w", pair))).alias("s")).where("s is not null").withColumn("random", F.lit(0))
