@@ -167,6 +167,8 @@ def near_duplicate_links(rows: DataFrame, first: DataFrame) -> DataFrame:
     left = rows.where("not linked").withColumn("y", every).withColumn("x", F.col("own")).withColumn("role", F.lit(0))
     right = rows.withColumn("x", every).withColumn("y", F.col("own")).withColumn("role", F.lit(1))
     cells = left.unionByName(right).select("hub", "x", "y", "role", "node", "size", "linked", "bits", "other")
+    # dealt by block: rows that are already dealt by hub would stay in one task otherwise
+    cells = cells.repartition("hub", "x", "y")
     return links.unionByName(cells.groupBy("hub", "x", "y").applyInPandas(_links_of_block, "a binary, b binary"))
 
 
