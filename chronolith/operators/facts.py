@@ -34,8 +34,7 @@ def search_with_decay(facts: DataFrame, query: str | list[float], k: int, *, now
 
 def deduplicate(facts: DataFrame, threshold: float = 0.95, *, unique: str = "fact_id") -> DataFrame:
     """Facts without those that are similar to one with a smaller id."""
-    doomed = vec.similar_pairs(facts, threshold, unique=unique).select(F.col("id_b").alias(unique)).distinct()
-    return facts.join(doomed, unique, "left_anti")
+    return facts.join(vec.similar_to_earlier(facts, threshold, unique=unique), unique, "left_anti")
 
 
 def archive(facts: DataFrame, cutoff: int, *, ts: str = "timestamp") -> tuple[DataFrame, DataFrame]:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,9 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import cosine
 
+PIVOTS = 64
+STRIP = 512  # rows of a block that are multiplied at a time
+
 
 def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector])
@@ -32,31 +37,134 @@ def planes(dim: int, tables: int, bits: int, seed: int = 7) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((tables, bits, dim))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, *, vector: str = "embedding", unique: str = "vec_id", block: int = 256, max_rows: int = 20_000) -> DataFrame:
-    """All pairs with similarity of at least the threshold, by blocks of a bounded table.
-
-    Each pair of blocks is one group and one matrix product; above ``max_rows`` rows use :func:`lsh_pairs`."""
-    n = vectors.count()
-    if n > max_rows:
-        raise ValueError("too many rows for an exact self-join; use lsh_pairs")
-    blocks = max(1, math.ceil(n / block))
-    rows = vectors.select(F.col(unique).alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = rows.select("id", "v", F.col("own").alias("x"), every.alias("y"), F.lit(0).alias("side"))
-    right = rows.select("id", "v", every.alias("x"), F.col("own").alias("y"), F.lit(1).alias("side"))
-
-    def pairs(cell: pd.DataFrame) -> pd.DataFrame:
-        a, b = cell[cell.side == 0], cell[cell.side == 1]
-        out = []
-        if len(a) and len(b):
-            unit = lambda t: (lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300))(np.stack(t.v.tolist()))
-            sims = unit(a) @ unit(b).T
-            ai, bi = a.id.to_numpy(), b.id.to_numpy()
-            out = [(ai[i], bi[j], sims[i, j]) for i, j in np.argwhere(sims >= threshold) if ai[i] < bi[j]]
-        return pd.DataFrame(out, columns=["id_a", "id_b", "similarity"])
-
-    kind = vectors.schema[unique].dataType.simpleString()
-    return left.unionByName(right).groupBy("x", "y").applyInPandas(pairs, f"id_a {kind}, id_b {kind}, similarity double")
+def _groups(vectors: DataFrame, vector: str, unique: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (key, id) of all vectors, and one row (key, v, d, first, n) for each group of equal ones.
+
+    The key depends on the values alone; ``first`` is the group's least id. Rows without an id or a vector pair with nothing."""
+    rows = vectors.where(F.col(unique).isNotNull() & F.col(vector).isNotNull()).select(F.col(unique).alias("id"), F.col(vector).alias("v"))
+    rows = rows.withColumn("key", F.unhex(F.sha2(F.col("v").cast("string"), 256)))
+    groups = rows.groupBy("key").agg(F.any_value("v").alias("v"), F.min("id").alias("first"), F.count("*").alias("n"))
+    return rows.select("key", "id"), groups.withColumn("d", F.size("v"))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    m = m.astype(float)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+
+
+def _cells(groups: DataFrame, threshold: float, block: int) -> tuple[DataFrame, list[tuple[int, int]], list[list[int]]]:
+    """Groups with the cell of their nearest pivot, each cell's (first block, blocks), and the cells near each.
+
+    A cell's vectors lie within an angle of its pivot; two cells are not compared if their pivots are further apart than
+    both angles and the threshold's. Vectors of another length than the pivots' have a cell of their own, near to all."""
+    n = groups.count()
+    pivots = [r.v for r in groups.orderBy("key").limit(max(1, min(PIVOTS, n // block))).collect()]  # at most PIVOTS rows
+    dim = len(pivots[0]) if pivots else 0
+    p = _unit(np.array([v for v in pivots if len(v) == dim], float).reshape(-1, dim))
+    other = len(p)
+
+    def place(vs: pd.Series) -> pd.DataFrame:
+        c, angle = np.full(len(vs), other), np.full(len(vs), math.pi)
+        for at, v in enumerate(vs):
+            u = _unit(np.array([v], float))
+            if len(v) == dim and np.isfinite(u).all() and u.any():
+                cosines = (p @ u[0]).clip(-1, 1)
+                c[at] = cosines.argmax()
+                angle[at] = math.acos(cosines[c[at]])
+        return pd.DataFrame({"c": c, "angle": angle})
+
+    placed = groups.withColumn("p", F.pandas_udf(place, "struct<c int, angle double>")("v"))
+    sizes = {r.c: r for r in placed.groupBy("p.c").agg(F.count("*").alias("n"), F.max("p.angle").alias("angle")).collect()}  # at most PIVOTS + 1 rows
+    blocks, at = [], 0
+    for c in range(other + 1):
+        k = math.ceil(sizes[c].n / block) if c in sizes else 0
+        blocks.append((at, k))
+        at += k
+    far = math.acos(min(1.0, threshold)) + 1e-6 if threshold > 0 else math.inf
+
+    def near(a: int, b: int) -> bool:
+        if other in (a, b) or a == b:
+            return True
+        return math.acos(float(np.clip(p[a] @ p[b], -1, 1))) - sizes[a].angle - sizes[b].angle <= far
+
+    return placed, blocks, [[b for b in range(other + 1) if b in sizes and a in sizes and near(a, b)] for a in range(other + 1)]
+
+
+def _compare(groups: DataFrame, threshold: float, found, schema: str, block: int) -> DataFrame:
+    """``found(keys, firsts, keys, firsts, similarities)`` over every two blocks of near cells, in strips of rows; the
+    similarity is -inf where a pair is met twice. A block is one row: a matrix of at most about ``block`` vectors."""
+    placed, cells, near = _cells(groups, threshold, block)
+    pick = lambda values, kind: F.from_json(F.lit(json.dumps(values)), kind)
+    first, count = pick([c[0] for c in cells], "array<int>"), pick([c[1] for c in cells], "array<int>")
+    own = F.get(first, F.col("p.c")) + F.pmod(F.xxhash64("key"), F.get(count, F.col("p.c"))).cast("int")
+    ranges = pick([[list(cells[b]) for b in bs] for bs in near], "array<array<array<int>>>")
+    whom = F.flatten(F.transform(F.get(ranges, F.col("c")), lambda r: F.sequence(r[0], r[0] + r[1] - 1)))
+    kind = groups.schema["first"].dataType.simpleString()
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        m = np.array(rows.v.tolist(), float)
+        return pd.DataFrame({"own": [key[0]], "c": [key[1]], "d": [key[2]], "keys": [rows.key.tolist()], "firsts": [rows["first"].tolist()], "m": [_unit(m.reshape(len(rows), -1)).tobytes()]})
+
+    packed = placed.select(own.alias("own"), F.col("p.c").alias("c"), "d", "key", "first", "v").groupBy("own", "c", "d")
+    packed = packed.applyInPandas(pack, f"own int, c int, d int, keys array<binary>, firsts array<{kind}>, m binary")
+    sides = packed.withColumn("with", F.explode(whom)).select(F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "d", "own", "keys", "firsts", "m")
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both = sorted((r for batch in batches for r in batch.itertuples()), key=lambda r: r.own)  # one row or two
+        if len(both) < 2 and both[0].x != both[0].y:
+            return
+        load = lambda r: np.frombuffer(r.m, float).reshape(len(r.keys), -1)
+        a, b = both[0], both[-1]
+        ma, mb, ka, kb, fa, fb = load(a), load(b), np.array(a.keys, object), np.array(b.keys, object), np.array(a.firsts), np.array(b.firsts)
+        for i in range(0, len(ma), STRIP):
+            sims = ma[i : i + STRIP] @ mb.T
+            if a.own == b.own:
+                sims[np.tri(*sims.shape, i, dtype=bool)] = -np.inf
+            yield found(ka[i : i + STRIP], fa[i : i + STRIP], kb, fb, sims)
+
+    return sides.groupBy("x", "y", "d").applyInPandas(compare, schema)
+
+
+def _alike(groups: DataFrame, threshold: float) -> DataFrame:
+    """Groups whose own members' similarity, 1 (0 without a direction), reaches the threshold."""
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    return groups.where((F.col("n") > 1) & ~F.isnan(norm) & norm.isNotNull() & (F.when(norm > 0, 1.0).otherwise(0.0) >= threshold)).withColumn("similarity", F.when(norm > 0, 1.0).otherwise(0.0))
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, *, vector: str = "embedding", unique: str = "vec_id", block: int = 4096) -> DataFrame:
+    """All pairs with similarity of at least the threshold, exact for tables of any size.
+
+    Equal vectors are compared once, as one group; groups are compared by matrix products of blocks, without those that
+    pivots keep apart. Work grows with the square of the groups that pivots leave together, and the result has a row for
+    every pair, also of equal vectors: :func:`similar_to_earlier` needs none of these rows. Vectors of different lengths
+    do not match."""
+    members, groups = _groups(vectors, vector, unique)
+    kind = groups.schema["first"].dataType.simpleString()
+
+    def found(ka, fa, kb, fb, sims) -> pd.DataFrame:
+        i, j = np.nonzero(sims >= threshold)
+        return pd.DataFrame({"ka": ka[i], "kb": kb[j], "similarity": sims[i, j]})
+
+    links = _compare(groups, threshold, found, "ka binary, kb binary, similarity double", block)
+    links = links.unionByName(_alike(groups, threshold).select(F.col("key").alias("ka"), F.col("key").alias("kb"), "similarity"))
+    a, b = (members.select(F.col("key").alias(f"k{s}"), F.col("id").alias(f"id_{s}")) for s in "ab")
+    pairs = links.join(a, "ka").join(b, "kb").where((F.col("ka") != F.col("kb")) | (F.col("id_a") < F.col("id_b"))).where("id_a <> id_b")
+    return pairs.select(F.least("id_a", "id_b").cast(kind).alias("id_a"), F.greatest("id_a", "id_b").cast(kind).alias("id_b"), "similarity")
+
+
+def similar_to_earlier(vectors: DataFrame, threshold: float, *, vector: str = "embedding", unique: str = "vec_id", block: int = 4096) -> DataFrame:
+    """The ids of rows that are similar to one with a smaller id: the ``id_b`` of :func:`similar_pairs`, without the pairs."""
+    members, groups = _groups(vectors, vector, unique)
+
+    def found(ka, fa, kb, fb, sims) -> pd.DataFrame:
+        i, j = np.nonzero(sims >= threshold)
+        return pd.DataFrame({"key": np.unique(np.concatenate([kb[j[fa[i] < fb[j]]], ka[i[fb[j] < fa[i]]]]))})
+
+    later = _compare(groups, threshold, found, "key binary", block).distinct()
+    whole = members.join(later, "key", "left_semi").select("id")
+    # of a group with equal members, all but the least id
+    rest = members.join(_alike(groups, threshold).select("key", "first"), "key").where("id > first").select("id")
+    return whole.unionByName(rest).distinct().withColumnRenamed("id", unique)
 
 
 def _signatures(dim: int, tables: int, bits: int):

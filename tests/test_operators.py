@@ -113,3 +113,34 @@ def test_plans_prune_and_combine(spark, sf):
     assert "GreaterThan(o_totalprice" in plan and "o_orderdate" not in plan.split("ReadSchema")[-1]
     plan = catalog.QUERIES["head_n"](spark, sf)._jdf.queryExecution().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.9, 0.0])
+def test_similar_pairs_by_blocks(spark, threshold):
+    import numpy as np
+
+    from chronolith.operators import facts, vectors
+
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(60, 6)), rng.normal(size=(60, 6)) * 0.05 + 1, np.zeros((2, 6)), np.tile(rng.normal(size=6), (20, 1))]).astype("float32")
+    v = v[rng.permutation(len(v))]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (None, v[0].tolist()), (901, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    u = v.astype(float) / np.maximum(np.linalg.norm(v.astype(float), axis=1, keepdims=True), 1e-300)
+    sims = u @ u.T
+    want = {(i, j) for i in range(len(v)) for j in range(i + 1, len(v)) if sims[i, j] >= threshold}
+    got = [(r.id_a, r.id_b) for r in vectors.similar_pairs(df, threshold, block=16).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    late = [r.vec_id for r in vectors.similar_to_earlier(df, threshold, block=16).collect()]
+    assert len(late) == len(set(late)) and set(late) == {j for _, j in want}
+    assert {r.vec_id for r in facts.deduplicate(df, threshold, unique="vec_id").collect()} == {r[0] for r in rows} - {j for _, j in want}
+
+
+def test_similar_pairs_above_the_former_limit(spark):
+    from chronolith.operators import vectors
+
+    n = 20_001
+    df = spark.range(n).select(F.col("id").alias("vec_id"), F.array(F.cos(F.col("id") * 0.0003), F.sin(F.col("id") * 0.0003)).alias("embedding"))
+    assert vectors.similar_pairs(df, 1 - 0.0004**2 / 2).count() == n - 1
+    equal = df.withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
+    assert vectors.similar_to_earlier(equal, 0.95).count() == n - 1
