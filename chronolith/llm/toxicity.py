@@ -43,7 +43,7 @@ _letters = re.compile(r"[^\W\d_]+")
 
 
 def allowed(term: str) -> int:
-    """Misspellings that a term allows: none in stems, whose words vary as it is."""
+    """Misspellings that a term allows: none in stems, whose words vary as it is; :func:`choose_terms` keeps words beside them."""
     n = len(term.rstrip(END))
     return (n >= 5) + (n >= 11) if term.endswith(END) else 0
 
@@ -224,6 +224,10 @@ def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
     for f in sorted(by.keys() - drop, key=lambda f: (-_g2(*by[f], toxic, clean), f)):
         if not any(f[:n] in kept for n in range(1, len(f))) and not any(k.startswith(f) for k in kept) and len(kept) < MAX_TERMS:
             kept[f] = round(min(rate(*by[f]), 6.0), 6)
+    # words beside their stems: the stem takes no misspellings, the word's automaton does
+    beside = [f for f in by if allowed(f) and f not in kept and any(f[:n] in kept for n in range(1, len(f)))]
+    for f in sorted(beside, key=lambda f: (-_g2(*by[f], toxic, clean), f))[:MAX_TERMS]:
+        kept[f] = round(min(rate(*by[f]), 6.0), 6)
     return kept
 
 
@@ -273,7 +277,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """Adds ``out`` (in place of a column of that name): a struct of ``score`` (0 to 1), ``n_matches`` and ``n_quoted``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: MAX_TERMS terms and a sample's misspellings
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2 * MAX_TERMS terms and a sample's misspellings
 
     @F.pandas_udf("struct<score double, n_matches int, n_quoted int>")
     def toxicity(texts: pd.Series) -> pd.DataFrame:

@@ -274,6 +274,14 @@ def test_quotation_counts_less():
     assert score("you are an idiott and a fool") > 0.5
 
 
+def test_op3_words_beside_stems():
+    forms = [("idiot$", 102, 0), ("idiots$", 1, 0)] + [("idiot"[:n], 103, 0 if n > 3 else 400) for n in range(3, 6)]
+    weights = toxicity.choose_terms(forms, 500, 1500)
+    automaton = toxicity.LexiconAutomaton(weights)
+    assert automaton.match("idiots")[1] == 0
+    assert all(automaton.match(w) == ("idiot$", 1) for w in ("idjot", "ldiot", "idiiot"))
+
+
 def test_op3_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
