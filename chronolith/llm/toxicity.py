@@ -3,7 +3,7 @@
 The lexicon is learned from labelled rows: words and word beginnings (stems) that mark toxic documents. A trie
 holds its terms; a word is matched by the product of the trie with the Levenshtein automata of all terms,
 determinised lazily, so that most words leave it after a few characters. Long terms allow more misspellings.
-A misspelling that the sample has seen in a clean document does not count. A context window around each match
+A misspelling that the sample has seen more in clean documents than in toxic ones does not count. A context window around each match
 looks for quotation marks on both sides or a reporting word: quoted matches count for little. A small logistic
 model over the matches' weights gives the score.
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -127,7 +128,7 @@ class LexiconAutomaton:
 @dataclass
 class ToxicityModel:
     weights: dict[str, float] = field(default_factory=dict)  # by term
-    exceptions: frozenset[str] = frozenset()  # misspellings seen in clean documents
+    exceptions: frozenset[str] = frozenset()  # misspellings seen more in clean documents
     coef: tuple[float, ...] = (0.0, 0.0, 0.0, 0.0)
     bias: float = 0.0
     prior: float = 0.0
@@ -245,6 +246,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return tuple(map(float, w[:-1])), float(w[-1])
 
 
+def clean_misspellings(found: list[list], y: Iterable[int], toxic: int, clean: int) -> frozenset[str]:
+    """Misspellings that are relatively more frequent in clean documents than in toxic ones; quoted ones do not count."""
+    seen = Counter(), Counter()
+    for hits, k in zip(found, y):
+        seen[k].update({word for _, e, word, quoted, _ in hits if e and not quoted})
+    return frozenset(word for word, n in seen[0].items() if n * toxic > seen[1][word] * clean)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """Fits lexicon, exceptions and model on at most ``max_labelled`` of the labelled documents."""
     spark = docs.sparkSession
@@ -269,7 +278,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_
     rows = sample.select("text", "y").toPandas()  # bounded by max_labelled
     scorer = Scorer(model)
     found = [scorer.matches(t) for t in rows["text"]]
-    model.exceptions = frozenset(word for hits, y in zip(found, rows["y"]) if not y for _, e, word, *_ in hits if e)
+    model.exceptions = clean_misspellings(found, rows["y"], toxic, clean)
     found = [[h for h in hits if not (h[1] and h[2] in model.exceptions)] for hits in found]
     model.coef, model.bias = fit_logistic(np.array([scorer.features(h) for h in found]), rows["y"].to_numpy(float))
     return model

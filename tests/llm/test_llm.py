@@ -282,6 +282,14 @@ def test_op3_words_beside_stems():
     assert all(automaton.match(w) == ("idiot$", 1) for w in ("idjot", "ldiot", "idiiot"))
 
 
+def test_op3_exceptions_are_mostly_clean():
+    s = toxicity.Scorer(toxicity.ToxicityModel({"idiot$": 6.0}))
+    texts = ["you are an idiott"] * 5 + ["you are an idiot"] * 35
+    texts += ['she wrote "idiutt" or "idiut" on it', "a single idiott here", "one idioti there", "one idioti there"] + ["a fine day"] * 116
+    found, y = [s.matches(t) for t in texts], [1] * 40 + [0] * 120
+    assert toxicity.clean_misspellings(found, y, 40, 120) == {"idioti"}
+
+
 def test_op3_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
