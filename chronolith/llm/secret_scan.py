@@ -3,8 +3,8 @@
 Everything runs as DataFrame expressions. A pattern's matches come from ``regexp_extract_all`` and their places
 from the lengths of what ``split`` leaves between them. Runs of key characters are scored by the mean
 log-likelihood ratio of their character pairs under two first-order Markov models, one of random strings and
-one of identifiers; both are trained from labelled samples (:func:`labelled_strings`), of bounded size. A run
-that scores above the threshold and overlaps no pattern's match is a further span.
+one of identifiers; both are trained from labelled samples (:func:`labelled_strings`), of bounded size. A part
+of a run outside the patterns' matches that scores above the threshold is a further span.
 
 Cases: null and empty texts have no spans; very long texts are scanned whole; repeated rows, ties and extra
 columns change nothing; an empty table gives no rows; with an empty sample no run scores above the threshold.
@@ -117,6 +117,19 @@ def mean_ratio(s: Column, table: list[float]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), one) / (F.length(s) - 1)
 
 
+def _free(run: Column, base: Column) -> Column:
+    """The parts of a run that no base span covers, of at least RUN characters; spans come in order of their starts."""
+    stops = F.filter(base, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    part = lambda at, to: F.struct(at.alias("start"), to.alias("end"), F.substring(run["part"], at - run["start"] + 1, to - at).alias("part"))
+    first = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,part:string>>").alias("parts"))
+
+    def step(acc: Column, b: Column) -> Column:
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), F.concat(acc["parts"], F.array(part(acc["at"], F.greatest(acc["at"], b["start"])))).alias("parts"))
+
+    parts = F.aggregate(stops, first, step, lambda acc: F.concat(acc["parts"], F.array(part(acc["at"], F.greatest(acc["at"], run["end"])))))
+    return F.filter(parts, lambda p: p["end"] - p["start"] >= RUN)
+
+
 def with_secret_spans(docs: DataFrame, model: tuple[list[float], float], *, text_col: str = "text", out: tuple[str, str] = ("base_spans", "secret_spans")) -> DataFrame:
     """Adds the base spans and all spans: arrays of (start, kind's number in KINDS, end) in order, as the columns ``out``
     (in place of columns of those names)."""
@@ -124,8 +137,11 @@ def with_secret_spans(docs: DataFrame, model: tuple[list[float], float], *, text
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.withColumn(out[0], base_spans(text))
     run = rf"[A-Za-z0-9+/_=-]{{{RUN},}}"
-    more = _spans(text, "random", run, run, lambda m: mean_ratio(m["part"], table) >= F.lit(threshold)) if threshold < math.inf else F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    free = F.filter(more, lambda m: ~F.exists(F.col(out[0]), lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    if threshold == math.inf:
+        return found.withColumn(out[1], F.col(out[0]))
+    runs = F.when(text.rlike(run), matches(text, run)).otherwise(F.array().cast("array<struct<start:int,end:int,part:string>>"))
+    more = F.filter(F.flatten(F.transform(runs, lambda m: _free(m, F.col(out[0])))), lambda p: mean_ratio(p["part"], table) >= F.lit(threshold))
+    free = F.transform(more, lambda p: F.struct(p["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), p["end"].alias("end")))
     return found.withColumn(out[1], F.array_sort(F.concat(F.col(out[0]), free)))
 
 
