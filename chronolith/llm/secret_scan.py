@@ -4,7 +4,8 @@ Everything runs as DataFrame expressions. A pattern's matches come from ``regexp
 from the lengths of what ``split`` leaves between them. Runs of key characters are scored by the mean
 log-likelihood ratio of their character pairs under two first-order Markov models, one of random strings and
 one of identifiers; both are trained from labelled samples (:func:`labelled_strings`), of bounded size. A part
-of a run outside the patterns' matches that scores above the threshold is a further span.
+of a run outside the patterns' matches that scores above the threshold is a further span, or else each of its
+pieces between / _ - = that does.
 
 Cases: null and empty texts have no spans; very long texts are scanned whole; repeated rows, ties and extra
 columns change nothing; an empty table gives no rows; with an empty sample no run scores above the threshold.
@@ -130,6 +131,12 @@ def _free(run: Column, base: Column) -> Column:
     return F.filter(parts, lambda p: p["end"] - p["start"] >= RUN)
 
 
+def _pieces(part: Column) -> Column:
+    """The stretches of a part between / _ - =, of at least RUN characters."""
+    found = F.filter(matches(part["part"], r"[^/_=-]+"), lambda m: F.length(m["part"]) >= RUN)
+    return F.transform(found, lambda m: F.struct((part["start"] + m["start"]).alias("start"), (part["start"] + m["end"]).alias("end"), m["part"].alias("part")))
+
+
 def with_secret_spans(docs: DataFrame, model: tuple[list[float], float], *, text_col: str = "text", out: tuple[str, str] = ("base_spans", "secret_spans")) -> DataFrame:
     """Adds the base spans and all spans: arrays of (start, kind's number in KINDS, end) in order, as the columns ``out``
     (in place of columns of those names)."""
@@ -140,7 +147,9 @@ def with_secret_spans(docs: DataFrame, model: tuple[list[float], float], *, text
     if threshold == math.inf:
         return found.withColumn(out[1], F.col(out[0]))
     runs = F.when(text.rlike(run), matches(text, run)).otherwise(F.array().cast("array<struct<start:int,end:int,part:string>>"))
-    more = F.filter(F.flatten(F.transform(runs, lambda m: _free(m, F.col(out[0])))), lambda p: mean_ratio(p["part"], table) >= F.lit(threshold))
+    parts = F.flatten(F.transform(runs, lambda m: _free(m, F.col(out[0]))))
+    random = lambda p: mean_ratio(p["part"], table) >= F.lit(threshold)
+    more = F.flatten(F.transform(parts, lambda p: F.when(random(p), F.array(p)).otherwise(F.filter(_pieces(p), random))))
     free = F.transform(more, lambda p: F.struct(p["start"].alias("start"), F.lit(KINDS.index("random")).alias("kind"), p["end"].alias("end")))
     return found.withColumn(out[1], F.array_sort(F.concat(F.col(out[0]), free)))
 

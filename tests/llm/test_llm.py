@@ -503,6 +503,18 @@ def test_op10_random_beside_base_spans(spark):
         assert all(s.start >= e or s.end <= b for b, e in random(r) for s in r.secret_spans if s.kind != 3)
 
 
+def test_op10_random_in_a_path(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secret_scan.train_markov(secret_scan.labelled_strings(docs))
+    path = "/".join(["the", "other", "station", "nation", "information", "section", "attention"] * 3)
+    keys = ["k9Qz4XvB7pLr2WnT8sYd", "R6tZ1bNq0uEwk9Qz4XvB7pLr", "k9Qz4XvB7pLr2WnT8sYd5HjM3cFgR6tZ"]
+    texts = [f"see {path}/{k} here" for k in keys] + [f"see {path}/{k}/{path} here" for k in keys] + [f"see {path}/internationalisation here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secret_scan.with_secret_spans(df, model).select("doc_id", "text", "secret_spans").collect():
+        spans = [r.text[s.start : s.end] for s in r.secret_spans]
+        assert any(keys[r.doc_id % 3] in s for s in spans) if r.doc_id < 6 else not spans
+
+
 def test_op10_empty_sample(spark, hard):
     model = secret_scan.train_markov(secret_scan.labelled_strings(hard.limit(0), max_random=0))
     assert secret_scan.with_secret_spans(hard, model).count() == hard.count()
