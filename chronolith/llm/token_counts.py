@@ -1,44 +1,42 @@
 """Token counts by a compiled finite-state transducer.
 
-A SentencePiece BPE vocabulary is compiled, lazily, into a deterministic transducer over characters. A state
-stands for the part of a segment read so far; each transition carries the number of tokens that the reading
-adds to the count. Its target follows from the vocabulary alone: the encoding of a prefix ends in the one
-token whose left neighbour is the last token of the remaining prefix and which does not merge with it.
-No piece has a space mark after another character, so a space that follows another character resets the
-transducer to its start state, whatever was read. Whole segments are therefore arcs of their own: the count
-of a segment from the start state is kept once it has been computed.
-
-A long text is read in chunks. A chunk's state map is (open head, tokens between, open tail): what it does
-to every incoming state. Maps compose associatively and are combined by a parallel prefix scan.
-
-Cases: null and empty texts have no tokens; very long texts are read chunk by chunk; an empty table gives
-no rows; repeated rows and extra columns change nothing.
+A SentencePiece BPE vocabulary is compiled, lazily, into a deterministic transducer over characters. A state is the
+longest end of the read text that can still grow into a piece, and, for each place in it, the token that the encoding
+of the text up to there ends in, with the count there relative to the count here. There are finitely many, and
+equal ones are one state whatever text led to them. A transition reads a character and emits the change of the
+count: the encoding of the longer text ends in the one token whose left neighbour does not merge with it.
+
+No piece has a space mark after another character, so a mark that follows another character leads to a start state
+from everywhere: whole segments are arcs from start to start, kept with what they emit. Pieces of marks alone score
+below all others and alike, so a run of marks is cut from the left into the longest of them; all but its last mark
+emit a number that follows from the run's length, and the start states differ in what the last mark costs if the run takes it.
+
+A long text is read in chunks. A chunk's state map holds, for entry states, the state reached and the tokens
+emitted. Maps are made independently, compose, and are combined by a prefix scan in a logarithmic number of rounds. A map
+starts with the entry state that the characters before the chunk suggest, and takes up any other one when asked.
+
+Cases: null and empty texts have no tokens; very long texts are read chunk by chunk, in time proportional to their
+length; an empty table gives no rows; repeated rows and extra columns change nothing.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterator
-from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
 CHUNK = 1 << 16
+CONTEXT = 256  # characters before a chunk that suggest its entry state
 #: Kept arcs and states; beyond them a worker compiles anew. They bound memory and never change a count.
 ARCS, STATES = 600_000, 400_000
+_LOW, _BITS = 32, 6  # a transition is packed as target << _BITS | emitted + _LOW
 
-
-class ChunkMap(NamedTuple):
-    """What a chunk does: ``head`` belongs to a segment begun before it, ``tail`` to one still open.
-
-    ``closed`` is None for a chunk without a segment start; then ``head`` is all of it."""
-
-    head: str
-    closed: int | None
-    tail: str
+#: The last token there, and the count there minus the count here. Where the segment starts, the cost of its mark as a
+#: token alone stands for the token.
+Place = tuple[str | int, int]
 
 
 class Transducer:
@@ -52,24 +50,42 @@ class Transducer:
                 self.score[sp.id_to_piece(i)] = sp.get_score(i)
         if any(MARK in p.lstrip(MARK) for p in self.score):
             raise ValueError("a piece crosses a segment start")
+        runs = {p: s for p, s in self.score.items() if len(p) > 1 and not p.strip(MARK)}
+        if any(p.startswith(MARK * 2) for p in self.score.keys() - runs.keys()) or len(set(runs.values())) > 1 or max(runs.values(), default=-1e30) >= min(s for p, s in self.score.items() if len(p) > 1 and p not in runs):
+            raise ValueError("the pieces of spaces alone have not one score below all others")
+        # tokens of runs of marks by the defining procedure: they repeat with the longest piece
+        self.period = max(map(len, runs), default=1)
+        self.in_run = [len(self.merge(MARK * n)) if n else 0 for n in range(4 * self.period)]
+        if any(self.in_run[n] != self._run(n) for n in range(4 * self.period)):
+            raise ValueError("runs of spaces have no period")
         # pieces that merging reaches at all, with the two halves of their last merge; characters stand for themselves
         self.halves: dict[str, tuple[str, str]] = {}
         for p in self.score:
-            if len(p) > 1 and self.merge(p, last := []) == [p]:
+            if len(p) > 1 and not p.startswith(MARK * 2) and self.merge(p, last := []) == [p]:
                 self.halves[p] = last[-1]
-        # longest piece by its last two characters; neighbours inside pieces: others never merge, so a segment falls apart there
-        self.reach: dict[str, int] = {}
-        for p in self.halves:
-            self.reach[p[-2:]] = max(len(p), self.reach.get(p[-2:], 0))
-        self.beside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
-        order = sorted(self.halves, key=lambda p: -self.score[p])
-        self.rank = {p: i for i, p in enumerate(order)}
+        self.begins = {p[:n] for p in self.halves for n in range(1, len(p))}
+        self.rank = {p: i for i, p in enumerate(sorted(self.halves, key=lambda p: -self.score[p]))}
         self.arcs: dict[str, int] = {}
         self.reset()
 
+    def _run(self, n: int) -> int:
+        """Tokens of a run of n marks."""
+        full, rest = divmod(n, self.period)
+        return full * self.in_run[self.period] + self.in_run[rest]
+
     def reset(self) -> None:
-        self.next: dict[int, int] = {}  # state << 21 | character: state
-        self.count, self.last = array("i", [0]), array("h", [0])  # tokens so far; characters of the last token
+        self.next: dict[int, int] = {}  # state << 21 | character: target << _BITS | emitted + _LOW
+        self.states: list[tuple[str, tuple[Place, ...]]] = []
+        self.number: dict[tuple[str, tuple[Place, ...]], int] = {}
+        costs = {self._run(n + 1) - self._run(n) for n in range(2 * self.period)}
+        self.start = {c: self._state("", ((c, 0),)) for c in sorted(costs, reverse=True)}
+
+    def _state(self, end: str, places: tuple[Place, ...]) -> int:
+        key = end, places
+        if key not in self.number:
+            self.number[key] = len(self.states)
+            self.states.append(key)
+        return self.number[key]
 
     def merge(self, text: str, done: list[tuple[str, str]] | None = None) -> list[str]:
         """The defining procedure: merge the best-scored adjacent pair, leftmost first."""
@@ -111,41 +127,50 @@ class Transducer:
         """Ids that a token stands for: unknown characters fall back to their bytes."""
         return 1 if token in self.score else len(token.encode())
 
-    def segment(self, text: str) -> int:
-        """Runs the transducer over one segment and adds up what its transitions emit."""
-        if text.startswith(MARK + MARK):  # equal scores in runs of spaces: no order of merges to compile
-            return sum(map(self.cost, self.merge(text)))
-        if len(self.count) > STATES:
-            self.reset()
-        nxt, count, last, rank, reach = self.next, self.count, self.last, self.rank, self.reach.get
-        state, path = 0, [0]
-        for i, c in enumerate(text):
-            key = state << 21 | ord(c)
-            to = nxt.get(key)
-            if to is None:
-                at = i + 1
-                for n in range(min(reach(text[i - 1 : at], 1), at) if i else 1, 0, -1):
-                    token = text[at - n : at]
-                    if n > 1 and token not in rank:
-                        continue
-                    before = path[at - n]
-                    if not before or self.compatible(text[at - n - last[before] : at - n], token):
-                        break
-                to = len(count)
-                nxt[key] = to
-                count.append(count[before] + self.cost(token))
-                last.append(n)
-            state = to
-            path.append(to)
-        return count[state]
+    def _compile(self, state: int, c: str) -> int:
+        """The packed transition of a state by a character."""
+        end, places = self.states[state]
+        text = end + c
+        for n in range(len(text), 0, -1):
+            token = text[-n:]
+            if n > 1 and token not in self.rank:
+                continue
+            before, count = places[len(end) + 1 - n]
+            if isinstance(before, int) or self.compatible(before, token):
+                break
+        emitted = count + (before if isinstance(before, int) and token == MARK else self.cost(token))
+        keep = len(text)
+        while keep and text[-keep:] not in self.begins:
+            keep -= 1
+        whole = [(t, k - emitted) for t, k in places] + [(token, 0)]
+        to = self._state(text[len(text) - keep :], tuple(whole[len(whole) - keep - 1 :]))
+        found = self.next[state << 21 | ord(c)] = to << _BITS | emitted + _LOW
+        return found
+
+    def run(self, state: int, text: str) -> tuple[int, int]:
+        """(state reached, tokens emitted) for a text without a segment start."""
+        get, total = self.next.get, 0
+        low = (1 << _BITS) - 1
+        for c in text:
+            step = get(state << 21 | ord(c))
+            if step is None:
+                step = self._compile(state, c)
+            total += step & low
+            state = step >> _BITS
+        return state, total - _LOW * len(text)
+
+    def _entry(self, segment: str) -> tuple[int, int, str]:
+        """(start state, tokens of the run before the last mark, segment with one mark)."""
+        if not segment.startswith(MARK * 2):
+            return self.start[1], 0, segment
+        word = segment.lstrip(MARK)
+        n = len(segment) - len(word)
+        return self.start[self._run(n) - self._run(n - 1)], self._run(n - 1), MARK + word
 
     def arc(self, segment: str) -> int:
-        beside = self.beside
-        cuts = [i for i in range(1, len(segment)) if segment[i - 1 : i + 1] not in beside]
-        if cuts:
-            found = self.closed([segment[i:j] for i, j in zip([0, *cuts], [*cuts, len(segment)])])
-        else:
-            found = self.segment(segment)
+        """What a whole segment emits."""
+        state, emitted, one = self._entry(segment)
+        found = emitted + self.run(state, one)[1]
         if len(segment) <= 64:
             if len(self.arcs) >= ARCS:
                 self.arcs.clear()
@@ -161,47 +186,74 @@ class Transducer:
                     got[i] = self.arc(segments[i]) if known is None else known
         return sum(got)
 
-    def map_of(self, chunk: str) -> ChunkMap:
-        """The state map of a chunk; ``chunk`` has marks for spaces and does not end inside a run of them."""
+    def map_of(self, chunk: str, entries: list[int]) -> ChunkMap:
+        """The state map of a chunk, which has marks for spaces and does not begin or end beside one inside a run."""
         head, *rest = split_segments(chunk)
-        if not rest:
-            return ChunkMap(head, None, "")
-        return ChunkMap(head, self.closed(rest[:-1]), rest[-1])
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if a.closed is None:
-            return ChunkMap(a.head + b.head, b.closed, b.tail)
-        if b.closed is None:
-            return ChunkMap(a.head, a.closed, a.tail + b.head)
-        return ChunkMap(a.head, a.closed + self.closed([a.tail + b.head]) + b.closed, b.tail)
-
-    def scan(self, maps: list[ChunkMap]) -> list[ChunkMap]:
-        """All prefixes' maps, in a logarithmic number of rounds of pairwise compositions."""
-        if len(maps) < 2:
-            return maps
-        pairs = self.scan([self.compose(maps[i], maps[i + 1]) for i in range(0, len(maps) - 1, 2)])
-        return [maps[0] if i == 0 else pairs[i // 2] if i % 2 else self.compose(pairs[i // 2 - 1], maps[i]) for i in range(len(maps))]
-
-    def total(self, whole: ChunkMap) -> int:
-        """Applies a whole text's map to the start state."""
-        ends = [x for x in (whole.head, whole.tail) if x]
-        return (whole.closed or 0) + self.closed(ends)
+        fixed = None
+        if rest:
+            state, emitted, one = self._entry(rest[-1])
+            state, more = self.run(state, one)
+            fixed = state, self.closed(rest[:-1]) + emitted + more
+        return ChunkMap(lambda q: self._through(q, head, fixed), entries)
+
+    def _through(self, state: int, head: str, fixed: tuple[int, int] | None) -> tuple[int, int]:
+        state, emitted = self.run(state, head)
+        return (state, emitted) if fixed is None else (fixed[0], emitted + fixed[1])
 
     def tokens(self, text: str) -> int:
         if not text:
             return 0
+        if len(self.states) > STATES:
+            self.reset()
         text = MARK + text.replace(" ", MARK)
         if len(text) <= CHUNK:
             return self.closed([x for x in split_segments(text) if x])
         cuts = [0]
         while len(text) - cuts[-1] > CHUNK:
             at = cuts[-1] + CHUNK
-            while at < len(text) and (text[at - 1] == MARK or text[at] == MARK):  # not beside a mark
-                at += 1
+            if MARK in (text[at - 1], text[at]):  # not inside a run of marks: where it begins or, if that is too early, after it
+                begin = len(text[cuts[-1] : at].rstrip(MARK)) + cuts[-1]
+                at = begin if begin > cuts[-1] else len(text) - len(text[at:].lstrip(MARK))
+            if at >= len(text):
+                break
             cuts.append(at)
-        maps = [self.map_of(text[a:b]) for a, b in zip(cuts, [*cuts[1:], len(text)]) if a < b]
-        return self.total(self.scan(maps)[-1])
+        maps = []
+        for a, b in zip(cuts, [*cuts[1:], len(text)]):
+            *_, context = split_segments(text[max(0, a - CONTEXT) : a])
+            state, _, one = self._entry(context)
+            maps.append(self.map_of(text[a:b], [self.run(state, one)[0] if a else self.start[1]]))
+        return scan(maps)[-1](self.start[1])[1]
+
+
+class ChunkMap:
+    """Entry state: (state reached, tokens emitted); entries that were not foreseen are added when asked for."""
+
+    def __init__(self, through, entries: list[int]):
+        self.through = through
+        self.held = {q: through(q) for q in entries}
+
+    def __call__(self, state: int) -> tuple[int, int]:
+        if state not in self.held:
+            self.held[state] = self.through(state)
+        return self.held[state]
+
+    def __add__(self, other: ChunkMap) -> ChunkMap:
+        """First this map, then the other."""
+
+        def through(q: int) -> tuple[int, int]:
+            middle, emitted = self(q)
+            end, more = other(middle)
+            return end, emitted + more
+
+        return ChunkMap(through, list(self.held))
+
 
+def scan(maps: list[ChunkMap]) -> list[ChunkMap]:
+    """All prefixes' maps, in a logarithmic number of rounds of pairwise compositions."""
+    if len(maps) < 2:
+        return maps
+    pairs = scan([maps[i] + maps[i + 1] for i in range(0, len(maps) - 1, 2)])
+    return [maps[0] if i == 0 else pairs[i // 2] if i % 2 else pairs[i // 2 - 1] + maps[i] for i in range(len(maps))]
 
 
 def split_segments(text: str) -> list[str]:
