@@ -2,10 +2,10 @@
 
 Every task packs the documents it reads as they come. ``level[h]`` counts the open windows filled to ``h``
 tokens; a piece goes to the open window, or to a new one, whose choice leaves the smallest sum of squared
-counts. At most ``max_open`` windows are open: where the rule would open another, the piece is cut so that
-it fills the fullest open one exactly. When the rows end, the windows still open are poured together, and
-the last one is cut at powers of two, so a task leaves almost no padding. A task's memory is bounded by its
-open windows and one batch of documents; nothing is shuffled.
+counts. Nothing else decides. When the open windows hold more than ``max_held`` tokens, or the rows end, they are
+poured together: documents are cut so that all windows but one are full. The last one is cut at powers of two,
+so a task leaves almost no padding. A task's memory is bounded by ``max_held`` and one batch of documents;
+nothing is shuffled.
 
 Cases: a null or empty text has just the closing id; rows with null ids, repeated rows and ties are packed
 like any other; an empty table gives no pieces; extra columns are ignored.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from chronolith.llm.bpe_words import word_tokenizer
 
 WINDOW = 2048
-MAX_OPEN = 24
+MAX_HELD = 4 << 20  # tokens: 16 MB of ids
 END_ID = 1
 #: Sequence ids of a task begin at its number times this.
 TASK_STRIDE = 1 << 33
@@ -33,23 +33,25 @@ Piece = tuple[int, int, int]  # document's index, start, length
 class SumOfSquares:
     """Packs lengths; yields ``(document, start, length, window, offset)``."""
 
-    def __init__(self, capacity: int = WINDOW, max_open: int = MAX_OPEN, first_window: int = 0):
-        self.capacity, self.max_open = capacity, max_open
+    def __init__(self, capacity: int = WINDOW, max_held: int = MAX_HELD, first_window: int = 0):
+        self.capacity, self.max_held = capacity, max_held
         self.level = np.zeros(capacity + 1, np.int64)
         self.open: dict[int, list[int]] = {}  # fill level: windows
         self.pieces: dict[int, list[Piece]] = {}
         self.next = first_window
-        self.n_open = 0
+        self.held = 0  # tokens in open windows
 
     def _choose(self, size: int) -> int:
         """The fill level whose window takes the piece; 0 for a new window."""
         c, level = self.capacity, self.level
-        heights = np.array([0, *(h for h in self.open if h + size <= c)])
+        heights = np.flatnonzero(level[: c - size + 1])
         after = heights + size
-        # d/d(sum of squares): one window leaves level h (not for a new one), one joins h + size (not when full)
-        cost = np.where(heights > 0, 1 - 2 * level[heights], 0) + np.where(after < c, 1 + 2 * level[after], 0)
-        best = heights[cost == cost.min()]
-        return int(best.max())  # ties: the fullest
+        # d/d(sum of squares): one window leaves level h, one joins h + size (not when full); a new one only joins
+        cost = 1 - 2 * level[heights] + np.where(after < c, 1 + 2 * level[after], 0)
+        new = 1 + 2 * int(level[size]) if size < c else 0
+        if not len(cost) or (least := int(cost.min())) > new:
+            return 0
+        return int(heights[cost == least][-1])  # ties: the fullest
 
     def _put(self, height: int, piece: Piece) -> Iterator[tuple[int, int, int, int, int]]:
         if height:
@@ -58,7 +60,7 @@ class SumOfSquares:
             self.level[height] -= 1
             if not windows:
                 del self.open[height]
-            self.n_open -= 1
+            self.held -= height
         else:
             window, self.next = self.next, self.next + 1
             self.pieces[window] = []
@@ -70,7 +72,7 @@ class SumOfSquares:
         else:
             self.open.setdefault(filled, []).append(window)
             self.level[filled] += 1
-            self.n_open += 1
+            self.held += filled
 
     def _emit(self, window: int) -> Iterator[tuple[int, int, int, int, int]]:
         offset = 0
@@ -83,36 +85,43 @@ class SumOfSquares:
         while length - start >= self.capacity:
             yield from self._put(0, (doc, start, self.capacity))
             start += self.capacity
-        while start < length:
+        if start < length:
             size = length - start
-            height = self._choose(size)
-            if not height and self.n_open >= self.max_open:
-                height = max(self.open)
-                size = min(size, self.capacity - height)
-            yield from self._put(height, (doc, start, size))
-            start += size
+            yield from self._put(self._choose(size), (doc, start, size))
+        if self.held > self.max_held:
+            yield from self._pour()
 
-    def finish(self) -> Iterator[tuple[int, int, int, int, int]]:
-        """Pours the open windows together; the last window ends at a power of two, again and again."""
+    def _pour(self, end: bool = False) -> Iterator[tuple[int, int, int, int, int]]:
+        """Pours the open windows together, fullest first. What fills no window stays open or, at the end, is cut at powers of two."""
         left = [p for h in sorted(self.open, reverse=True) for w in self.open[h] for p in self.pieces.pop(w)]
-        self.open, self.n_open = {}, 0
+        self.open, total, self.held = {}, self.held, 0
         self.level[:] = 0
-        total = sum(p[2] for p in left)
-        room, offset = self._room(total), 0
+        room, offset, rest = self._room(total), 0, []
         for doc, start, length in left:
             while length:
                 size = min(length, room - offset)
-                yield doc, start, size, self.next, offset
+                if end or room == self.capacity:
+                    yield doc, start, size, self.next, offset
+                else:
+                    size = length
+                    rest.append((doc, start, size))
                 start, length, offset, total = start + size, length - size, offset + size, total - size
-                if offset == room:
+                if offset == room and not rest:
                     self.next += 1
                     room, offset = self._room(total), 0
+        if rest:
+            filled = sum(p[2] for p in rest)
+            self.pieces[self.next], self.open[filled], self.level[filled], self.held = rest, [self.next], 1, filled
+            self.next += 1
+
+    def finish(self) -> Iterator[tuple[int, int, int, int, int]]:
+        yield from self._pour(end=True)
 
     def _room(self, total: int) -> int:
         return self.capacity if total >= self.capacity else 1 << max(total.bit_length() - 1, 0)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_open: int = MAX_OPEN, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, max_held: int = MAX_HELD, end_id: int = END_ID) -> DataFrame:
     """One row for each piece: the document's id, ``start``, ``length``, ``doc_tokens``, ``sequence_id``,
     ``offset`` and ``ids`` (little-endian unsigned 32-bit token ids)."""
     import pyarrow as pa
@@ -124,21 +133,22 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
         from pyspark import TaskContext
 
         encode = word_tokenizer(tokenizer).encode
-        packer = SumOfSquares(window, max_open, TaskContext.get().partitionId() * TASK_STRIDE)
-        tokens: dict[int, bytes] = {}  # of documents with pieces in open windows
-        names: dict[int, object] = {}
+        packer = SumOfSquares(window, max_held, TaskContext.get().partitionId() * TASK_STRIDE)
+        tokens: dict[int, tuple[int, bytes]] = {}  # of documents with pieces in open windows: from which token on, ids
+        names: dict[int, tuple[object, int]] = {}  # id, tokens
         count = 0
 
         def rows(placed: list) -> pa.RecordBatch:
+            cut = lambda d, s, n: tokens[d][1][4 * (s - tokens[d][0]) : 4 * (s - tokens[d][0] + n)]
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([names[d] for d, *_ in placed], kind),
+                    pa.array([names[p[0]][0] for p in placed], kind),
                     pa.array([p[1] for p in placed], pa.int64()),
                     pa.array([p[2] for p in placed], pa.int64()),
-                    pa.array([len(tokens[p[0]]) // 4 for p in placed], pa.int64()),
+                    pa.array([names[p[0]][1] for p in placed], pa.int64()),
                     pa.array([p[3] for p in placed], pa.int64()),
                     pa.array([p[4] for p in placed], pa.int64()),
-                    pa.array([tokens[d][4 * s : 4 * (s + n)] for d, s, n, _, _ in placed], pa.binary()),
+                    pa.array([cut(*p[:3]) for p in placed], pa.binary()),
                 ],
                 ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"],
             )
@@ -149,17 +159,21 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
             texts = batch.column(1)
             ids = batch.column(0).to_pylist()
             for low in range(0, batch.num_rows, 256):
-                placed = []
+                placed, fresh = [], count
                 for k, text in enumerate(texts.slice(low, 256).to_pylist(), low):
-                    tokens[count] = encode(text or "") + end
-                    names[count] = ids[k]
-                    placed.extend(packer.add(count, len(tokens[count]) // 4))
+                    data = encode(text or "") + end
+                    tokens[count] = 0, data
+                    names[count] = ids[k], len(data) // 4
+                    placed.extend(packer.add(count, len(data) // 4))
                     count += 1
                 if placed:
                     yield rows(placed)
-                live = {p[0] for held in packer.pieces.values() for p in held}
-                tokens = {d: tokens[d] for d in live}
-                names = {d: names[d] for d in live}
+                open_from: dict[int, int] = {}  # first token that an open window still needs
+                for held in packer.pieces.values():
+                    for d, start, _ in held:
+                        open_from[d] = min(start, open_from.get(d, start))
+                tokens = {d: (tokens[d] if d < fresh or not start else (start, tokens[d][1][4 * start :])) for d, start in open_from.items()}
+                names = {d: names[d] for d in open_from}
         if kind is not None and (placed := list(packer.finish())):
             yield rows(placed)
 
