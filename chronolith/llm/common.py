@@ -1,4 +1,4 @@
-"""Helpers shared by the training-data operators: shared storage, UTF-8 hygiene and id checks."""
+"""Helpers shared by the training-data operators: shared storage and names of helper columns."""
 
 from __future__ import annotations
 
@@ -39,5 +39,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_work_files(spark: SparkSession) -> bool:
+    """Deletes what the operators wrote to the shared folder. Results that were not yet read or written elsewhere are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/chronolith")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, lengthened until no column has them: for helper columns beside the caller's own."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,13 +2,16 @@
 
 A bucket is a prefix of hash bits. Only a bucket whose rows exceed the byte limit is split on another bit, until
 every shard fits. The bytes of all rows are summed once by a fine prefix; sums over shorter prefixes decide how
-many bits each shard needs. Rows whose fine bucket is still too large go on with further bits of the hash, then
-of a hash of key and text, then, where rows are equal, of a row number: so a hot key is split as well. A single
-row above the limit is a shard of its own.
+many bits each shard needs. Rows whose fine bucket is still too large go on with further bits: of the key's hash
+while the bucket has several keys, else of a hash of key and text, and where rows are equal, of a row number. So
+a hot key is split at once, and rounds go on until every row has its shard. A single row above the limit is a
+shard of its own. :func:`directory` lists the shards.
+
+Sizes and hashes are taken before the first shuffle: the text moves only if the caller keeps it.
 
 Cases: null keys and texts are hashed as empty ones; repeated rows may fall into different shards once their
-bucket is too large; ties do not matter; an empty table gives no rows; extra columns are kept, but for those of
-the added columns' names.
+bucket is too large; ties do not matter; an empty table gives no rows; extra columns are kept, whatever their
+names, but for those of the added columns' names.
 """
 
 from __future__ import annotations
@@ -18,61 +21,71 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import materialize
+from chronolith.llm.common import fresh, materialize
 
 LIMIT = 1 << 20
-MOST_BITS = 20  # of one round: bounds the fine buckets
-ROUNDS = 12  # four of the key's hash, four with the text, then by row number
-
+MOST_BITS = 24  # of one round: bounds the fine buckets
+ADDED = ("shard", "depth", "doc_bytes", "shard_bytes")
 
-def _word(digest: Column, k: int) -> Column:
-    """32 bits of a hexadecimal digest."""
-    return F.conv(F.substring(digest, 8 * (k % 4) + 1, 8), 16, 10).cast("long")
 
-
-def _round_bits(k: int, key: Column, text: Column, row: Column) -> Column:
-    base = key if k < 4 else F.concat_ws("\n", key, text) if k < 8 else row
-    return _word(F.md5(base.cast("binary")), k)
+def _bits(base: Column, k: int) -> Column:
+    """32 bits of a hash of ``base``, others in each round."""
+    digest = F.md5((base if k == 0 else F.concat(base, F.lit(f":{k}"))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
 
 
 def assign_shards(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> DataFrame:
     """Adds ``shard`` (its hash prefix as bits), ``depth`` (their number), ``doc_bytes`` and ``shard_bytes``."""
-    key = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
+    kept = [c for c in docs.columns if c not in ADDED]
+    key, body, size, prefix, kind, row, fine, place = fresh([*docs.columns, "d", "p", "b", "bytes"], "_key", "_body", "_size", "_prefix", "_kind", "_row", "_fine", "_place")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    left = docs.withColumns({"_size": F.octet_length(text).cast("long"), "_prefix": F.lit(""), "_row": F.lit("0")})
-    done: list[DataFrame] = []
-    kept = [c for c in docs.columns if c not in ("shard", "depth", "doc_bytes", "shard_bytes")]
+    name = F.coalesce(F.col(key_col).cast("string"), F.lit(""))
+    # the key as text, key and text as a hash, and what the bits are taken from: 0 the key, 1 key and text, 2 the row
+    columns = {key: name, body: F.md5(F.concat_ws("\n", name, text).cast("binary")), size: F.octet_length(text).cast("long"), prefix: F.lit(""), kind: F.lit(0), row: F.lit(0).cast("long")}
+    left = docs.select(*kept, *[c.alias(n) for n, c in columns.items()])
     names = [F.col(c) for c in kept]
-    for k in range(ROUNDS):
-        if k == 8:  # equal rows: number them once, in a table that a lost executor cannot renumber
-            left = materialize(left.withColumn("_row", F.monotonically_increasing_id().cast("string")), "equal-rows")
-        total = left.agg(F.sum("_size")).first()[0]
-        if total is None:
-            if not done:
-                done.append(left.select(*names, F.lit("").alias("shard"), "_size", F.col("_size").alias("_bytes")))
+    done: list[DataFrame] = []
+    k = 0
+    while True:
+        largest = left.groupBy(prefix).agg(F.sum(size).alias("b")).agg(F.max("b")).first()[0]
+        if largest is None:
             break
-        bits = min(MOST_BITS, 3 + max(math.ceil(math.log2(max(total, 1) / limit)), 0))
-        rows = left.withColumn("_fine", F.shiftright(_round_bits(k, key, text, F.col("_row")), 32 - bits))
-        fine = rows.groupBy("_prefix", "_fine").agg(F.sum("_size").alias("b"))
-        depths = fine.select("*", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("d")).withColumn("p", F.expr(f"shiftright(_fine, {bits} - d)"))
-        fits = depths.groupBy("_prefix", "d", "p").agg(F.sum("b").alias("bytes")).where(F.col("bytes") <= limit)
-        # the shortest prefix that fits, for each fine bucket
-        mine = depths.join(fits, ["_prefix", "d", "p"]).groupBy("_prefix", "_fine").agg(F.min(F.struct("d", "bytes")).alias("_m"))
-        placed = rows.join(mine, ["_prefix", "_fine"], "left")
-        of = F.expr(f"substring(lpad(bin(_fine), {bits}, '0'), 1, _m.d)")
-        done.append(placed.where("_m is not null").select(*names, F.concat("_prefix", of).alias("shard"), "_size", F.col("_m.bytes").alias("_bytes")))
-        # a single row above the limit, or nothing left to tell rows apart
-        rest = placed.where("_m is null").withColumn("_prefix", F.concat("_prefix", F.expr(f"lpad(bin(_fine), {bits}, '0')")))
-        done.append(rest.where(F.col("_size") > limit).select(*names, F.concat("_prefix", F.lit("-"), F.md5(F.concat_ws("\n", key, text).cast("binary"))).alias("shard"), "_size", F.col("_size").alias("_bytes")))
-        left = rest.where(F.col("_size") <= limit).select(*names, "_size", "_prefix", "_row")
-        if not left.take(1):
+        bits = min(MOST_BITS, 3 + max(math.ceil(math.log2(max(largest, 1) / limit)), 0))
+        base = F.col(key) if k == 0 else F.when(F.col(kind) == 0, F.col(key)).when(F.col(kind) == 1, F.col(body)).otherwise(F.col(row).cast("string"))
+        rows = left.withColumn(fine, F.shiftright(_bits(base, k), 32 - bits))
+        buckets = rows.groupBy(prefix, fine).agg(F.sum(size).alias("b"), (F.min(key) != F.max(key)).alias("keys"), (F.min(body) != F.max(body)).alias("texts"))
+        depths = buckets.select("*", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("d")).withColumn("p", F.expr(f"shiftright({fine}, {bits} - d)"))
+        fits = depths.groupBy(prefix, "d", "p").agg(F.sum("b").alias("bytes")).where(F.col("bytes") <= limit)
+        # the shortest prefix that fits, for each fine bucket, or how to go on
+        found = depths.join(fits, [prefix, "d", "p"], "left").groupBy(prefix, fine).agg(
+            F.min(F.when(F.col("bytes").isNotNull(), F.struct("d", "bytes"))).alias("m"), F.when(F.any_value("keys"), 0).when(F.any_value("texts"), 1).otherwise(2).alias("next")
+        )
+        placed = rows.join(found.select(prefix, fine, F.struct("m", "next").alias(place)), [prefix, fine])
+        of = F.expr(f"substring(lpad(bin({fine}), {bits}, '0'), 1, {place}.m.d)")
+        done.append(placed.where(F.col(f"{place}.m").isNotNull()).select(*names, F.concat(prefix, of).alias("shard"), F.col(size).alias("doc_bytes"), F.col(f"{place}.m.bytes").alias("shard_bytes")))
+        rest = placed.where(F.col(f"{place}.m").isNull()).select(
+            *names, key, body, size, F.concat(prefix, F.expr(f"lpad(bin({fine}), {bits}, '0')")).alias(prefix), F.col(f"{place}.next").alias(kind), F.col(row) if k else F.monotonically_increasing_id().alias(row)
+        )
+        if k == 0 and not rest.take(1):
             break
-        left = materialize(left, "oversized")
+        # written, so that a lost executor cannot number the rows anew
+        rest = materialize(rest, "oversized")
+        alone = rest.where(F.col(size) > limit)
+        done.append(alone.select(*names, F.concat(prefix, F.lit("-"), F.col(row).cast("string")).alias("shard"), F.col(size).alias("doc_bytes"), F.col(size).alias("shard_bytes")))
+        left = rest.where(F.col(size) <= limit)
+        k += 1
+    if not done:
+        done = [left.select(*names, F.lit("").alias("shard"), F.col(size).alias("doc_bytes"), F.col(size).alias("shard_bytes"))]
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     depth = F.length(F.substring_index("shard", "-", 1)).cast("int")
-    return out.select(*kept, "shard", depth.alias("depth"), F.col("_size").alias("doc_bytes"), F.col("_bytes").alias("shard_bytes"))
+    return out.select(*kept, "shard", depth.alias("depth"), "doc_bytes", "shard_bytes")
+
+
+def directory(sharded: DataFrame) -> DataFrame:
+    """One row for each shard: its bits, their number, its bytes and its rows."""
+    return sharded.groupBy("shard").agg(F.any_value("depth").alias("depth"), F.sum("doc_bytes").alias("shard_bytes"), F.count("*").alias("n_docs"))
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
