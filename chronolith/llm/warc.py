@@ -9,8 +9,9 @@ own and moves the finished file; the table of finished files is written as Parqu
 an unused file and changes nothing.
 
 Cases: null html is an empty payload, a null url an empty target; null page ids are kept and never referred to as the
-larger one; rows with equal page ids and payloads are all responses; very long pages are streamed; an empty table gives no
-records; extra columns are ignored.
+larger one; rows with equal page ids and payloads are all responses; a task holds one record at a time, so a very long
+page needs memory for a few copies of itself; a file that ends inside a gzip member or a record, or that has
+another number of records than were written, is an error; an empty table gives no records; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from chronolith.llm.common import materialize, work_path
 REVISIT_BYTES = 1000
 LEVEL = 3
 BLOCK = 1 << 20
+ARCHIVE_BYTES = 1 << 30  # compressed; a task goes on in a new file after it
+SALTS = 64
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -66,16 +69,21 @@ def parse_head(head: bytes) -> dict[str, str]:
 
 
 def inflate(source) -> Iterator[bytes]:
-    """The contents of a gzip file of one or more members, in blocks."""
-    z = zlib.decompressobj(31)
+    """The contents of a gzip file of one or more members, in blocks; the file must end where a member does."""
+    z, fed = zlib.decompressobj(31), False
     while data := source.read(BLOCK):
         while data:
             out = z.decompress(data, 4 * BLOCK)
+            fed = True
             if out:
                 yield out
             data = z.unconsumed_tail
             if z.eof:
-                data, z = z.unused_data, zlib.decompressobj(31)
+                data, z, fed = z.unused_data, zlib.decompressobj(31), False
+    while fed and (out := z.decompress(z.unconsumed_tail, 4 * BLOCK)):
+        yield out
+    if fed and not z.eof:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def records(blocks: Iterator[bytes]) -> Iterator[bytes]:
@@ -141,40 +149,53 @@ def read_members(uri: str) -> Iterator[bytes]:
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, url, payload, digest, refers_to): of equal payloads of at least 1000 bytes the largest page id responds."""
+    """(page_id, url, payload, digest, refers_to): of equal payloads of at least 1000 bytes the largest page id responds.
+
+    Groups are decided on ids and digests alone; a payload is joined by its own page, so that no group's payloads meet in a task."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("digest", F.sha1("payload"))
-    large = F.octet_length("payload") >= REVISIT_BYTES
-    groups = rows.where(large).groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1 and keeper is not null")
-    joined = rows.where(large).join(groups.select("digest", "keeper"), "digest", "left")
-    refers = F.when(F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))
-    some = joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
-    return some.unionByName(rows.where(~large).withColumn("refers_to", F.lit(None).cast("long")))
-
-
-def write_archives(pages: DataFrame) -> DataFrame:
-    """Writes each task's pages as one monolithic gzip WARC file; returns the table of files (uri, n)."""
+    # the salt spreads pages without an id, and the members of a large group
+    rows = rows.withColumn("salt", F.when(F.octet_length("payload") >= REVISIT_BYTES, F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")))
+    slim = rows.where("salt is not null").select("page_id", "digest", "salt")
+    partial = slim.groupBy("digest", "salt").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n"))
+    groups = partial.groupBy("digest").agg(F.max("keeper").alias("keeper"), F.sum("n").alias("n")).where("n > 1 and keeper is not null")
+    spread = groups.select("digest", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    revisits = slim.join(spread, ["digest", "salt"]).where(~F.col("keeper").eqNullSafe(F.col("page_id"))).select("page_id", "digest", "salt", "keeper").distinct()
+    r, v = rows.alias("r"), revisits.alias("v")
+    on = [F.col("r.page_id").eqNullSafe(F.col("v.page_id")), F.col("r.digest") == F.col("v.digest"), F.col("r.salt") == F.col("v.salt")]
+    return r.join(v, on, "left").select("r.page_id", "r.url", "r.payload", "r.digest", F.col("v.keeper").alias("refers_to"))
+
+
+def write_archives(pages: DataFrame, *, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Writes each task's pages as monolithic gzip WARC files; returns the table of files (uri, n)."""
     import pyarrow as pa
 
     folder = work_path(pages.sparkSession, "warc")
 
     def run(batches: Iterator) -> Iterator:
-        z, out, n = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), None, 0
-        uri = f"{folder}/whole-{uuid.uuid4().hex}.warc.gz"
+        out = None
+
+        def finished() -> pa.RecordBatch:
+            out.write(z.flush())
+            out.close()
+            store.move(path + ".tmp", path)
+            return pa.RecordBatch.from_pydict({"uri": [uri], "n": pa.array([n], pa.int64())})
+
         for batch in batches:
             for i in range(batch.num_rows):
                 if out is None:
+                    z, n, uri = zlib.compressobj(LEVEL, zlib.DEFLATED, 31), 0, f"{folder}/whole-{uuid.uuid4().hex}.warc.gz"
                     store, path = _open(uri)
                     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     out = store.open_output_stream(path + ".tmp", compression=None)
                 page_id, url, payload, digest, refers = (batch.column(k)[i].as_py() for k in range(5))
                 out.write(z.compress(make_record(page_id, url, payload, digest, refers)))
                 n += 1
+                if out.tell() >= archive_bytes:
+                    yield finished()
+                    out = None
         if out is not None:
-            out.write(z.flush())
-            out.close()
-            store.move(path + ".tmp", path)
-            yield pa.RecordBatch.from_pydict({"uri": [uri], "n": pa.array([n], pa.int64())})
+            yield finished()
 
     rows = with_revisits(pages).select("page_id", "url", "payload", "digest", "refers_to")
     return materialize(rows.mapInArrow(run, "uri string, n long"), "archives")
@@ -186,12 +207,19 @@ def normalise_archives(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
+            for uri, written in zip(*(c.to_pylist() for c in batch.columns)):
                 target = uri.replace("/whole-", "/records-")
-                yield pa.RecordBatch.from_pydict({"uri": [target], "n": pa.array([normalise(uri, target)], pa.int64())})
+                n = normalise(uri, target)
+                if n != written:
+                    raise ValueError(f"{uri} has {n} records of {written}")
+                yield pa.RecordBatch.from_pydict({"uri": [target], "n": pa.array([n], pa.int64())})
+
+    return materialize(_one_each(files).mapInArrow(run, "uri string, n long"), "normalised")
+
 
-    n = max(files.count(), 1)
-    return materialize(files.select("uri").repartition(n, "uri").mapInArrow(run, "uri string, n long"), "normalised")
+def _one_each(files: DataFrame) -> DataFrame:
+    """The table of files with about one file in each partition."""
+    return files.select("uri", "n").repartitionByRange(max(files.count(), 1), "uri")
 
 
 def read_archives(files: DataFrame) -> DataFrame:
@@ -214,22 +242,24 @@ def read_archives(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                held = []
+            for uri, written in zip(*(c.to_pylist() for c in batch.columns)):
+                held, n = [], 0
                 for record in read_members(uri):
                     held.append(row(record))
+                    n += 1
                     if len(held) == 4096:
                         yield _batch(held)
                         held = []
                 if held:
                     yield _batch(held)
+                if n != written:
+                    raise ValueError(f"{uri} has {n} records of {written}")
 
     def _batch(held: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    n = max(files.count(), 1)
-    return files.select("uri").repartition(n, "uri").mapInArrow(run, schema)
+    return _one_each(files).mapInArrow(run, schema)
 
 
 def op6_query(spark, sf_dir: str) -> DataFrame:
