@@ -98,8 +98,8 @@ def position_ids(cu_seqlens: list[int], resets: list[int] | None = None) -> np.n
 
 
 def write_matrices(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end_id: int = END_ID, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Writes the matrices; returns one row for each matrix row: file, row, ids of its documents, starts
-    (the position resets) and cumulative lengths."""
+    """Writes the matrices; returns one row for each matrix row: folder, row, the byte at which its entries begin in
+    ``cu_seqlens.bin`` and in ``resets.bin``, and the ids of its documents."""
     import pyarrow as pa
     from pyarrow import fs
 
@@ -112,11 +112,11 @@ def write_matrices(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
         uri = f"{folder}/{uuid.uuid4().hex}"
         store, path = fs.FileSystem.from_uri(uri)
         ids_file = None
-        row = 0
+        row = cu_at = resets_at = 0
         arrow_id = None
 
         def pack(names: list, tokens: list[bytes]) -> pa.RecordBatch:
-            nonlocal row, ids_file
+            nonlocal row, ids_file, cu_at, resets_at
             if ids_file is None:
                 store.create_dir(path, recursive=True)
                 ids_file = store.open_output_stream(f"{path}/ids.bin"), store.open_output_stream(f"{path}/cu_seqlens.bin"), store.open_output_stream(f"{path}/resets.bin")
@@ -132,12 +132,13 @@ def write_matrices(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
                 ids_file[1].write(np.array([len(cu), *cu], "<u4").tobytes())
                 ids_file[2].write(np.array([len(starts), *starts], "<u4").tobytes())
                 cols[0].append([names[d] for d, _, _ in pieces])
-                cols[1].append(starts)
-                cols[2].append(cu)
+                cols[1].append(cu_at)
+                cols[2].append(resets_at)
+                cu_at, resets_at = cu_at + 4 * (1 + len(cu)), resets_at + 4 * (1 + len(starts))
             first, row = row, row + len(placed)
             return pa.RecordBatch.from_arrays(
-                [pa.array([uri] * len(placed)), pa.array(range(first, row), pa.int64()), pa.array(cols[0], pa.list_(arrow_id)), pa.array(cols[1], pa.list_(pa.int64())), pa.array(cols[2], pa.list_(pa.int64()))],
-                ["uri", "row", "ids", "starts", "cu_seqlens"],
+                [pa.array([uri] * len(placed)), pa.array(range(first, row), pa.int64()), pa.array(cols[0], pa.list_(arrow_id)), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
+                ["uri", "row", "ids", "cu_at", "resets_at"],
             )
 
         names: list = []
@@ -159,12 +160,18 @@ def write_matrices(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
         for f in ids_file or ():
             f.close()
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"uri string, row long, ids array<{kind}>, starts array<long>, cu_seqlens array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"uri string, row long, ids array<{kind}>, cu_at long, resets_at long")
     return materialize(rows, "matrix-rows")
 
 
+def _entries(file, at: int) -> list[int]:
+    """The numbers of one row in a file of counted rows."""
+    file.seek(at)
+    return np.frombuffer(file.read(4 * int.from_bytes(file.read(4), "little")), "<u4").tolist()
+
+
 def read_pieces(rows: DataFrame, *, window: int = WINDOW, width: int = 2) -> DataFrame:
-    """Reads the matrices back: one row for each piece, with a checksum of its ids as unsigned 32-bit integers."""
+    """Reads the three files back: one row for each piece, with a checksum of its ids as unsigned 32-bit integers."""
     import pyarrow as pa
     from pyarrow import fs
 
@@ -175,18 +182,21 @@ def read_pieces(rows: DataFrame, *, window: int = WINDOW, width: int = 2) -> Dat
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
             for r in batch.to_pylist():
-                if r["uri"] not in opened:
+                if (r["uri"], "ids") not in opened:
                     for f in opened.values():
                         f.close()
                     store, path = fs.FileSystem.from_uri(r["uri"])
-                    opened = {r["uri"]: store.open_input_file(f"{path}/ids.bin")}
-                f = opened[r["uri"]]
-                f.seek(r["row"] * window * width)
-                ids = np.frombuffer(f.read(window * width), f"<u{width}").astype("<u4")
-                if ids[r["cu_seqlens"][-1] :].any():
+                    opened = {(r["uri"], f): store.open_input_file(f"{path}/{f}.bin") for f in ("ids", "cu_seqlens", "resets")}
+                ids_file, cu_file, resets_file = opened.values()
+                ids_file.seek(r["row"] * window * width)
+                ids = np.frombuffer(ids_file.read(window * width), f"<u{width}").astype("<u4")
+                cu, starts = _entries(cu_file, r["cu_at"]), _entries(resets_file, r["resets_at"])
+                if len(starts) != len(r["ids"]) or len(cu) != len(starts) + 1 or cu[0]:
+                    raise ValueError("segments differ from the table of rows")
+                if ids[cu[-1] :].any():
                     raise ValueError("padding is not zero")
-                for i, (doc, start) in enumerate(zip(r["ids"], r["starts"])):
-                    a, b = r["cu_seqlens"][i], r["cu_seqlens"][i + 1]
+                for i, (doc, start) in enumerate(zip(r["ids"], starts)):
+                    a, b = cu[i], cu[i + 1]
                     for c, x in zip(out, (doc, start, b - a, zlib.crc32(ids[a:b].tobytes()), r["uri"][-32:], r["row"], a)):
                         c.append(x)
             kinds = [batch.schema.field("ids").type.value_type, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
