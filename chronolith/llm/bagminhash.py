@@ -1,10 +1,11 @@
 """BagMinHash signatures of multisets of word shingles, vectorised over many documents.
 
 A shingle that occurs ``w`` times owns the weights 0 to w. The weight axis is cut into the dyadic intervals
-[0, 1), [1, 2), [2, 4), [4, 8) and so on; each (shingle, interval) has a Poisson process of points with a time,
-a weight level inside the interval (drawn bit by bit: halves of halves) and one of the ``k`` registers. Points
-whose level is below ``w`` count, so a register's earliest point is the same in two documents with the
-probability of their weighted Jaccard similarity. A process is followed only as far as a time bound that fills
+[0, 1), [1, 2), [2, 4), [4, 8) and so on; each (shingle, interval) has a Poisson process of points in time. A process
+splits into those of its interval's halves, these into those of theirs, and so on down to unit weights: one more random
+bit of a point says which half it goes to, which makes the halves' processes independent Poisson processes. Each
+point also goes to one of the ``k`` registers. Points below ``w`` count, so a register's earliest point is the same in
+two documents with the probability of their weighted Jaccard similarity. A process is followed only as far as a time bound that fills
 all registers of its document; documents with an empty register are drawn again with a later bound.
 """
 
@@ -111,7 +112,8 @@ def _draw(out: np.ndarray, bags: list, rows: np.ndarray, bound: np.ndarray, k: i
             live = time < end
             seed, time, w, at, end, draw = seed[live], time[live], w[live], at[live], end[live], draw[live]
             more = mix(draw + _U(0x632BE59BD9B4E019))
-            inside = slice(None) if length == 1 else low + (more >> _U(32)).astype(np.int64) % length < w
+            # one bit for each halving of the interval, the first one highest
+            inside = slice(None) if length == 1 else low + (more >> _U(64 - length.bit_length() + 1)).astype(np.int64) < w
             np.minimum.at(flat, at[inside] * k + (more[inside] & _U(0xFFFFFFFF)).astype(np.int64) % k, time[inside])
         level += 1
         go = count > ((1 << level) >> 1)

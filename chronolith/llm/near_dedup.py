@@ -3,10 +3,10 @@
 Texts are told apart by a 128-bit digest, so exact copies are one node and cost nothing further. Nodes that
 share a band's key are candidates. Every bucket has a hub, the member with most bucket mates; each member's
 bag is compared with its hubs' bags exactly. Pairs of members that a hub does not link are compared in blocks,
-each bag held as bits over the hub's bag plus its other shingles: one matrix product gives a block's overlaps,
+each bag held as bits over the hub's bag plus its other shingles: matrix products of strips give a block's overlaps,
 and a block returns no more links than it has rows. So every candidate pair is decided by its exact
-similarity, large buckets are spread over tasks, and no list of all pairs is made. Classes are the connected
-components of the links.
+similarity, large buckets are spread over tasks, and no list of all pairs is made. A block holds at most
+``BLOCK_BYTES`` of bags, a strip's matrices a few ten MB. Classes are the connected components of the links.
 
 Words are cut at ASCII white space and compared in lower case; a text of fewer than five words is one
 shingle. Cases: null and empty texts are equal texts, one class; rows with a null id keep a null class; repeated
@@ -23,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm import bagminhash as bmh
-from chronolith.llm.common import materialize
+from chronolith.llm.common import fresh, materialize
 from chronolith.llm.components import components
 
 BANDS, ROWS = 26, 5  # a pair of similarity 0.8 shares a band with probability 0.99997
 THRESHOLD = 0.8
 LEAST_BLOCK, MOST_BLOCK, BLOCKS = 512, 65_536, 16
+BLOCK_BYTES = 32 << 20
+LEFT_STRIP, RIGHT_STRIP = 256, 1024  # rows whose bits are unpacked at a time
+OVERLAPS = 1 << 21  # common shingles outside the hub's that are added at a time
+HUB_MEMBERS = 2048  # that meet one copy of a hub's text
 SEEN = 200_000
 
 
@@ -93,27 +97,37 @@ def compare_with_hub(texts: pd.Series, hubs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["j", "size", "bits", "other"])
 
 
+def _sorted_others(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' other shingles in order, and the row of each."""
+    parts = [np.frombuffer(b, np.int64) for b in rows.other]
+    values, row = np.concatenate(parts), np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    order = np.argsort(values, kind="stable")
+    return values[order], row[order]
+
+
+def _add_common(block: np.ndarray, values: np.ndarray, row: np.ndarray, all_values: np.ndarray, all_rows: np.ndarray) -> None:
+    """Adds one to ``block`` for each shingle that a row (``values``, ``row``) shares with a column."""
+    low = np.searchsorted(all_values, values, "left")
+    n = np.searchsorted(all_values, values, "right") - low
+    some = n > 0
+    low, n, row = low[some], n[some], row[some]
+    ends = np.cumsum(n)
+    at = 0
+    while at < len(n):
+        done = ends[at - 1] if at else 0
+        to = max(int(np.searchsorted(ends, done + OVERLAPS, "right")), at + 1)
+        k = n[at:to]
+        column = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(low[at:to], k)
+        np.add.at(block, (np.repeat(row[at:to], k), all_rows[column]), 1)
+        at = to
+
+
 def _links_of_block(cell: pd.DataFrame) -> pd.DataFrame:
     """Links between the unlinked rows of a block (role 0) and its other rows, one for each class they join."""
     out = []
     left, right = cell[cell.role == 0], cell[cell.role == 1]
     if len(left) and len(right):
         bits = lambda rows: np.unpackbits(np.stack([np.frombuffer(b, np.uint8) for b in rows.bits]), axis=1).astype(np.float32)
-        others = [{}, {}]
-        for k, rows in enumerate((left, right)):
-            for i, b in enumerate(rows.other):
-                for s in np.frombuffer(b, np.int64).tolist():
-                    others[k].setdefault(s, []).append(i)
-        rbits, rsize, rnode = bits(right), right["size"].to_numpy(), right.node.to_numpy()
-        linked = right.linked.to_numpy()
-        lnode, lsize = left.node.to_numpy(), left["size"].to_numpy()
-        lbits = bits(left)
-        extra: dict[int, dict[int, int]] = {}
-        for s, mine in others[0].items():
-            for j in others[1].get(s, ()):
-                for i in mine:
-                    row = extra.setdefault(i, {})
-                    row[j] = row.get(j, 0) + 1
         root = {}
 
         def find(x):
@@ -121,15 +135,18 @@ def _links_of_block(cell: pd.DataFrame) -> pd.DataFrame:
                 x = root[x]
             return x
 
-        for low in range(0, len(left), 256):
-            block = lbits[low : low + 256] @ rbits.T
-            for i in range(len(block)):
-                row = block[i]
-                for j, n in extra.get(low + i, {}).items():
-                    row[j] += n
-                both = lsize[low + i] + rsize
-                for j in np.flatnonzero(row * (1 + THRESHOLD) >= THRESHOLD * both - 1e-6):
-                    a, b = lnode[low + i], rnode[j]
+        for first in range(0, len(right), RIGHT_STRIP):
+            columns = right[first : first + RIGHT_STRIP]
+            rbits, rsize, rnode, linked = bits(columns), columns["size"].to_numpy(), columns.node.to_numpy(), columns.linked.to_numpy()
+            rvalues, rrows = _sorted_others(columns)
+            for low in range(0, len(left), LEFT_STRIP):
+                rows = left[low : low + LEFT_STRIP]
+                lsize, lnode = rows["size"].to_numpy(), rows.node.to_numpy()
+                block = bits(rows) @ rbits.T
+                _add_common(block, *_sorted_others(rows), rvalues, rrows)
+                both = lsize[:, None] + rsize
+                for i, j in np.argwhere(block.astype(float) * (1 + THRESHOLD) >= THRESHOLD * both - 1e-6):
+                    a, b = lnode[i], rnode[j]
                     if a == b:
                         continue
                     x, y = find(a), find(b"" if linked[j] else b)  # linked rows are one class already
@@ -156,13 +173,19 @@ def near_duplicate_links(rows: DataFrame, first: DataFrame) -> DataFrame:
     texts = rows.join(wanted.hint("merge"), ["id", "node"], "left_semi").dropDuplicates(["id", "node"]).select("node", "text")
     texts = materialize(texts, "candidates")
     compare = F.pandas_udf(compare_with_hub, "struct<j double, size int, bits binary, other binary>")
-    joined = pairs.join(texts, "node").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
+    # a hub's text is repeated, so that no task has more than its share of a large hub's members
+    copies = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("copies"))
+    hubs = texts.withColumnRenamed("node", "hub").join(copies, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("text").alias("hub_text"))
+    dealt = pairs.join(copies, "hub").select("hub", "node", F.pmod(F.xxhash64("node"), F.col("copies")).cast("int").alias("copy"))
+    joined = dealt.join(texts, "node").join(hubs, ["hub", "copy"])
     members = materialize(joined.select("hub", "node", compare("text", "hub_text").alias("c")).select("hub", "node", "c.*", (F.col("c.j") >= THRESHOLD).alias("linked")), "members")
     links = members.where("linked").select(F.col("hub").alias("a"), F.col("node").alias("b"))
     # blocks of the hubs that leave two members undecided
-    of_hub = members.groupBy("hub").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("open")).where("open > 0 and n > 1")
+    size = F.sum(F.octet_length("bits") + F.octet_length("other"))
+    of_hub = members.groupBy("hub").agg(F.count("*").alias("n"), F.count_if(~F.col("linked")).alias("open"), size.alias("bytes")).where("open > 0 and n > 1")
     block = F.least(F.lit(MOST_BLOCK), F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.col("n") / BLOCKS)))
-    rows = members.join(of_hub.select("hub", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    rows = members.join(of_hub.select("hub", blocks.alias("blocks")), "hub").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     left = rows.where("not linked").withColumn("y", every).withColumn("x", F.col("own")).withColumn("role", F.lit(0))
     right = rows.withColumn("x", every).withColumn("y", F.col("own")).withColumn("role", F.lit(1))
@@ -172,27 +195,40 @@ def near_duplicate_links(rows: DataFrame, first: DataFrame) -> DataFrame:
     return links.unionByName(cells.groupBy("hub", "x", "y").applyInPandas(_links_of_block, "a binary, b binary"))
 
 
+def _classes(texts: DataFrame) -> DataFrame:
+    """(node, kept, class_id): for each node of the rows (id, node, text) the least (id, node) of its class, and its id."""
+    first = materialize(texts.where("id is not null").groupBy("node").agg(F.min("id").alias("id")), "first")
+    roots = components(near_duplicate_links(texts.where("id is not null"), first))
+    of_node = first.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    least = of_node.groupBy("root").agg(F.min(F.struct("id", "node")).alias("kept"))
+    return of_node.join(least, "root").select("node", "kept", F.col("kept.id").alias("class_id"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``class_id``, the least id among the near copies, for every row."""
-    texts = docs.select(F.col(id_col).alias("id"), _digest(F.col(text_col)).alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = _texts(docs, id_col, text_col)
     rows = texts.select("id", "node")
-    first = materialize(rows.where("id is not null").groupBy("node").agg(F.min("id").alias("id")), "first")
-    roots = components(near_duplicate_links(texts.where("id is not null"), first))
-    of_node = first.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    least = of_node.groupBy("root").agg(F.min("id").alias("class_id"))
-    classes = of_node.join(least, "root").select("node", "class_id")
-    known = rows.where("id is not null").join(classes, "node").select("id", "class_id")
+    known = rows.where("id is not null").join(_classes(texts).select("node", "class_id"), "node").select("id", "class_id")
     kind = docs.schema[id_col].dataType
     unknown = rows.where("id is null").select("id", F.lit(None).cast(kind).alias("class_id"))
     return known.unionByName(unknown).withColumnRenamed("id", id_col)
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, the one with the least id; rows without an id stay."""
-    classes = near_duplicate_classes(docs)
-    kept = classes.where("doc_id = class_id").select("doc_id").distinct()
-    whole = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return whole.unionByName(docs.where("doc_id is null"))
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each class, the one with the least id (of equal ids, the least digest of its text; of rows that
+    are equal in both, the one with the least hash of all columns). Different texts with the same id, in different classes,
+    all stay, and so do rows without an id."""
+    kept = _classes(_texts(docs, id_col, text_col)).select("kept.*").distinct()
+    [node, row] = fresh(docs.columns, "_node", "_row")
+    named = kept.select(F.col("id").alias(id_col), F.col("node").alias(node))
+    whole = docs.where(F.col(id_col).isNotNull()).withColumn(node, _digest(F.col(text_col))).join(named, [id_col, node], "left_semi")
+    of = F.struct(*docs.columns)
+    one = whole.groupBy(id_col, node).agg(F.min_by(of, F.xxhash64(*docs.columns)).alias(row)).select(f"{row}.*")
+    return one.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
