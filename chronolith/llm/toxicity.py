@@ -8,7 +8,9 @@ looks for quotation marks on both sides or a reporting word: quoted matches coun
 model over the matches' weights gives the score.
 
 The labelled sample that the lexicon, the exceptions and the model are fitted on is bounded by ``max_labelled``
-rows (chosen by a hash of the id); every document is scored over its whole text.
+rows (chosen by a hash of the id), the lexicon by ``max_terms`` terms (those with the highest ratio), and as many
+words beside stems; every document is scored over its whole text. Texts stay in Spark: the driver gets terms' counts,
+misspellings' counts and four numbers for each labelled document.
 
 Cases: null and empty texts score like a text without matches; without labels of both kinds every score is the
 share of toxic labels (0 without labels); repeated label rows count once, toxic if any is; ties, repeated rows
@@ -134,6 +136,18 @@ class ToxicityModel:
     prior: float = 0.0
 
 
+def features(found: list, weights: dict[str, float]) -> tuple[float, float, float, float]:
+    """What the logistic model sees of a document's matches."""
+    total, terms, top, n = 0.0, {}, 0.0, 0
+    for term, e, _, quoted, n in found:
+        share = MISS_SHARE**e * (QUOTED_SHARE if quoted else 1.0)
+        w = weights[term] * share
+        total += w
+        top = max(top, w)
+        terms[term] = max(share, terms.get(term, 0.0))
+    return math.log1p(total), min(sum(terms.values()), 6.0), top, math.log1p(100 * total / (n + 20))
+
+
 class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model, self.automaton = model, LexiconAutomaton(model.weights)
@@ -173,14 +187,7 @@ class Scorer:
         return found
 
     def features(self, found: list) -> tuple[float, float, float, float]:
-        total, terms, top, n = 0.0, {}, 0.0, 0
-        for term, e, _, quoted, n in found:
-            share = MISS_SHARE**e * (QUOTED_SHARE if quoted else 1.0)
-            w = self.model.weights[term] * share
-            total += w
-            top = max(top, w)
-            terms[term] = max(share, terms.get(term, 0.0))
-        return math.log1p(total), min(sum(terms.values()), 6.0), top, math.log1p(100 * total / (n + 20))
+        return features(found, self.model.weights)
 
     def score(self, found: list) -> float:
         m = self.model
@@ -215,7 +222,7 @@ def _g2(a: float, b: float, na: float, nb: float) -> float:
     return 2 * (part(a, na, p) + part(b, nb, p))
 
 
-def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
+def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int, max_terms: int = MAX_TERMS) -> dict[str, float]:
     """Weights of the terms kept from (form, toxic documents, clean documents)."""
     rate = lambda a, b: math.log((a + 0.5) / (toxic + 1)) - math.log((b + 0.5) / (clean + 1))
     by = {f: (a, b) for f, a, b in counts if rate(a, b) >= math.log(8) and _g2(a, b, toxic, clean) >= LEAST_G2}
@@ -223,11 +230,11 @@ def choose_terms(counts: list[tuple[str, int, int]], toxic: int, clean: int) ->
     drop = {f[:n] for f, (a, b) in by.items() for n in range(1, len(f)) if f[:n] in by and by[f[:n]][0] <= a and by[f[:n]][1] >= b}
     kept: dict[str, float] = {}
     for f in sorted(by.keys() - drop, key=lambda f: (-_g2(*by[f], toxic, clean), f)):
-        if not any(f[:n] in kept for n in range(1, len(f))) and not any(k.startswith(f) for k in kept) and len(kept) < MAX_TERMS:
+        if not any(f[:n] in kept for n in range(1, len(f))) and not any(k.startswith(f) for k in kept) and len(kept) < max_terms:
             kept[f] = round(min(rate(*by[f]), 6.0), 6)
     # words beside their stems: the stem takes no misspellings, the word's automaton does
     beside = [f for f in by if allowed(f) and f not in kept and any(f[:n] in kept for n in range(1, len(f)))]
-    for f in sorted(beside, key=lambda f: (-_g2(*by[f], toxic, clean), f))[:MAX_TERMS]:
+    for f in sorted(beside, key=lambda f: (-_g2(*by[f], toxic, clean), f))[:max_terms]:
         kept[f] = round(min(rate(*by[f]), 6.0), 6)
     return kept
 
@@ -246,15 +253,17 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int =
     return tuple(map(float, w[:-1])), float(w[-1])
 
 
-def clean_misspellings(found: list[list], y: Iterable[int], toxic: int, clean: int) -> frozenset[str]:
-    """Misspellings that are relatively more frequent in clean documents than in toxic ones; quoted ones do not count."""
-    seen = Counter(), Counter()
-    for hits, k in zip(found, y):
-        seen[k].update({word for _, e, word, quoted, _ in hits if e and not quoted})
-    return frozenset(word for word, n in seen[0].items() if n * toxic > seen[1][word] * clean)
+def misspellings(found: list) -> list[str]:
+    """The distinct misspelled words of a document's matches; quoted ones do not count."""
+    return sorted({word for _, e, word, quoted, _ in found if e and not quoted})
+
 
+def clean_misspellings(counts: Iterable[tuple[str, int, int]], toxic: int, clean: int) -> frozenset[str]:
+    """Of (misspelling, toxic documents, clean documents) those that are relatively more frequent in clean documents."""
+    return frozenset(word for word, a, b in counts if b * toxic > a * clean)
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> ToxicityModel:
     """Fits lexicon, exceptions and model on at most ``max_labelled`` of the labelled documents."""
     spark = docs.sparkSession
     one = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -271,22 +280,34 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_
         F.sum("y").cast("long").alias("a"), F.sum(1 - F.col("y")).cast("long").alias("b")
     )
     least = max(3, math.ceil(0.002 * toxic))  # forms below it cannot reach the least ratio with fewer documents
-    top = counted.where((F.col("a") >= least) & (F.col("a") * clean > 4 * F.col("b") * toxic)).orderBy(F.desc(F.col("a") - F.col("b") * toxic / clean), "form").limit(40 * MAX_TERMS)
-    model.weights = choose_terms([(r.form, r.a, r.b) for r in top.collect()], toxic, clean)
+    top = counted.where((F.col("a") >= least) & (F.col("a") * clean > 4 * F.col("b") * toxic)).orderBy(F.desc(F.col("a") - F.col("b") * toxic / clean), "form").limit(40 * max_terms)
+    model.weights = choose_terms([(r.form, r.a, r.b) for r in top.collect()], toxic, clean, max_terms)
     if not model.weights:
         return model
-    rows = sample.select("text", "y").toPandas()  # bounded by max_labelled
-    scorer = Scorer(model)
-    found = [scorer.matches(t) for t in rows["text"]]
-    model.exceptions = clean_misspellings(found, rows["y"], toxic, clean)
-    found = [[h for h in hits if not (h[1] and h[2] in model.exceptions)] for hits in found]
-    model.coef, model.bias = fit_logistic(np.array([scorer.features(h) for h in found]), rows["y"].to_numpy(float))
+    spelled = sample.select("y", F.explode(_matcher(spark, model, "array<string>", misspellings)("text")).alias("word"))
+    seen = spelled.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("b > 0")
+    model.exceptions = clean_misspellings([(r.word, r.a, r.b) for r in seen.collect()], toxic, clean)  # within a few edits of the lexicon
+    weights = model.weights
+    seen = _matcher(spark, model, "array<double>", lambda found: features(found, weights))
+    rows = sample.select("y", seen("text").alias("x")).collect()  # bounded by max_labelled
+    model.coef, model.bias = fit_logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows], float))
     return model
 
 
+def _matcher(spark, model: ToxicityModel, kind: str, of):
+    """A function of texts: ``of`` each one's matches."""
+    shared = spark.sparkContext.broadcast(model)  # bounded: 2 * max_terms terms and a sample's misspellings
+
+    def run(texts: pd.Series) -> pd.Series:
+        scorer = _scorer(shared.value)
+        return pd.Series([of(scorer.matches(t)) for t in texts], dtype=object)
+
+    return F.pandas_udf(run, kind)
+
+
 def with_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """Adds ``out`` (in place of a column of that name): a struct of ``score`` (0 to 1), ``n_matches`` and ``n_quoted``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2 * MAX_TERMS terms and a sample's misspellings
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2 * max_terms terms and a sample's misspellings
 
     @F.pandas_udf("struct<score double, n_matches int, n_quoted int>")
     def toxicity(texts: pd.Series) -> pd.DataFrame:
