@@ -64,10 +64,33 @@ def test_transducer_equals_library(texts, monkeypatch):
 
 def test_scan_composes_all_prefixes():
     t = token_counts.Transducer(PIECES)
-    text = "▁the▁quick▁brown▁fox▁jumps▁over"
-    maps = [t.map_of(text[a : a + 4]) for a in range(0, len(text), 4)]
-    got = [t.total(m) for m in t.scan(maps)]
-    assert got == [t.total(t.map_of(text[: 4 * k + 4])) for k in range(len(maps))]
+    text = "▁thequickbrownfoxjumpsoverthelazydog▁xx"
+    parts = [text[a : a + 4] for a in range(0, len(text), 4)]
+    start = t.start[1]
+    maps = token_counts.scan([t.map_of(p, [start]) for p in parts])  # most entry states are not foreseen
+    assert [m(start)[1] for m in maps] == [t.tokens(text[1 : 4 * k + 4].replace("▁", " ")) for k in range(len(maps))]
+    assert [m(start) for m in maps[:8]] == [t.run(start, text[: 4 * k + 4]) for k in range(8)]
+
+
+def test_states_are_finite():
+    t = token_counts.Transducer(PIECES)
+    t.tokens("ab" * 5000)
+    n = len(t.states)
+    t.tokens("x" + "ab" * 50_000)
+    assert len(t.states) - n < 50
+
+
+@pytest.mark.parametrize("text", [" " * 300_000, "a" * 300_000, "  " + "xyz" * 100_000, " ".join(" " * (i % 70) + "word" for i in range(5000)), "0f" * 100_000 + " " * 100_000])
+def test_token_counts_are_linear(text):
+    import time
+
+    import sentencepiece
+
+    t, sp = token_counts.Transducer(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    begin = time.perf_counter()
+    got = t.tokens(text)
+    assert time.perf_counter() - begin < 5
+    assert got == len(sp.encode(text))
 
 
 def test_op5_hard_rows(spark, hard):
@@ -79,6 +102,18 @@ def test_op5_hard_rows(spark, hard):
     assert token_counts.count_tokens(hard.limit(0), PIECES).count() == 0
 
 
+def test_op5_query(spark, texts):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = token_counts.op5_query(spark, SF).collect()
+    docs = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
+    assert len(rows) == len(docs)
+    for r in rows:
+        n = len(sp.encode(docs[r.doc_id]))
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(docs[r.doc_id].encode()), n, n > 4096)
+
+
 # --- packing -----------------------------------------------------------------------------------------------------
 
 
@@ -105,7 +140,7 @@ def check_pieces(rows, tokens, window):
 
 def test_sum_of_squares():
     rng = random.Random(3)
-    packer, tokens, rows = packing.SumOfSquares(256, 8), {}, []
+    packer, tokens, rows = packing.SumOfSquares(256, 3000), {}, []
     for i in range(2000):
         tokens[i] = int(rng.lognormvariate(4, 1)) + 1
         rows += packer.add(i, tokens[i])
@@ -115,6 +150,22 @@ def test_sum_of_squares():
     assert sum(n < 256 for n in fill.values()) <= 9
 
 
+def test_sum_of_squares_follows_the_rule():
+    rng = random.Random(4)
+    packer, level, placed = packing.SumOfSquares(64), Counter(), 0
+    height_of = {}
+    for i in range(1500):
+        size = rng.randrange(1, 64)
+        square = lambda h: sum(n * n for n in (level - Counter([h] if h else []) + Counter([h + size] if h + size < 64 else [])).values())  # noqa: E731,B023
+        best = min(square(h) for h in [0, *(h for h in level if h + size <= 64)])
+        chosen = packer._choose(size)
+        assert square(chosen) == best
+        list(packer.add(i, size))
+        level = Counter({h: len(w) for h, w in packer.open.items()})
+        placed += 1
+    assert packer.held == sum(h * n for h, n in level.items()) and placed == 1500 and not height_of
+
+
 def test_op4(spark, hard, texts):
     from tokenizers import Tokenizer
 
@@ -129,6 +180,20 @@ def test_op4(spark, hard, texts):
     assert packing.pack_documents(hard, WORDS).agg(F.sum("length")).first()[0] > sum(map(len, want.values()))
 
 
+def test_op4_query(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(WORDS)
+    docs = {r["doc_id"]: lib.encode(r["text"] or "", add_special_tokens=False).ids + [1] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
+    rows = packing.op4_query(spark, SF).collect()
+    fill = check_pieces([(r.doc_id, r.start, r.length, r.sequence_id, r.offset) for r in rows], {k: len(v) for k, v in docs.items()}, 2048)
+    total = sum(fill.values())
+    assert sum(n if n & (n - 1) == 0 else 2048 for n in fill.values()) < 1.01 * total
+    for r in rows:
+        assert r.doc_tokens == len(docs[r.doc_id])
+        assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *docs[r.doc_id][r.start : r.start + r.length]))
+
+
 def test_best_fit_decreasing():
     rng = random.Random(5)
     for _ in range(20):
@@ -168,6 +233,29 @@ def test_op7_round_trip(spark, hard):
     assert binary_packing.read_pieces(binary_packing.write_matrices(hard.limit(0), WORDS)).count() == 0
 
 
+def test_op7_query(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(WORDS)
+    docs = {r["doc_id"]: lib.encode(r["text"] or "", add_special_tokens=False).ids + [49407] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
+    rows = binary_packing.op7_query(spark, SF).collect()
+    check_pieces([(r.doc_id, r.start, r.length, (r.matrix, r.matrix_row), r.offset) for r in rows], {k: len(v) for k, v in docs.items()}, 2048)
+    for r in rows:
+        assert r.ids_crc32 == zlib.crc32(struct.pack(f"<{r.length}I", *docs[r.doc_id][r.start : r.start + r.length]))
+
+
+def test_op7_reads_all_files(spark, hard):
+    rows = binary_packing.write_matrices(hard.coalesce(1), WORDS, window=128)
+    [folder] = {r.uri for r in rows.select("uri").collect()}
+    for name in ("resets", "cu_seqlens"):
+        path = f"{folder.removeprefix('file://')}/{name}.bin"
+        good = open(path, "rb").read()
+        open(path, "wb").write(bytes(len(good)))
+        with pytest.raises(Exception, match="segments differ"):
+            binary_packing.read_pieces(rows, window=128).collect()
+        open(path, "wb").write(good)
+
+
 # --- near duplicates ---------------------------------------------------------------------------------------------
 
 
@@ -227,6 +315,67 @@ def test_near_duplicate_classes(spark, monkeypatch):
     assert kept == set(got.values())
 
 
+def test_links_of_block_equal_exact_overlaps():
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    rows, sets = [], []
+    for k in range(700):
+        inside = rng.random(64) < 0.9
+        other = np.unique(rng.integers(0, 40, rng.integers(0, 12))).astype(np.int64) * 7919
+        sets.append((set(np.flatnonzero(inside)), set(other.tolist())))
+        rows.append((k % 2, k.to_bytes(4, "big"), int(inside.sum() + len(other)), False, np.packbits(inside).tobytes(), other.tobytes()))
+    cell = pd.DataFrame(rows, columns=["role", "node", "size", "linked", "bits", "other"])
+    root = list(range(700))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(0, 700, 2):
+        for b in range(1, 700, 2):
+            o = len(sets[a][0] & sets[b][0]) + len(sets[a][1] & sets[b][1])
+            if o >= 0.8 * (rows[a][2] + rows[b][2] - o) - 1e-9:
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {k: find(k) for k in range(700)}
+    root = list(range(700))
+    for a, b in near_dedup._links_of_block(cell).itertuples(index=False):
+        x, y = find(int.from_bytes(a, "big")), find(int.from_bytes(b, "big"))
+        root[max(x, y)] = min(x, y)
+    assert {k: find(k) for k in range(700)} == want
+
+
+def test_keep_one_tells_texts_with_equal_ids_apart(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b c d e f g", "x"), (1, "h i j k l m n", "y"), (1, "a b c d e f g", "z"), (2, long, "x"), (2, long + " more", "y"), (3, long, "z"), (None, "q", "x"), (None, "q", "x")]
+    for order in (rows, rows[::-1]):
+        got = sorted(map(tuple, near_dedup.keep_one(spark.createDataFrame(order, "doc_id long, text string, lang string")).collect()), key=str)
+        assert [r[1] for r in got if r[0] == 1] == ["a b c d e f g", "h i j k l m n"]
+        assert sum(r[0] == 2 for r in got) == 1 and not any(r[0] == 3 for r in got)
+        assert len(got) == 5
+        assert order is rows or got == last
+        last = got
+
+
+def test_op2_recall_by_edit_rate(spark):
+    """Every planted copy of similarity 0.8 or more is in its source's class."""
+    rng = random.Random(23)
+    rows, near = [], {}
+    for g in range(40):
+        base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        rows.append((100 * g, " ".join(base)))
+        for k, rate in enumerate((0.005, 0.01, 0.015, 0.02, 0.04)):
+            copy = [w if rng.random() > rate else f"e{rng.random()}" for w in base]
+            rows.append((100 * g + k + 1, " ".join(copy)))
+            near[100 * g + k + 1] = rate, bmh.weighted_jaccard(bmh.bag(rows[-1][1]), bmh.bag(" ".join(base)))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == got[i - i % 100] for i, (_, j) in near.items() if j >= 0.8)
+    by = {r: np.mean([got[i] == got[i - i % 100] for i, (x, _) in near.items() if x == r]) for r in (0.005, 0.01, 0.015, 0.02, 0.04)}
+    print("recall by edit rate", by)
+    assert by[0.005] == 1.0 and by[0.01] > 0.9  # a hundredth of the words changed leaves a similarity of about 0.9, of some less than 0.8
+
+
 def test_op2_hard_rows(spark, hard):
     rows = near_dedup.near_duplicate_classes(hard).collect()
     got = {(r.doc_id, r.class_id) for r in rows}
@@ -286,14 +435,71 @@ def test_op3_exceptions_are_mostly_clean():
     s = toxicity.Scorer(toxicity.ToxicityModel({"idiot$": 6.0}))
     texts = ["you are an idiott"] * 5 + ["you are an idiot"] * 35
     texts += ['she wrote "idiutt" or "idiut" on it', "a single idiott here", "one idioti there", "one idioti there"] + ["a fine day"] * 116
-    found, y = [s.matches(t) for t in texts], [1] * 40 + [0] * 120
-    assert toxicity.clean_misspellings(found, y, 40, 120) == {"idioti"}
+    seen = Counter(), Counter()
+    for t, k in zip(texts, [1] * 40 + [0] * 120):
+        seen[k].update(toxicity.misspellings(s.matches(t)))
+    counts = [(w, seen[1][w], seen[0][w]) for w in seen[0] | seen[1]]
+    assert toxicity.clean_misspellings(counts, 40, 120) == {"idioti"}
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    return toxicity.fit_toxicity(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
 
 
-def test_op3_held_out(spark):
+def test_op3_planted_misspellings_and_quotations(spark, fitted):
+    """What the automaton and the context window change: clean documents with insults planted in three forms."""
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = toxicity.fit_toxicity(docs, labels.where(~toxicity.held_out(F.col("doc_id"))))
+    clean = [r.text for r in docs.join(labels.where("toxic = 0"), "doc_id").where("lang = 'en' and length(text) between 200 and 2000").orderBy("doc_id").limit(300).collect()]
+    scorer, rng = toxicity.Scorer(fitted), random.Random(53)
+    words = sorted(t[:-1] for t in fitted.weights if t.endswith("$") and toxicity.allowed(t) and t[:-1].isascii())
+    assert len(words) >= 5
+    share = {}
+    for form in ("clean", "plain", "misspelled", "quoted"):
+        n = 0
+        for text in clean:
+            parts = text.split(" ")
+            for _ in range(4 if form != "clean" else 0):
+                w = rng.choice(words)
+                k = rng.randrange(1, len(w) - 1)
+                if form == "misspelled":
+                    w = rng.choice([w[:k] + w[k + 1 :], w[:k] + w[k] + w[k:], w[:k] + rng.choice("aeioux") + w[k + 1 :]])
+                parts.insert(rng.randrange(len(parts)), f'she said "{w}" again' if form == "quoted" else f"you {w}")
+            text = " ".join(parts)
+            n += scorer.score(scorer.matches(text)) >= 0.5
+        share[form] = n / len(clean)
+    print("toxic by form", share)
+    assert share["clean"] < 0.03 and share["plain"] > 0.95
+    assert share["misspelled"] > 0.8 and share["quoted"] < share["plain"] - 0.2
+
+
+def test_op3_query(spark):
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.fit_toxicity(spark.read.parquet(f"{SF}/documents.parquet"), labels.where(~toxicity.held_out(F.col("doc_id"))))
+    scorer = toxicity.Scorer(model)
+    rows = toxicity.op3_query(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        found = scorer.matches(docs[r.doc_id])
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert r.score == pytest.approx(scorer.score(found)) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5)
+        assert (r.n_matches, r.n_quoted) == (len(found), sum(h[3] for h in found))
+
+
+def test_op3_max_terms(spark):
+    forms = [(f"word{i}$", 60 + i, 0) for i in range(30)]
+    assert len(toxicity.choose_terms(forms, 500, 1500, 10)) == 10
+    assert set(toxicity.choose_terms(forms, 500, 1500, 10)) == {f"word{i}$" for i in range(20, 30)}
+
+
+def test_op3_held_out(spark, fitted):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = fitted
     out = labels.where(toxicity.held_out(F.col("doc_id")))
     rows = toxicity.with_toxicity(docs.join(F.broadcast(out), "doc_id"), model).select("toxic", "toxicity.score").collect()
     tp = sum(r.score >= 0.5 and r.toxic == 1 for r in rows)
@@ -314,24 +520,78 @@ def test_op3_hard_rows(spark, hard):
 # --- decontamination ---------------------------------------------------------------------------------------------
 
 
-def test_search_equals_exhaustive_scores(texts):
-    b = pq.read_table(f"{SF}/benchmark.parquet").to_pylist()
-    index = decontaminate.build_index([(r["item_id"], r["text"]) for r in b])
-    got = decontaminate.Searcher(index).search(texts)
-    flat = {t: postings for block in index.postings for t, postings in block.items()}
-    assert set(flat) == set(range(len(index.vocabulary)))
-    for text, found in zip(texts, got):
-        words = decontaminate.Searcher(index)._ids(text)
-        want = set()
-        for low in range(0, len(words), decontaminate.STEP):
-            passage = words[low : low + index.span]
+def item_rows(rows):
+    return [(i, *decontaminate.split_item(t)) for i, t in rows]
+
+
+def exhaustive(index, counts, text):
+    """Items found by scoring every entry against every passage."""
+    s = decontaminate.Searcher(index)
+    words, want, df = s._ids(text or ""), set(), [counts.df[w] for w in index.vocabulary]
+    for item in index.items:
+        step = decontaminate.STEP
+        while step < len(item.words):
+            step *= 2
+        whole, _ = decontaminate._impacts(item.words, df, counts)
+        entries = [whole]
+        if item.cut >= decontaminate.SHORT and sum(whole[t] for t in set(item.words[: item.cut])) < decontaminate.QUESTION_SHARE:
+            entries.append(decontaminate._impacts(item.words[: item.cut], df, counts)[0])
+        for low in range(0, max(len(words) - step, 1), step):
+            passage = words[low : low + 2 * step]
             have = decontaminate._grams(passage, 3)
-            for i, item in enumerate(index.items):
-                s = sum(w for t in set(passage) for block in index.postings for k, w in block.get(t, ()) if k == i)
-                q, a = decontaminate._share(item.words[: item.cut], passage, have), decontaminate._share(item.words[item.cut :], passage, have)
-                if s >= decontaminate.THRESHOLD and (min(q, a) >= (decontaminate.BOTH if len(item.words) >= decontaminate.SHORT else 1.0) or (q >= decontaminate.QUESTION_ALONE and item.cut >= decontaminate.SHORT)):
-                    want.add(item.item_id)
-        assert {x[0] for x in found} == want
+            q, a = decontaminate._share(item.words[: item.cut], passage, have), decontaminate._share(item.words[item.cut :], passage, have)
+            verified = min(q, a) >= (decontaminate.BOTH if len(item.words) >= decontaminate.SHORT else 1.0) or (q >= decontaminate.QUESTION_ALONE and item.cut >= decontaminate.SHORT)
+            if verified and any(round(sum(w for t, w in e.items() if t in set(passage)), 9) >= decontaminate.THRESHOLD for e in entries):
+                want.add(item.item_id)
+    return want
+
+
+@pytest.fixture(scope="module")
+def mixed(texts):
+    """Items of all lengths, one of 10,000 words, and texts with parts of them."""
+    rng = random.Random(31)
+    items = [(r["item_id"], r["text"]) for r in pq.read_table("/root/testdata/sf0.01/benchmark.parquet").to_pylist()]
+    items += [(900 + i, t) for i, t in enumerate(x for x in texts if x and 10 < len(x.split()) < 400)][:30]
+    items += [(999, " ".join(f"{w}{i % 7}" for i, w in enumerate(" ".join(x for x in texts[:60] if x).split()[:10_000])) + ".")]
+    some = list(texts[:120])
+    for _, t in items:
+        w = t.split()
+        for _ in range(2):
+            a = rng.randrange(max(len(w) // 3, 1))
+            some.append(" ".join(["so"] * rng.randrange(300) + w[a : a + rng.randrange(len(w) // 3, len(w) + 1)] + ["it"] * 80))
+    return items, some
+
+
+def test_search_equals_exhaustive_scores(mixed):
+    items, some = mixed
+    rows = item_rows(items)
+    index, counts = decontaminate.build_index(rows), decontaminate.count_items(rows)
+    assert len(index.layers) > 3
+    got = decontaminate.Searcher(index).search(some)
+    found = [{x[0] for x in g} for g in got]
+    assert found == [exhaustive(index, counts, t) for t in some]
+    assert sum(map(len, found)) > 30
+    # a long item changes nothing for the others
+    short = [r for r in rows if r[0] != 999]
+    assert [[x for x in g if x[0] != 999] for g in got] == decontaminate.Searcher(decontaminate.build_index(short, counts)).search(some)
+
+
+def test_split_index_equals_whole(spark, mixed):
+    items, some = mixed
+    docs = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    run = lambda **k: [tuple(r) for r in decontaminate.with_leaks(docs, bench, **k).select("doc_id", F.explode("leaks").alias("x")).select("doc_id", "x.*").orderBy("doc_id", "item_id").collect()]
+    whole = run()
+    assert whole and run(max_items=9) == whole  # more parts than AT_ONCE
+    assert run(max_bytes=20_000) == whole
+
+
+def test_question_alone_is_found():
+    question = "Which of the seven rivers of the old province flows past the mill near the northern gate?"
+    answer = "It is " + " ".join(f"long{i}" for i in range(40)) + "."
+    rows = item_rows([(1, f"{question} {answer}"), (2, "A short one about something else. And its answer here."), (3, "Yet another item with words of the same kind. It ends so.")])
+    index = decontaminate.build_index(rows)
+    assert [x[0] for x in decontaminate.Searcher(index).search([f"Once more: {question} Nobody knew."])[0]] == [1]
 
 
 def test_op1_finds_contained_items(spark):
@@ -343,13 +603,13 @@ def test_op1_finds_contained_items(spark):
     assert want and want <= got and len(got - want) <= 2
 
 
-def test_op1_hard_rows(spark, hard, monkeypatch):
+def test_op1_hard_rows(spark, hard):
     items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta"), (2, "alpha beta gamma delta epsilon zeta"), (3, None), (4, ""), (None, "x")], "item_id long, text string")
     run = lambda: sorted((r.doc_id, x.item_id) for r in decontaminate.with_leaks(hard, items, out="l").select("doc_id", "l").collect() for x in r.l)
     want = [(4, 1), (4, 1), (4, 2), (4, 2), (5, 1), (5, 2)]
     assert run() == want
-    monkeypatch.setattr(decontaminate, "MAX_ITEMS", 1)
-    assert len(decontaminate.indexes(items, max_items=1)) > 1
+    assert len(list(decontaminate.indexes(items, max_items=1))) > 1
+    assert decontaminate.with_leaks(hard.limit(0), items, out="l").count() == 0
     assert decontaminate.with_leaks(hard, items.limit(0), out="l").where(F.size("l") > 0).count() == 0
 
 
@@ -380,6 +640,29 @@ def test_records_of_a_monolithic_stream():
     assert list(warc.records(warc.inflate(io.BytesIO(b"".join(map(warc.gzip_member, records)))))) == records
     with pytest.raises(ValueError):
         list(warc.records(iter([records[3][:-9]])))
+    # cut at a record's border, the stream still lacks its end
+    z = zlib.compressobj(3, zlib.DEFLATED, 31)
+    cut = b"".join(z.compress(r) for r in records[:30]) + z.flush(zlib.Z_SYNC_FLUSH)
+    assert b"".join(zlib.decompressobj(31).decompress(cut) for _ in range(1)) == b"".join(records[:30])
+    with pytest.raises(ValueError):
+        list(warc.records(warc.inflate(io.BytesIO(cut))))
+
+
+def test_op6_counts_and_rolls(spark):
+    rows = [(i, "u", hashlib.sha1(bytes([i])).hexdigest() * 200) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    files = warc.write_archives(df, archive_bytes=4000)
+    assert files.count() > 2 and files.agg(F.sum("n")).first()[0] == 40
+    assert warc.read_archives(warc.normalise_archives(files)).count() == 40
+    with pytest.raises(Exception, match="records of"):
+        warc.normalise_archives(files.withColumn("n", F.col("n") + 1)).count()
+
+
+def test_op6_large_groups(spark):
+    rows = [(i, f"u{i % 5}", "y" * 2000) for i in range(300)] + [(None, "u", "y" * 2000)] * 3 + [(7, "u7", "z" * 1500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = Counter((r.page_id, r.refers_to) for r in warc.with_revisits(df).collect())
+    assert got == Counter({(i, 299 if i != 299 else None): 1 for i in range(300) if i != 7} | {(7, 299): 1, (7, None): 1, (None, 299): 3})
 
 
 # --- shards ------------------------------------------------------------------------------------------------------
@@ -402,6 +685,30 @@ def test_op8_limits(spark, hard):
     assert sharding.assign_shards(hard.limit(0)).count() == 0
 
 
+def test_op8_equal_rows_and_hot_keys(spark, tmp_path):
+    rows = [(5, "b" * 3000, 1)] * 3 + [(7, "h" * 90, i % 3) for i in range(400)] + [(8, f"text {i} " * 9, 0) for i in range(300)] + [(i, "t" * 50, 0) for i in range(1000, 1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _size int")
+    sharded = sharding.assign_shards(df, limit=1000)
+    got = sharded.collect()
+    assert len(got) == len(rows) and Counter((r.doc_id, r.text, r._size) for r in got) == Counter(rows)
+    total, shown = Counter(), {}
+    for r in got:
+        total[r.shard] += r.doc_bytes
+        shown[r.shard] = r.shard_bytes
+    assert dict(total) == shown
+    assert sorted(v for v in total.values() if v > 1000) == [3000] * 3
+    listed = {r.shard: (r.depth, r.shard_bytes, r.n_docs) for r in sharding.directory(sharded).collect()}
+    assert {k: v[1] for k, v in listed.items()} == shown and sum(v[2] for v in listed.values()) == len(rows)
+    assert all(v[0] == len(k.split("-")[0]) for k, v in listed.items())
+    sharding.write_shards(sharded, str(tmp_path / "shards"))
+    folders = [x for x in (tmp_path / "shards").iterdir() if x.name.startswith("shard=")]
+    assert len(folders) == len(total)
+    for x in folders:
+        files = list(x.glob("*.parquet"))
+        texts = [t for f in files for t in pq.ParquetFile(f).read().column("text").to_pylist()]
+        assert len(files) == 1 and sum(map(len, texts)) == shown[x.name.removeprefix("shard=")]
+
+
 # --- quality -----------------------------------------------------------------------------------------------------
 
 
@@ -442,6 +749,29 @@ def test_op9_score_is_the_ratio(spark):
     assert got[2] is None and abs(got[3] - table[words[0] % quality.BUCKETS]) < 1e-12
 
 
+def test_op9_hard_rows(spark, hard):
+    named = hard.withColumnsRenamed({"m": "_counts", "key": "_c"})
+    rows = quality.with_counts(named).collect()
+    assert {(r._counts, r._c) for r in rows} == {("clash", "clash")} and len(rows) == hard.count()
+    for labels in (spark.createDataFrame([], "doc_id long, quality int"), spark.createDataFrame([(4, 1), (None, 0), (6, None)], "doc_id long, quality int")):
+        weights, cut = quality.fit_ratio(hard, labels)
+        assert cut == -float("inf") and len(weights) == quality.BUCKETS
+    assert quality.with_counts(hard.limit(0), weights).count() == 0
+    weights, cut = quality.fit_ratio(hard.limit(0), labels)
+    assert quality.with_counts(hard, weights).count() == hard.count()
+
+
+def test_op9_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    weights, cut = quality.fit_ratio(docs, labels.where(~out))
+    rows = quality.with_counts(docs.join(F.broadcast(labels.where(out)), "doc_id"), weights).select("quality", (F.col("score") >= cut).alias("good")).where("score is not null").collect()
+    good, bad = [r.good for r in rows if r.quality == 1], [r.good for r in rows if r.quality == 0]
+    assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.05
+
+
 def test_op9_separates_labels(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -515,6 +845,82 @@ def test_op10_random_in_a_path(spark):
         assert any(keys[r.doc_id % 3] in s for s in spans) if r.doc_id < 6 else not spans
 
 
+def test_op10_running_and_rewrite(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "_AT_ONCE", 7)
+    rng = random.Random(41)
+    rows = []
+    for i in range(60):
+        text = "".join(rng.choice("abcdé🙃 ") for _ in range(rng.randrange(400)))
+        spans = sorted((a, rng.randrange(3), min(a + rng.randrange(1, 9), len(text))) for a in (rng.randrange(len(text)) for _ in range(rng.choice([0, 1, 7, 8, 150]) if text else 0)))
+        rows.append((i, text, spans))
+    df = spark.createDataFrame(rows, "i int, text string, spans array<struct<start:int,kind:int,end:int>>")
+    got = df.select("i", secret_scan.redact(F.col("text"), F.col("spans")).alias("t"), secret_scan.running(F.transform("spans", lambda s: s["end"]), F.lit(3), lambda a, x: a + x).alias("r")).collect()
+    for r in got:
+        _, text, spans = rows[r.i]
+        at, out, total, sums = 0, "", 3, []
+        for a, _, b in spans:
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+            total += b
+            sums.append(total)
+        assert r.t == out + text[at:] and r.r == sums
+
+
+def test_op10_planted_secrets(spark):
+    """Random keys inside longer runs, which no base pattern finds: recall, and precision on runs without a key."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = secret_scan.train_markov(secret_scan.labelled_strings(docs))
+    rng = random.Random(43)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = [w for r in docs.where("lang = 'en'").limit(80).collect() for w in (r.text or "").split() if w.isascii() and w.isalpha() and len(w) < 12]
+    rows, planted = [], {}
+    for i in range(900):
+        key = "".join(rng.choice(rng.choice([letters, letters + "+/"])) for _ in range(rng.choice([20, 24, 32, 40]))) if i % 3 else ""
+        run = rng.choice("/_-").join(rng.choice(words) for _ in range(rng.randrange(1, 25)))
+        rows.append((i, f"see {run}{rng.choice(['/', '_', '=']) + key if key else ''}{rng.choice(['', '/end/of/it'])} now"))
+        planted[i] = key and (rows[-1][1].index(key), len(key))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    caught = wrong = 0
+    for r in secret_scan.with_secret_spans(df, model).select("doc_id", "base_spans", "secret_spans").collect():
+        found = {k for s in r.secret_spans for k in range(s.start, s.end)}
+        if planted[r.doc_id]:
+            at, n = planted[r.doc_id]
+            caught += len(found & set(range(at, at + n))) >= 0.8 * n
+        else:
+            wrong += bool(found)
+    assert caught > 0.93 * 600 and wrong < 0.04 * 300
+
+
+def test_op10_is_linear(spark):
+    import time
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = secret_scan.train_markov(secret_scan.labelled_strings(docs))
+    rng = random.Random(47)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    long = "".join(rng.choice(letters) for _ in range(300_000))
+    many = " ".join(f"token=abcdef{i:06}" for i in range(20_000))
+    df = spark.createDataFrame([(1, long), (2, many)], "doc_id long, text string").repartition(2)
+    begin = time.perf_counter()
+    got = {r.doc_id: (len(r.s), r.t) for r in secret_scan.with_secret_spans(df, model).select("doc_id", F.col("secret_spans").alias("s"), secret_scan.redact(F.col("text"), F.col("secret_spans")).alias("t")).collect()}
+    assert time.perf_counter() - begin < 60
+    assert got == {1: (1, "[SECRET]"), 2: (20_000, " ".join(["[SECRET]"] * 20_000))}
+
+
+def test_op10_query(spark):
+    docs = {r["doc_id"]: r["text"] for r in pq.read_table(f"{SF}/documents.parquet").to_pylist()}
+    rows = secret_scan.op10_query(spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        want = brute_spans(docs[r.doc_id])
+        line = ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in want) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        spans = [x.split(":") for x in r.spans.split(",") if x]
+        assert ",".join(":".join(x) for x in spans if x[0] != "random") == line
+
+
 def test_op10_empty_sample(spark, hard):
     model = secret_scan.train_markov(secret_scan.labelled_strings(hard.limit(0), max_random=0))
     assert secret_scan.with_secret_spans(hard, model).count() == hard.count()
