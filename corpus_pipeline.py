@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import materialize, table
+from chronolith.llm.common import fresh, materialize, table
 from chronolith.llm.decontaminate import with_leaks
 from chronolith.llm.near_dedup import keep_one
 from chronolith.llm.packing import pack_documents
@@ -17,7 +17,8 @@ from chronolith.llm.toxicity import fit_toxicity, held_out, with_toxicity
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents whose toxicity score is 0.5 or more."""
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))))
-    return with_toxicity(docs, model, out="_toxicity_").where("_toxicity_.score < 0.5").select(docs.columns)
+    [found] = fresh(docs.columns, "_toxicity")
+    return with_toxicity(docs, model, out=found).where(F.col(f"{found}.score") < 0.5).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +28,19 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents in which a benchmark item is found."""
-    return with_leaks(docs, table(spark, sf_dir, "benchmark"), out="_leaks_").where(F.size("_leaks_") == 0).select(docs.columns)
+    [found] = fresh(docs.columns, "_leaks")
+    return with_leaks(docs, table(spark, sf_dir, "benchmark"), out=found).where(F.size(found) == 0).select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret span by a mark; the other text stays."""
-    found = with_secret_spans(docs, train_markov(labelled_strings(docs)), out=("_base_", "_spans_"))
-    text = redact(F.col("text"), F.col("_spans_"))
-    changed = F.size("_spans_") > 0
-    found = found.withColumn("text", F.when(changed, text).otherwise(F.col("text")))
-    return found.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
+    base, spans = fresh(docs.columns, "_base", "_spans")
+    found = with_secret_spans(docs, train_markov(labelled_strings(docs)), out=(base, spans))
+    changed = F.size(spans) > 0
+    found = found.withColumn("text", F.when(changed, redact(F.col("text"), F.col(spans))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return found.select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
