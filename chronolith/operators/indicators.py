@@ -92,6 +92,11 @@ class Series:
         total = F.sum("volume").over(w)
         return F.coalesce(F.sum(typical * F.col("volume")).over(w) / F.nullif(total, F.lit(0)), F.lit(0.0))
 
+    def vwap_close(self, n: int | None = None, close: str = "close") -> Column:
+        """Volume-weighted close, cumulative or over n rows; null where the window has no volume (see :func:`with_vwap_close`)."""
+        w = self.running if n is None else self.last(n)
+        return F.sum(F.col(close) * F.col("volume")).over(w) / F.nullif(F.greatest(F.sum("volume").over(w), F.lit(0.0)), F.lit(0.0))
+
     def true_range(self, first: str = "range") -> Column:
         before = F.lag("close").over(self.by)
         span = F.col("high") - F.col("low")
@@ -103,23 +108,29 @@ class Series:
         return F.stddev_pop(v).over(self.last(n)) / F.nullif(mean, F.lit(0.0))
 
 
+def row_numbers(df: DataFrame, s: Series) -> DataFrame:
+    """Adds ``_n``, the row's number in its series, for several calls of :func:`smooth`."""
+    return df.withColumn("_n", F.row_number().over(s.by))
+
+
 def smooth(df: DataFrame, s: Series, value: str, out: str, *, alpha: float, seed: int | None = None, skip: int = 0) -> DataFrame:
-    """Exponential average from row ``skip`` on: seeded with its first value, or with the mean of its first ``seed``."""
+    """Exponential average from row ``skip`` on: seeded with its first value, or with the mean of its first ``seed``.
+
+    Windows only: rows are dealt by series once, and sorted once more by stretch; nothing is joined."""
     q = 1.0 - alpha
     length = max(2, math.ceil(40 / -math.log10(q)))
     first = skip + (seed or 1)  # the row (from 1) that holds the seed
-    n = F.row_number().over(s.by)
-    t = df.withColumn("_n", n)
+    t = df if "_n" in df.columns else row_numbers(df, s)
     begin = F.col(value) if not seed else F.avg(value).over(s.by.rowsBetween(1 - seed, 0))
     t = t.withColumn("_b", F.when(F.col("_n") > first, F.lit(alpha) * F.col(value)).when(F.col("_n") == first, begin).otherwise(F.lit(None)))
     t = t.withColumn("_c", F.expr(f"case when _n >= {first} then (_n - {first}) div {length} end")).withColumn("_j", F.col("_n") - first - F.col("_c") * length)
     inside = Window.partitionBy(*s.keys, "_c").orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("_z", F.pow(F.lit(q), F.col("_j")) * F.sum(F.col("_b") * F.pow(F.lit(q), -F.col("_j"))).over(inside))
-    # the previous stretch's last value, from the stretch's own rows: its row lies j + 1 rows back
-    ends = t.where("_c is not null").groupBy(*s.keys, "_c").agg(F.max_by("_z", "_n").alias("_e")).withColumn("_c", F.col("_c") + 1)
-    joined = t.join(ends, [*s.keys, "_c"], "left")
-    y = F.col("_z") + F.coalesce(F.pow(F.lit(q), F.col("_j") + 1) * F.col("_e"), F.lit(0.0))
-    return joined.withColumn(out, F.when(F.col("_n") >= first, y)).select(*df.columns, out)
+    # the last value of the stretch before: the latest end of a stretch above this row, in the order the rows already have
+    before = Window.partitionBy(*s.keys).orderBy("_c", "_n").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.last(F.when(F.col("_j") == length - 1, F.col("_z")), ignorenulls=True).over(before)
+    y = F.col("_z") + F.coalesce(F.pow(F.lit(q), F.col("_j") + 1) * end, F.lit(0.0))
+    return t.withColumn(out, F.when(F.col("_n") >= first, y)).select(*df.columns, out)
 
 
 def ema(df: DataFrame, s: Series, value: str, n: int, *, seed: str = "first", out: str = "ema") -> DataFrame:
@@ -130,22 +141,21 @@ def ema(df: DataFrame, s: Series, value: str, n: int, *, seed: str = "first", ou
 def macd(df: DataFrame, s: Series, value: str, fast: int = 12, slow: int = 26, signal: int = 9, *, seed: str = "first") -> DataFrame:
     """macd, signal and histogram. ``first``: EMAs from the first value, signal from row ``slow`` on;
     ``sma``: all three seeded with means."""
-    t = ema(ema(df, s, value, fast, seed=seed, out="_f"), s, value, slow, seed=seed, out="_s")
+    t = ema(ema(row_numbers(df, s), s, value, fast, seed=seed, out="_f"), s, value, slow, seed=seed, out="_s")
     t = t.withColumn("_m", F.col("_f") - F.col("_s"))
     t = smooth(t, s, "_m", "signal", alpha=2 / (signal + 1), seed=signal if seed == "sma" else None, skip=slow - 1)
-    shown = F.row_number().over(s.by) >= slow
-    return t.withColumn("macd", F.when(shown, F.col("_m"))).withColumn("histogram", F.col("macd") - F.col("signal")).drop("_f", "_s", "_m")
+    return t.withColumn("macd", F.when(F.col("_n") >= slow, F.col("_m"))).withColumn("histogram", F.col("macd") - F.col("signal")).drop("_f", "_s", "_m", "_n")
 
 
 def rsi(df: DataFrame, s: Series, value: str, n: int = 14, *, no_loss: float = 100.0) -> DataFrame:
     """Wilder's RSI, from row n + 1 on; ``no_loss`` is the value where the average loss is 0."""
     d = F.col(value) - F.lag(value).over(s.by)
-    t = df.withColumns({"_g": F.greatest(d, F.lit(0.0)), "_l": F.greatest(-d, F.lit(0.0))})
+    t = row_numbers(df, s).withColumns({"_g": F.greatest(d, F.lit(0.0)), "_l": F.greatest(-d, F.lit(0.0))})
     for c in ("_g", "_l"):
         t = smooth(t, s, c, f"{c}a", alpha=1 / n, seed=n, skip=1)
     gain, loss = F.col("_ga"), F.col("_la")
     x = F.when(loss.isNull(), F.lit(None)).when(loss == 0, no_loss).otherwise(100 - 100 / (1 + gain / F.nullif(loss, F.lit(0.0))))
-    return t.withColumn("rsi", x).drop("_g", "_l", "_ga", "_la")
+    return t.withColumn("rsi", x).drop("_g", "_l", "_ga", "_la", "_n")
 
 
 def atr(df: DataFrame, s: Series, n: int = 14, *, first: str = "range") -> DataFrame:
@@ -172,6 +182,48 @@ def adx(df: DataFrame, s: Series, n: int = 14, *, trending: float = 25.0, strong
     return t.withColumn("regime", regime).drop("_u", "_d", "_t", "_pi", "_mi", "_dx")
 
 
+def with_vwap_close(df: DataFrame, s: Series, n: int | None = None, out: str = "vwap") -> DataFrame:
+    """Volume-weighted close that keeps its last value while its window has no volume; rows without a close or with a
+    negative volume keep it too."""
+    good = F.col("close").isNotNull() & (F.col("volume") >= 0)
+    t = df.withColumn("_v", s.vwap_close(n)) if n is None else df.withColumn("_ok", F.coalesce(good, F.lit(False)))
+    if n is not None:  # windows count good rows alone
+        w = Window.partitionBy(*s.keys, "_ok").orderBy(*s.order).rowsBetween(1 - n, 0)
+        t = t.withColumn("_v", F.when(F.col("_ok"), F.sum(F.col("close") * F.col("volume")).over(w) / F.nullif(F.sum("volume").over(w), F.lit(0.0)))).drop("_ok")
+    return t.withColumn(out, F.last("_v", ignorenulls=True).over(s.running)).drop("_v")
+
+
+def valid_sma(df: DataFrame, s: Series, v: str, n: int, out: str = "sma") -> DataFrame:
+    """Means of n rows, without the rows before the n-th; a series of fewer rows is an error."""
+    t = row_numbers(df, s).withColumn("_all", F.count("*").over(Window.partitionBy(*s.keys)))
+    enough = F.when(F.col("_all") >= n, F.avg(v).over(s.last(n))).otherwise(F.raise_error(F.concat(F.lit(f"fewer than {n} rows: "), F.col("_all").cast("string"))))
+    return t.withColumn(out, enough).where((F.col("_n") >= n) | (F.col("_all") < n)).drop("_n", "_all")
+
+
+#: What :func:`indicators` can compute, by name and number of rows.
+MOVING = {
+    "sma": lambda s, v, n: s.sma(v, n), "wma": lambda s, v, n: s.wma(v, n), "std": lambda s, v, n: s.std(v, n), "min": lambda s, v, n: s.least(v, n), "max": lambda s, v, n: s.greatest(v, n),
+    "momentum": lambda s, v, n: s.momentum(v, n), "roc": lambda s, v, n: s.roc(v, n), "volatility": lambda s, v, n: s.volatility(v, n),
+}
+SMOOTHED = {"ema": lambda t, s, v, n: ema(t, s, v, n, out=f"ema{n}"), "rsi": lambda t, s, v, n: rsi(t, s, v, n).withColumnRenamed("rsi", f"rsi{n}"), "atr": lambda t, s, v, n: atr(t, s, n).withColumnRenamed("atr", f"atr{n}")}
+
+
+def indicators(df: DataFrame, s: Series, value: str, names: list[str]) -> DataFrame:
+    """Any of the registered indicators by name, such as ``sma5``, ``rsi14`` or ``macd``, as columns."""
+    moving = {}
+    for name in names:
+        kind, n = name.rstrip("0123456789"), name[len(name.rstrip("0123456789")) :]
+        if kind in MOVING and n:
+            moving[name] = MOVING[kind](s, value, int(n))
+        elif kind in SMOOTHED and n:
+            df = SMOOTHED[kind](df, s, value, int(n))
+        elif name == "macd":
+            df = macd(df, s, value)
+        else:
+            raise ValueError(f"unknown indicator {name!r}")
+    return df.withColumns(moving) if moving else df
+
+
 def indicator_set(df: DataFrame, s: Series, value: str, windows: tuple[int, ...] = (5, 20)) -> DataFrame:
     """The usual moving indicators of a series in one pass over one sort."""
     cols = {}
