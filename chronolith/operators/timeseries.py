@@ -38,14 +38,31 @@ def ohlcv(ticks: DataFrame, every: str | int, *, keys: list[str], ts: str = "tim
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: list, name: str = "rn") -> DataFrame:
-    """Adds each row's number in its series, from 1."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-
-
-def bars_by_rows(df: DataFrame, n: int, *, keys: list[str], order: list[str], price: str = "price", volume: str = "volume") -> DataFrame:
-    """Bars of every ``n`` consecutive ticks; the last one may be short."""
-    rows = numbered(df, keys, order)
+def _null_safe_join(rows: DataFrame, small: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``rows`` with ``value`` of the row of ``small`` that has their keys, nulls included."""
+    r, o = rows.alias("r"), small.alias("o")
+    on = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
+    return r.join(o, on, "left").select("r.*", F.col(f"o.{value}").alias(value))
+
+
+def numbered(df: DataFrame, keys: list[str], order: list, name: str = "rn", *, span: int | None = None) -> DataFrame:
+    """Adds each row's number in its series, from 1.
+
+    With ``span`` (of the first order column, a time) a series is cut into buckets: rows are numbered inside them, and
+    the buckets' counts, added up, are joined. So a long series is dealt over many tasks."""
+    if span is None:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
+    rows = df.withColumn("_bucket", bucket(F.col(order[0]), span))
+    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_k"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    local = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order)).cast("long"))
+    return _null_safe_join(local, offsets, [*keys, "_bucket"], "_before").withColumn(name, F.col(name) + F.col("_before")).drop("_bucket", "_before")
+
+
+def bars_by_rows(df: DataFrame, n: int, *, keys: list[str], order: list[str], price: str = "price", volume: str = "volume", span: int | None = None) -> DataFrame:
+    """Bars of every ``n`` consecutive ticks; the last one may be short. ``span`` as for :func:`numbered`."""
+    rows = numbered(df, keys, order, span=span)
     by = F.struct("rn")
     p = F.col(price)
     return rows.groupBy(*keys, F.expr(f"(rn - 1) div {n}").alias("bar")).agg(
@@ -53,9 +70,9 @@ def bars_by_rows(df: DataFrame, n: int, *, keys: list[str], order: list[str], pr
     )
 
 
-def resample(bars: DataFrame, n: int, *, keys: list[str], ts: str = "timestamp") -> DataFrame:
+def resample(bars: DataFrame, n: int, *, keys: list[str], ts: str = "timestamp", span: int | None = None) -> DataFrame:
     """Every ``n`` consecutive bars as one, with the first one's time; deleted bars (negative volume) are dropped."""
-    rows = numbered(bars.where("volume >= 0"), keys, [ts])
+    rows = numbered(bars.where("volume >= 0"), keys, [ts], span=span)
     return (
         rows.groupBy(*keys, F.expr(f"(rn - 1) div {n}").alias("bar"))
         .agg(F.min(ts).alias(ts), F.min_by("open", "rn").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "rn").alias("close"), F.sum("volume").alias("volume"))
@@ -81,16 +98,25 @@ def asof_snapshot(ticks: DataFrame, at: int, *, symbols: DataFrame | None = None
     return every.join(seen, "symbol", "left").select("symbol", F.coalesce("r.price", F.lit(0.0)).alias("price"), F.coalesce("r.volume", F.lit(0.0)).alias("volume"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], ts: str, values: list[str], right_unique: str, prefix: str = "r_") -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, *, by: list[str], ts: str, values: list[str], right_unique: str, prefix: str = "r_", span: int | None = None) -> DataFrame:
     """Each left row with the latest right row at or before it.
 
-    One union and one ordered window, so no row meets more than its own match; at equal times right rows come first."""
-    tag = left.select("*", F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_u"), F.lit(None).cast(right.select(F.struct(*values)).schema[0].dataType).alias("_v"))
+    One union and one ordered window, so no row meets more than its own match; at equal times right rows come first.
+    With ``span`` the window runs inside time buckets of a key, and each bucket takes the last right row of those before it."""
+    kind = right.select(F.struct(*values)).schema[0].dataType
+    tag = left.select("*", F.lit(1).alias("_side"), F.lit(None).cast("long").alias("_u"), F.lit(None).cast(kind).alias("_v"))
     other = right.select(*by, ts, F.lit(0).alias("_side"), F.col(right_unique).cast("long").alias("_u"), F.struct(*values).alias("_v"))
-    w = Window.partitionBy(*by).orderBy(ts, "_side", "_u").rowsBetween(Window.unboundedPreceding, 0)
     both = tag.unionByName(other, allowMissingColumns=True)
-    filled = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
-    return filled.select(*left.columns, *[F.col(f"_v.{v}").alias(prefix + v) for v in values])
+    parts = list(by)
+    if span is not None:
+        both, parts = both.withColumn("_bucket", bucket(F.col(ts), span)), [*by, "_bucket"]
+    w = Window.partitionBy(*parts).orderBy(ts, "_side", "_u").rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.withColumn("_w", F.last("_v", ignorenulls=True).over(w)).where("_side = 1")
+    if span is not None:
+        ends = both.groupBy(*parts).agg(F.max_by("_v", F.when(F.col("_side") == 0, F.struct(ts, "_u"))).alias("_end"))
+        carried = ends.withColumn("_carried", F.last("_end", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
+        filled = _null_safe_join(filled, carried.select(*parts, "_carried"), parts, "_carried").withColumn("_w", F.coalesce("_w", "_carried"))
+    return filled.select(*left.columns, *[F.col(f"_w.{v}").alias(prefix + v) for v in values])
 
 
 def nearest_time(df: DataFrame, at: int, *, keys: list[str], ts: str = "timestamp", unique: str = "id") -> DataFrame:
@@ -130,9 +156,15 @@ def replay_dense(ticks: DataFrame, every: str | int, symbols: list[str], *, ts:
     return filled.select(F.col("_b").alias(ts), "symbol", F.coalesce("r.price", F.lit(0.0)).alias("price"), F.coalesce("r.volume", F.lit(0.0)).alias("volume"))
 
 
-def prefix_sum(df: DataFrame, value: str, *, keys: list[str], order: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("prefix_sum", F.sum(value).over(w))
+def prefix_sum(df: DataFrame, value: str, *, keys: list[str], order: list[str], span: int | None = None) -> DataFrame:
+    """Adds the running sum; with ``span`` in time buckets, whose sums are added up apart (see :func:`numbered`)."""
+    if span is None:
+        return df.withColumn("prefix_sum", F.sum(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows = df.withColumn("_bucket", bucket(F.col(order[0]), span))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_k")).withColumn("_before", F.coalesce(F.sum("_k").over(before), F.lit(0))).drop("_k")
+    local = rows.withColumn("prefix_sum", F.sum(value).over(Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return _null_safe_join(local, sums, [*keys, "_bucket"], "_before").withColumn("prefix_sum", F.coalesce("prefix_sum", F.lit(0)) + F.col("_before")).drop("_bucket", "_before")
 
 
 def delta_encode(df: DataFrame, value: str, *, keys: list[str], order: list[str]) -> DataFrame:
@@ -141,6 +173,16 @@ def delta_encode(df: DataFrame, value: str, *, keys: list[str], order: list[str]
     return df.withColumn("delta", F.coalesce(x - F.lag(x).over(Window.partitionBy(*keys).orderBy(*order)), x))
 
 
+def delta_decode(df: DataFrame, value: str, *, keys: list[str], order: list[str], span: int | None = None) -> DataFrame:
+    """Undoes :func:`delta_encode`: the running sum of the differences."""
+    return prefix_sum(df, value, keys=keys, order=order, span=span).withColumnRenamed("prefix_sum", "decoded")
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list[str], columns: list[str], **aggregates: Column) -> DataFrame:
+    """Groups with aggregates, and the first row's value (by ``order``) of columns that are neither keys nor aggregated."""
+    return df.groupBy(*keys).agg(*[F.min_by(c, F.struct(*order)).alias(c) for c in columns], *[x.alias(n) for n, x in aggregates.items()])
+
+
 def first_index_at_or_after(df: DataFrame, targets: DataFrame, *, keys: list[str], ts: str = "timestamp", target: str = "target") -> DataFrame:
     """For each target, how many rows of its series lie before it (a lower bound), by one union and window."""
     rows = df.select(*keys, F.col(ts).alias("_t"), F.lit(1).alias("_n"), F.lit(None).cast("long").alias(target))
