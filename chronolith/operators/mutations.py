@@ -17,8 +17,11 @@ def resolve_tombstones(log: DataFrame, keys: list[str], seq: str) -> DataFrame:
     return latest_wins(log, keys, seq).where("volume >= 0")
 
 
-def upsert(base: DataFrame, changes: DataFrame, keys: list[str], update: list[str] | None = None) -> DataFrame:
-    """Inserts the changes; rows whose key exists take the ``update`` columns (all others: every column)."""
+def upsert(base: DataFrame, changes: DataFrame, keys: list[str], update: list[str] | None = None, *, seq: str | None = None) -> DataFrame:
+    """Inserts the changes; rows whose key exists take the ``update`` columns (all others: every column). Of changes with
+    the same key the last one wins: by the column ``seq``, or without one by the changes' order of rows."""
+    order = seq or "_seq"
+    changes = latest_wins(changes if seq else changes.withColumn("_seq", F.monotonically_increasing_id()), keys, order).select(*base.columns)
     update = [c for c in base.columns if c not in keys] if update is None else update
     b, c = base.alias("b"), changes.alias("c")
     on = [F.col(f"b.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys]
@@ -42,9 +45,27 @@ def update_where(base: DataFrame, condition: Column, values: dict[str, Column])
     return base.withColumns({c: F.when(hit, v).otherwise(F.col(c)) for c, v in values.items()})
 
 
-def merge_absent(source: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:
-    """The target and the source's live rows whose key it lacks, each key once."""
+def update_row(base: DataFrame, number: int, values: dict[str, Column], *, order: list[str]) -> DataFrame:
+    """Changes one row, given by its number (from 0) in the order of unique columns."""
+    ids = base.orderBy(*order).offset(number).limit(1).select(*order)  # one row
+    return base.join(F.broadcast(ids.withColumn("_hit", F.lit(True))), order, "left").withColumns({c: F.when(F.col("_hit"), v).otherwise(F.col(c)) for c, v in values.items()}).select(*base.columns)
+
+
+def compact(log: DataFrame, path: str, keys: list[str], seq: str, *, partition: str | None = None) -> DataFrame:
+    """Rewrites a log without deleted and overwritten rows to a new path, and reads it back."""
+    live = resolve_tombstones(log, keys, seq)
+    writer = live.write.partitionBy(partition) if partition else live.write
+    writer.parquet(path)
+    return log.sparkSession.read.schema(log.schema).parquet(path)
+
+
+def merge_absent(source: DataFrame, target: DataFrame, keys: list[str], *, symbols: list[str] | None = None, interval: str | None = None) -> DataFrame:
+    """The target and the source's live rows (of some symbols and one interval, if given) whose key it lacks, each key once."""
     live = source.where("volume >= 0") if "volume" in source.columns else source
+    if symbols is not None:
+        live = live.where(F.col("symbol").isin(symbols) if symbols else F.lit(False))
+    if interval is not None:
+        live = live.where(F.col("interval") == interval)
     return target.unionByName(live.join(target.select(*keys), keys, "left_anti").dropDuplicates(keys))
 
 
