@@ -80,6 +80,56 @@ def daily_report(orders: DataFrame, keys: list[str], day: Column, *, status: str
     )
 
 
+def performance(trades: DataFrame, keys: list[str], order: list[str], *, pnl: str = "pnl", price: str = "price") -> DataFrame:
+    """Counts, total, mean, greatest win and loss, win rate as a share, Sharpe ratio of pnl over price, and the largest
+    fall of the summed pnl from its peak, as a share of a peak above 0."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    t = trades.withColumn("_sum", F.sum(pnl).over(w)).withColumn("_peak", F.greatest(F.lit(0.0), F.max("_sum").over(w)))
+    fall = F.when(F.col("_peak") > 0, (F.col("_peak") - F.col("_sum")) / F.col("_peak"))
+    p = F.col(pnl)
+    return t.groupBy(*keys).agg(
+        F.count("*").alias("trades"), F.count_if(p > 0).alias("wins"), F.count_if(p < 0).alias("losses"), F.sum(p).alias("total_pnl"), F.avg(p).alias("avg_pnl"), F.max(p).alias("max_win"), F.min(p).alias("max_loss"),
+        (F.count_if(p > 0) / F.count("*")).alias("win_rate"), sharpe(p / F.nullif(F.col(price), F.lit(0.0))).alias("sharpe"), F.coalesce(F.max(fall), F.lit(0.0)).alias("max_drawdown"),
+    )
+
+
+def trades_report(trades: DataFrame, keys: list[str], day: Column, *, pnl: str, fee: str, side: str, amount: str) -> DataFrame:
+    """Per day: bought and sold amounts, realised profit, fees, profit after fees, and the share of trades that won."""
+    p = F.col(pnl)
+    return trades.groupBy(day.alias("day"), *keys).agg(
+        F.count("*").alias("trades"), F.sum(F.when(F.col(side) == "buy", F.col(amount)).otherwise(0.0)).alias("buy_volume"), F.sum(F.when(F.col(side) == "sell", F.col(amount)).otherwise(0.0)).alias("sell_volume"),
+        F.sum(p).alias("pnl"), F.sum(fee).alias("fees"), (F.sum(p) - F.sum(fee)).alias("net_pnl"), (F.count_if(p > 0) / F.count("*")).alias("win_rate"),
+    )
+
+
+def newest_trades(trades: DataFrame, *, symbol: str | None = None, start: int | None = None, end: int | None = None, limit: int = 100, ts: str = "timestamp", unique: str = "id") -> DataFrame:
+    """The newest trades of a symbol and a closed time range, newest first."""
+    t = trades if symbol is None else trades.where(F.col("symbol") == symbol)
+    t = t if start is None else t.where(F.col(ts) >= start)
+    t = t if end is None else t.where(F.col(ts) <= end)
+    return t.orderBy(F.desc(ts), F.desc(unique)).limit(limit)
+
+
+def last_metrics(metrics: DataFrame, n: int, *, keys: list[str], ts: str = "timestamp", unique: str = "id") -> DataFrame:
+    """The last ``n`` rows of each series, in ascending order of time."""
+    newest = Window.partitionBy(*keys).orderBy(F.desc(ts), F.desc(unique))
+    return metrics.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= n).drop("_n").orderBy(*keys, ts, unique)
+
+
+def rank_runs(results: DataFrame, by: str = "sharpe", *, unique: list[str]) -> DataFrame:
+    """Runs of a parameter sweep with their rank, best first; runs without a value come last."""
+    return results.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(by), *unique)))
+
+
+def marked_equity(positions: DataFrame, marks: DataFrame, keys: list[str], *, cash: str, position: str, average: str) -> DataFrame:
+    """Each account's cash, value of its positions at the marks (of (symbol, price)), and their sum: positions without a
+    mark count at their average price."""
+    price = F.coalesce(F.col("price"), F.col(average))
+    held = positions.join(marks.select("symbol", "price"), "symbol", "left")
+    value = F.sum(F.col(position) * price)
+    return held.groupBy(*keys).agg(F.max(cash).alias("cash"), value.alias("held"), F.sum(F.col(position) * (price - F.col(average))).alias("unrealised")).withColumn("equity", F.col("cash") + F.col("held"))
+
+
 def risk_limits(totals: DataFrame, exposure: str, limit: float) -> DataFrame:
     """VIOLATION above the limit, WARNING from 90 % of it on."""
     x = F.col(exposure)

@@ -18,8 +18,13 @@ def out_of_order(df: DataFrame, keys: list[str], order: str, ts: str = "timestam
     return df.withColumn("previous", before).where(F.col(ts) <= F.col("previous"))
 
 
-def gaps(df: DataFrame, keys: list[str], step: int, ts: str = "timestamp") -> DataFrame:
-    """Places where the next time is another one than a step later."""
+def gaps(df: DataFrame, keys: list[str], step: int | None = None, ts: str = "timestamp") -> DataFrame:
+    """Places where the next time is another one than a step later; the step is the series' first difference if none is given."""
+    if step is None:
+        w = Window.partitionBy(*keys).orderBy(ts)
+        found = df.select(*keys, F.col(ts).alias("gap_from"), F.lead(ts).over(w).alias("gap_to"), F.row_number().over(w).alias("_n"))
+        step_of = F.max(F.when(F.col("_n") == 1, F.col("gap_to") - F.col("gap_from"))).over(Window.partitionBy(*keys))
+        return found.withColumn("step", step_of).where(F.col("gap_to") - F.col("gap_from") != F.col("step")).drop("_n")
     after = F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts))
     found = df.select(*keys, F.col(ts).alias("gap_from"), after.alias("gap_to"))
     return found.where(F.col("gap_to") - F.col("gap_from") != step).withColumn("missing", F.expr(f"(gap_to - gap_from) div {step} - 1"))
@@ -37,3 +42,13 @@ def price_violations(bars: DataFrame, keys: list[str], ts: str = "timestamp") ->
     }
     names = F.filter(F.array(*[F.when(x, F.lit(n)) for n, x in rules.items()]), lambda x: x.isNotNull())
     return bars.select(*keys, ts, F.explode(names).alias("violation"))
+
+
+def valid_bars(bars: DataFrame) -> DataFrame:
+    """The bars whose numbers are all finite and whose prices lie within low and high."""
+    finite = F.lit(True)
+    for c in ("open", "high", "low", "close", "volume"):
+        x = F.col(c)
+        finite = finite & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    inside = (F.col("high") >= F.greatest("open", "close", "low")) & (F.col("low") <= F.least("open", "close", "high")) & (F.col("volume") >= 0)
+    return bars.where(finite & inside)
