@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,11 +46,21 @@ def sample_var(x: Column) -> Column:
     return F.coalesce(F.var_samp(x), F.lit(0.0))
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision; 0 where a norm is 0 or the lengths differ."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm).otherwise(0.0)
+    norm = F.sqrt(_dot(a, a)) * F.sqrt(_dot(b, b))
+    return F.when((F.size(a) == F.size(b)) & (norm > 0), _dot(a, b) / norm).otherwise(0.0)
+
+
+def cosine_to(a: Column, vector: list[float]) -> Column:
+    """Cosine similarity to a fixed vector, whose norm is taken once."""
+    other = math.sqrt(sum(float(x) ** 2 for x in vector))
+    norm = F.sqrt(_dot(a, a)) * F.lit(other)
+    return F.when((F.size(a) == len(vector)) & (norm > 0), _dot(a, F.array(*[F.lit(float(x)) for x in vector])) / norm).otherwise(0.0)
 
 
 def hash_bucket(x: Column, n: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
@@ -9,10 +10,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions import cosine
+from chronolith.functions import cosine, cosine_to
 
 PIVOTS = 64
 STRIP = 512  # rows of a block that are multiplied at a time
@@ -24,7 +25,7 @@ def literal(vector: list[float]) -> Column:
 
 def knn(vectors: DataFrame, query: list[float], k: int, *, threshold: float = 0.0, vector: str = "embedding", unique: str = "vec_id") -> DataFrame:
     """The k most similar rows; vectors of another length do not match. A partial top-k on each partition."""
-    scored = vectors.where(F.size(vector) == len(query)).withColumn("similarity", cosine(F.col(vector), literal(query)))
+    scored = vectors.where(F.size(vector) == len(query)).withColumn("similarity", cosine_to(F.col(vector), query))
     return scored.where(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), unique).limit(k)
 
 
@@ -179,13 +180,15 @@ def _signatures(dim: int, tables: int, bits: int):
 
 
 def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, *, dim: int, tables: int = 24, bits: int = 5, vector: str = "embedding", unique: str = "vec_id") -> DataFrame:
-    """Approximate search: rows that share a random-hyperplane bucket with the query, ranked by exact similarity."""
+    """Approximate search: rows that share a random-hyperplane bucket with the query, ranked by exact similarity.
+
+    For tables that one pass can read whole; :class:`chronolith.operators.ann.Index` reads only the cells it probes."""
     sign = _signatures(dim, tables, bits)
     side = lambda df, a, b: df.select(F.col(unique).alias(a), F.col(vector).alias(b), F.posexplode(sign(vector)).alias("t", "h"))
     pairs = side(queries, "query_id", "q").join(side(vectors, "id", "v"), ["t", "h"])
     scored = pairs.select("query_id", "id", cosine(F.col("q"), F.col("v")).alias("similarity")).where("query_id <> id").distinct()
-    best = scored.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("similarity", (-F.col("id")).alias("i"))), asc=False), 1, k).alias("b"))
-    return best.select("query_id", F.explode("b").alias("x")).select("query_id", (-F.col("x.i")).alias("id"), "x.similarity")
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
 
 
 _token = re.compile(r"[a-z0-9]+|[^\x00-\x7f]")
@@ -197,16 +200,16 @@ def hash_embedding(text: Column, dim: int = 64) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         import xxhash
 
+        hash_of = xxhash.xxh64_intdigest
         out = []
         for t in texts:
             words = _token.findall((t or "").lower())
-            v = np.zeros(dim)
-            for parts, w in ((words, 1.0), ([f"{a} {b}" for a, b in zip(words, words[1:])], 1.5), ([c for x in words for c in x], 0.7)):
-                for x in parts:
-                    h = xxhash.xxh64_intdigest(x)
-                    v[h % dim] += w if h >> 63 else -w
+            parts = [*words, *map(" ".join, zip(words, words[1:])), *itertools.chain.from_iterable(words)]
+            weight = np.repeat([1.0, 1.5, 0.7], [len(words), max(len(words) - 1, 0), sum(map(len, words))])
+            h = np.fromiter(map(hash_of, parts), np.uint64, len(parts))
+            v = np.bincount((h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), weight, -weight), dim)
             n = np.linalg.norm(v)
             out.append((v / n if n else v).tolist())
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
     return F.pandas_udf(run, "array<double>")(text)
