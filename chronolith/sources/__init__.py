@@ -1,5 +1,5 @@
 """Readers and writers."""
 
-from chronolith.sources.files import export, ingest_csv, ingest_jsonl, merged_tiers, read_table, write_by_day, write_tiers
+from chronolith.sources.files import copy_series, export, ingest_csv, ingest_jsonl, ingest_vectors, merged_tiers, read_days, read_table, synthetic_bars, write_by_day, write_tiers
 
-__all__ = ["export", "ingest_csv", "ingest_jsonl", "merged_tiers", "read_table", "write_by_day", "write_tiers"]
+__all__ = ["copy_series", "export", "ingest_csv", "ingest_jsonl", "ingest_vectors", "merged_tiers", "read_days", "read_table", "synthetic_bars", "write_by_day", "write_tiers"]
