@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -16,49 +17,181 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).parquet(path)
 
 
-def stream_bars(ticks: DataFrame, every: str, late: str, *, ts: str = "ts", key: str = "symbol", price: str = "price", volume: str = "volume", unique: str = "id") -> DataFrame:
-    """Bars of event-time windows; rows later than the watermark are dropped and their state is freed."""
+def stream_bars(ticks: DataFrame, every: str, late: str, *, slide: str | None = None, ts: str = "ts", key: str = "symbol", price: str = "price", volume: str = "volume", unique: str = "id") -> DataFrame:
+    """Bars of event-time windows, tumbling or sliding; rows later than the watermark are dropped and their state is freed."""
     order = F.struct(ts, unique)
-    bars = ticks.withWatermark(ts, late).groupBy(F.window(ts, every), key)
+    window = F.window(ts, every, slide) if slide else F.window(ts, every)
+    bars = ticks.withWatermark(ts, late).groupBy(window, key)
     return bars.agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.sum(volume).alias("volume"), F.count("*").alias("n")
     ).select(key, F.col("window.start").alias("bar_start"), "open", "high", "low", "close", "volume", "n")
 
 
-class _Indicators(StatefulProcessor):
-    """Per key: the last n values (SMA) and a running EMA."""
+class Indicator:
+    """One incremental indicator: ``state`` is a list of numbers, ``update`` takes a value and gives the outputs."""
+
+    names: tuple[str, ...] = ()
+
+    def __init__(self):
+        self.state: list[float] = []
+
+    def update(self, x: float) -> tuple[float, ...]:
+        raise NotImplementedError
+
+
+class Sma(Indicator):
+    """Mean of the last n values, of fewer at first."""
+
+    names = ("sma",)
 
     def __init__(self, n: int):
+        super().__init__()
         self.n = n
 
+    def update(self, x: float) -> tuple[float, ...]:
+        self.state = [*self.state, x][-self.n :]
+        return (math.fsum(self.state) / len(self.state),)
+
+
+class Bollinger(Sma):
+    """Bands of k deviations around the mean of the last n values, of fewer at first."""
+
+    names = ("middle", "upper", "lower")
+
+    def __init__(self, n: int = 20, k: float = 2.0):
+        super().__init__(n)
+        self.k = k
+
+    def update(self, x: float) -> tuple[float, ...]:
+        (mid,) = super().update(x)
+        dev = math.sqrt(math.fsum((v - mid) ** 2 for v in self.state) / len(self.state))
+        return mid, mid + self.k * dev, mid - self.k * dev
+
+
+class Ema(Indicator):
+    """Exponential average from the first value."""
+
+    names = ("ema",)
+
+    def __init__(self, n: int):
+        super().__init__()
+        self.alpha = 2 / (n + 1)
+
+    def update(self, x: float) -> tuple[float, ...]:
+        self.state = [x if not self.state else self.alpha * x + (1 - self.alpha) * self.state[0]]
+        return (self.state[0],)
+
+
+def _seeded(state: list[float], x: float, n: int, alpha: float) -> list[float]:
+    """(values taken, their mean or the smoothed value): the mean of the first n values, smoothed from then on."""
+    count, value = state
+    if count < n:
+        return [count + 1, value + (x - value) / (count + 1)]
+    return [count, alpha * x + (1 - alpha) * value]
+
+
+class Rsi(Indicator):
+    """Wilder's RSI; 0 before n changes, ``no_loss`` where the average loss is 0."""
+
+    names = ("rsi",)
+
+    def __init__(self, n: int = 14, no_loss: float = 100.0):
+        super().__init__()
+        self.n, self.no_loss = n, no_loss
+
+    def update(self, x: float) -> tuple[float, ...]:
+        if not self.state:
+            self.state = [x, 0.0, 0.0, 0.0, 0.0]
+            return (0.0,)
+        change = x - self.state[0]
+        gain = _seeded(self.state[1:3], max(change, 0.0), self.n, 1 / self.n)
+        loss = _seeded(self.state[3:5], max(-change, 0.0), self.n, 1 / self.n)
+        self.state = [x, *gain, *loss]
+        if gain[0] < self.n:
+            return (0.0,)
+        return (self.no_loss if loss[1] == 0 else 100 - 100 / (1 + gain[1] / loss[1]),)
+
+
+class Macd(Indicator):
+    """MACD of averages seeded with means; 0 until each line is defined."""
+
+    names = ("macd", "signal", "histogram")
+
+    def __init__(self, fast: int = 12, slow: int = 26, signal: int = 9):
+        super().__init__()
+        self.n = fast, slow, signal
+
+    def update(self, x: float) -> tuple[float, ...]:
+        s = self.state or [0.0] * 6
+        step = lambda k, v: _seeded(s[2 * k : 2 * k + 2], v, self.n[k], 2 / (self.n[k] + 1))
+        fast, slow, signal = step(0, x), step(1, x), s[4:6]
+        ready = min(fast[0] - self.n[0], slow[0] - self.n[1]) >= 0
+        line = fast[1] - slow[1] if ready else 0.0
+        if ready:
+            signal = step(2, line)
+        self.state = [*fast, *slow, *signal]
+        if signal[0] < self.n[2]:
+            return line, 0.0, 0.0
+        return line, signal[1], line - signal[1]
+
+
+class _Indicators(StatefulProcessor):
+    """Per key the states of some indicators. A trigger's rows of a key are put in order together."""
+
+    def __init__(self, make: Callable[[], list[Indicator]]):
+        self.make = make
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.recent = handle.getValueState("recent", "v array<double>, ema double")
+        self.held = handle.getValueState("held", "states array<array<double>>")
+
+    def _load(self) -> list[Indicator]:
+        found, state = self.make(), self.held.get()
+        for x, values in zip(found, state[0] if state else []):
+            x.state = list(values)
+        return found
+
+    def _save(self, found: list[Indicator]) -> None:
+        self.held.update(([x.state for x in found],))
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        found = self._load()
+        for x in initialState.sort_values(["ts", "id"])["price"]:
+            for f in found:
+                f.update(float(x))
+        self._save(found)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.recent.get()
-        held, ema = (list(state[0]), state[1]) if state else ([], None)
-        alpha = 2 / (self.n + 1)
-        for part in rows:
-            part = part.sort_values(["ts", "id"])
-            sma, out = [], []
-            for x in part["price"]:
-                held = [*held, float(x)][-self.n :]
-                ema = float(x) if ema is None else alpha * float(x) + (1 - alpha) * ema
-                sma.append(sum(held) / len(held))
-                out.append(ema)
-            yield pd.DataFrame({"symbol": part["symbol"], "id": part["id"], "price": part["price"], "sma": sma, "ema": out})
-        self.recent.update((held, ema))
+        found = self._load()
+        whole = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")  # the rows come in batches of Arrow's size
+        resets = whole["reset"].fillna(False).tolist() if "reset" in whole else [False] * len(whole)
+        out = []
+        for x, again in zip(whole["price"].tolist(), resets):
+            if again:
+                found = self.make()
+            out.append([v for f in found for v in f.update(float(x))])
+        self._save(found)
+        names = [n for f in found for n in f.names]
+        yield pd.concat([whole[["symbol", "id", "price"]].reset_index(drop=True), pd.DataFrame(out, columns=names, dtype=float)], axis=1)
 
     def close(self) -> None:
         pass
 
 
-def stream_indicator(ticks: DataFrame, n: int) -> DataFrame:
-    """SMA over the last n rows (fewer at first) and EMA from the first value, updated row by row.
+def stream_indicators(ticks: DataFrame, make: Callable[[], list[Indicator]], *, history: DataFrame | None = None) -> DataFrame:
+    """The outputs of indicators (``make`` gives new ones), updated row by row.
+
+    ``ticks`` has symbol, id, ts and price; a row that is true in an optional column ``reset`` begins anew. Rows of one trigger
+    are put in order of (ts, id); a row that comes triggers later than later ones is taken when it comes. ``history`` is a table
+    of rows that bring each key's state up to date before the first trigger. A key's rows of one trigger, which
+    ``maxFilesPerTrigger`` bounds, are held in memory. The session must use the RocksDB state store."""
+    out = ["symbol string", "id long", "price double", *[f"{n} double" for x in make() for n in x.names]]
+    start = None if history is None else history.select("symbol", "id", "ts", "price").groupBy("symbol")
+    return ticks.groupBy("symbol").transformWithStateInPandas(statefulProcessor=_Indicators(make), outputStructType=", ".join(out), outputMode="append", timeMode="None", initialState=start)
 
-    ``ticks`` has symbol, id, ts and price; the session must use the RocksDB state store."""
-    out = "symbol string, id long, price double, sma double, ema double"
-    return ticks.groupBy("symbol").transformWithStateInPandas(statefulProcessor=_Indicators(n), outputStructType=out, outputMode="append", timeMode="None")
+
+def stream_indicator(ticks: DataFrame, n: int) -> DataFrame:
+    """SMA over the last n rows (fewer at first) and EMA from the first value."""
+    return stream_indicators(ticks, lambda: [Sma(n), Ema(n)])
 
 
 def upsert_sink(apply: Callable[[DataFrame], None], keys: list[str], seq: str) -> Callable[[DataFrame, int], None]:
@@ -71,8 +204,17 @@ def upsert_sink(apply: Callable[[DataFrame], None], keys: list[str], seq: str) -
     return write
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there and returns the result as a table in memory (for bounded results)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_to_table(stream: DataFrame, path: str, mode: str) -> DataFrame:
+    """Runs a stream over what is there and returns the result, written as Parquet under ``path``, which all executors reach.
+
+    A trigger that is repeated writes its folder anew."""
+    complete, epochs = mode == "complete", []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/result/part={0 if complete else epoch}")
+        epochs.append(epoch)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(f"{path}/result").select(stream.columns) if epochs else spark.createDataFrame([], stream.schema)
