@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith import functions as X
+from chronolith import schemas
 from chronolith.operators import analytics as an
+from chronolith.operators import ann
 from chronolith.operators import data_quality as dq
 from chronolith.operators import facts as fa
 from chronolith.operators import indicators as ind
@@ -17,6 +19,7 @@ from chronolith.operators import scans
 from chronolith.operators import timeseries as ts
 from chronolith.operators import vectors as vec
 from chronolith.plans import Dialect
+from chronolith.session import work_path
 from chronolith.sources import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +43,9 @@ TICKS = "ticks AS (SELECT event_id AS id, event_type AS symbol, user_id, epoch_u
 BARS = TICKS + ", bars AS (SELECT symbol, '1h' AS interval, timestamp - timestamp % 3600000 AS timestamp, arg_min(price, timestamp) AS open, max(price) AS high, min(price) AS low, arg_max(price, timestamp) AS close, sum(volume) AS volume FROM ticks GROUP BY symbol, timestamp - timestamp % 3600000)"
 #: Fixed literals of the vector queries: eight values, repeated to the dimension.
 PROBE = [0.3, -0.2, 0.5, 0.1, -0.4, 0.2, 0.05, -0.1]
+DIM = 64  # of the test vectors
 S = ind.Series(["symbol"], ["timestamp"])
+DAY = 86_400_000  # milliseconds: the time buckets that long series are cut into
 
 
 def ticks(spark: SparkSession, d: str) -> DataFrame:
@@ -92,9 +97,9 @@ def filter_not_or(spark, d):
     return read_table(spark, d, "orders").where(f).select("o_orderkey")
 
 
-@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
+@query("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c_custkey = o_custkey WHERE o_orderkey IS NULL")
 def filter_is_null(spark, d):
-    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders")
+    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders").where("o_totalprice > 400000")
     return c.join(o, c.c_custkey == o.o_custkey, "left").where(o.o_orderkey.isNull()).select("c_custkey", "o_orderkey")
 
 
@@ -188,9 +193,9 @@ def semi_in_subquery(spark, d):
     return c.join(o, c.c_custkey == o.o_custkey, "left_semi").select("c_custkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)")
 def anti_not_in(spark, d):
-    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders").where("o_totalprice > 100000")
+    c, o = read_table(spark, d, "customer"), read_table(spark, d, "orders").where("o_totalprice > 400000")
     return c.join(o, c.c_custkey == o.o_custkey, "left_anti").select("c_custkey")
 
 
@@ -201,7 +206,7 @@ def anti_not_in(spark, d):
 def asof_join(spark, d):
     t = ticks(spark, d)
     click = t.where("symbol = 'click'").select("id", "user_id", "timestamp", "price")
-    return ts.asof_join(click, t.where("symbol = 'view'"), by=["user_id"], ts="timestamp", values=["price"], right_unique="id")
+    return ts.asof_join(click, t.where("symbol = 'view'"), by=["user_id"], ts="timestamp", values=["price"], right_unique="id", span=DAY)
 
 
 @query(f"WITH {TICKS} SELECT s.symbol, coalesce(arg_max(t.price, t.timestamp), 0) AS price, coalesce(arg_max(t.volume, t.timestamp), 0) AS volume FROM (SELECT DISTINCT symbol FROM ticks) s LEFT JOIN ticks t ON t.symbol = s.symbol AND t.timestamp <= 1705000000000 GROUP BY s.symbol")
@@ -425,7 +430,7 @@ def ohlcv_1h(spark, d):
     SELECT symbol, (rn - 1) // 50 AS bar, arg_min(price, rn) AS open, max(price) AS high, min(price) AS low, arg_max(price, rn) AS close, sum(volume) AS volume FROM n GROUP BY 1, 2"""
 )
 def ohlcv_rows(spark, d):
-    return ts.bars_by_rows(ticks(spark, d), 50, keys=["symbol"], order=["timestamp", "id"])
+    return ts.bars_by_rows(ticks(spark, d), 50, keys=["symbol"], order=["timestamp", "id"], span=DAY)
 
 
 @query(
@@ -433,7 +438,7 @@ def ohlcv_rows(spark, d):
     SELECT symbol, min(timestamp) AS timestamp, arg_min(open, rn) AS open, max(high) AS high, min(low) AS low, arg_max(close, rn) AS close, sum(volume) AS volume FROM n GROUP BY symbol, (rn - 1) // 5"""
 )
 def resample_5(spark, d):
-    return ts.resample(bars(spark, d), 5, keys=["symbol"])
+    return ts.resample(bars(spark, d), 5, keys=["symbol"], span=7 * DAY)
 
 
 @query(f"WITH {TICKS} SELECT symbol, arg_max(id, timestamp) AS id, max(timestamp) AS timestamp FROM ticks GROUP BY symbol")
@@ -488,7 +493,7 @@ def snapshot_boundaries(spark, d):
 
 @query(f"WITH {TICKS} SELECT id, round(sum(price) OVER (PARTITION BY symbol ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING), 4) AS prefix_sum FROM ticks")
 def prefix_sum(spark, d):
-    return ts.prefix_sum(ticks(spark, d), "price", keys=["symbol"], order=["timestamp", "id"]).select("id", r("prefix_sum", 4).alias("prefix_sum"))
+    return ts.prefix_sum(ticks(spark, d), "price", keys=["symbol"], order=["timestamp", "id"], span=DAY).select("id", r("prefix_sum", 4).alias("prefix_sum"))
 
 
 @query(f"WITH {TICKS} SELECT id, coalesce(timestamp - lag(timestamp) OVER (PARTITION BY symbol ORDER BY timestamp, id), timestamp) AS delta FROM ticks")
@@ -602,12 +607,14 @@ def adx(spark, d):
 
 # --- mutations ---------------------------------------------------------------------------------------------------
 
-_NEW = "new AS (SELECT o_orderkey + 14990 AS k, o_totalprice + 1 AS p, 'N' AS s FROM orders WHERE o_orderkey < 40), old AS (SELECT o_orderkey AS k, o_totalprice AS p, o_orderstatus AS s FROM orders)"
+# Changes: the pending orders, moved to keys of which about half exist.
+_NEW = "new AS (SELECT o_orderkey * 2 AS k, o_totalprice + 1 AS p, 'N' AS s FROM orders WHERE o_orderstatus = 'P'), old AS (SELECT o_orderkey AS k, o_totalprice AS p, o_orderstatus AS s FROM orders)"
 
 
 def _changes(spark, d):
     o = read_table(spark, d, "orders")
-    return o.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"), F.col("o_orderstatus").alias("s")), o.where("o_orderkey < 40").select((F.col("o_orderkey") + 14990).alias("k"), (F.col("o_totalprice") + 1).alias("p"), F.lit("N").alias("s"))
+    new = o.where("o_orderstatus = 'P'").select((F.col("o_orderkey") * 2).alias("k"), (F.col("o_totalprice") + 1).alias("p"), F.lit("N").alias("s"))
+    return o.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("p"), F.col("o_orderstatus").alias("s")), new
 
 
 @query(f"WITH {_NEW} SELECT k, p, s FROM new UNION ALL SELECT k, p, s FROM old WHERE k NOT IN (SELECT k FROM new)")
@@ -655,14 +662,13 @@ _SIM = f"list_cosine_similarity(embedding::DOUBLE[], {_PROBE})"
 
 
 def _probe(e: DataFrame) -> list[float]:
-    n = len(e.first().embedding)
-    return [PROBE[i % 8] for i in range(n)]
+    return [PROBE[i % 8] for i in range(DIM)]
 
 
 @query(f"SELECT vec_id, round({_SIM}, 9) AS similarity FROM embeddings")
 def cosine_sim(spark, d):
     e = read_table(spark, d, "embeddings")
-    return e.select("vec_id", r(X.cosine(F.col("embedding"), vec.literal(_probe(e))), 9).alias("similarity"))
+    return e.select("vec_id", r(X.cosine_to(F.col("embedding"), _probe(e)), 9).alias("similarity"))
 
 
 @query(f"SELECT vec_id, round({_SIM}, 9) AS similarity FROM embeddings WHERE {_SIM} >= 0 ORDER BY {_SIM} DESC, vec_id LIMIT 10")
@@ -674,19 +680,22 @@ def knn_topk(spark, d):
 @query(f"SELECT vec_id FROM embeddings WHERE {_SIM} >= 0.1")
 def knn_threshold(spark, d):
     e = read_table(spark, d, "embeddings")
-    return e.where(X.cosine(F.col("embedding"), vec.literal(_probe(e))) >= 0.1).select("vec_id")
+    return e.where(X.cosine_to(F.col("embedding"), _probe(e)) >= 0.1).select("vec_id")
 
 
 @query(f"SELECT vec_id, round({_SIM} * exp(-ln(2) * greatest(1000000 - vec_id * 3000, 0) / 600000.0), 9) AS score FROM embeddings")
 def decay_score(spark, d):
     e = read_table(spark, d, "embeddings")
-    s = vec.decay(X.cosine(F.col("embedding"), vec.literal(_probe(e))), F.lit(1000000) - F.col("vec_id") * 3000, 600000)
+    s = vec.decay(X.cosine_to(F.col("embedding"), _probe(e)), F.lit(1000000) - F.col("vec_id") * 3000, 600000)
     return e.select("vec_id", r(s, 9).alias("score"))
 
 
-@query("SELECT count(*) AS n, sum(len(embedding) * 4 + 256)::BIGINT AS bytes FROM embeddings WHERE vec_id < 200")
+@query("SELECT count(*) AS n, sum(len(embedding) * 4 + 256)::BIGINT AS bytes FROM embeddings WHERE vec_id < (SELECT (max(vec_id) + 1) * 2 // 5 FROM embeddings)")
 def archive_stats(spark, d):
-    return read_table(spark, d, "embeddings").where("vec_id < 200").agg(F.count("*").alias("n"), F.sum(F.size("embedding") * 4 + 256).alias("bytes"))
+    e = read_table(spark, d, "embeddings")
+    cutoff = e.agg(F.expr("(max(vec_id) + 1) * 2 div 5")).first()[0]  # the ids stand for times
+    _, archived = fa.archive(e, cutoff, ts="vec_id")
+    return archived.agg(F.count("*").alias("n"), F.sum(F.size("embedding") * 4 + 256).alias("bytes"))
 
 
 @query()
@@ -697,8 +706,15 @@ def hash_embed(spark, d):
 @query()
 def ann_lsh(spark, d):
     e = read_table(spark, d, "embeddings")
-    dim = len(e.first().embedding)
-    return vec.lsh_search(e, e.where("vec_id % 50 = 0"), 10, dim=dim)
+    return vec.lsh_search(e, e.where("vec_id % 50 = 0"), 10, dim=DIM)
+
+
+@query()
+def ann_ivf(spark, d):
+    e = read_table(spark, d, "embeddings")
+    index = ann.Index.build(e, work_path(spark, "ivf"))
+    queries = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return index.search(queries, 10, probes=max(1, len(index.centers) * 3 // 5))
 
 
 @query()
@@ -800,10 +816,63 @@ def risk_limits(spark, d):
     return an.risk_limits(t, "exposure", 3000000.0).select("o_custkey", r("exposure", 2).alias("exposure"), "status")
 
 
-@query()
+@query(
+    """WITH RECURSIVE f AS (SELECT o_custkey AS account, o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 'sell' ELSE 'buy' END AS side, o_totalprice / 1000 AS price, 1.0::DOUBLE AS qty,
+    CASE WHEN o_orderstatus = 'F' THEN -1.0 ELSE 1.0 END::DOUBLE AS q, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders),
+    p(account, id, side, price, qty, rn, position, avg_price, realised) AS (SELECT account, id, side, price, qty, rn, q, price, 0.0::DOUBLE FROM f WHERE rn = 1
+    UNION ALL SELECT f.account, f.id, f.side, f.price, f.qty, f.rn, p.position + f.q,
+      CASE WHEN p.position * f.q >= 0 THEN (p.avg_price * abs(p.position) + f.price * abs(f.q)) / (abs(p.position) + abs(f.q)) WHEN abs(f.q) > abs(p.position) THEN f.price WHEN abs(f.q) = abs(p.position) THEN 0.0 ELSE p.avg_price END,
+      CASE WHEN p.position * f.q >= 0 THEN 0.0 ELSE least(abs(p.position), abs(f.q)) * (f.price - p.avg_price) * sign(p.position) END
+    FROM p JOIN f ON f.account = p.account AND f.rn = p.rn + 1)
+    SELECT account, id, side, round(price, 9) AS price, qty, position, round(avg_price, 9) AS avg_price, round(realised, 9) AS realised FROM p"""
+)
 def position_pnl(spark, d):
     o = read_table(spark, d, "orders").select(F.col("o_custkey").alias("account"), F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy").alias("side"), (F.col("o_totalprice") / 1000).alias("price"), F.lit(1.0).alias("qty"))
-    return an.positions(o, ["account"], "id")
+    return an.positions(o, ["account"], "id").withColumns({c: r(c, 9) for c in ("price", "avg_price", "realised")})
+
+
+@query(f"WITH {_TR}, c AS (SELECT *, pnl + 200000 AS price, sum(pnl) OVER (PARTITION BY account ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING) AS s FROM tr), k AS (SELECT *, greatest(0, max(s) OVER (PARTITION BY account ORDER BY timestamp, id ROWS UNBOUNDED PRECEDING)) AS peak FROM c) SELECT account, count(*) AS trades, count(*) FILTER (pnl > 0) AS wins, round(max(pnl), 4) AS max_win, round(min(pnl), 4) AS max_loss, round(count(*) FILTER (pnl > 0) / count(*), 6) AS win_rate, round(avg(pnl / price) / stddev_pop(pnl / price), 6) AS sharpe, round(coalesce(max(CASE WHEN peak > 0 THEN (peak - s) / peak END), 0), 6) AS max_drawdown FROM k GROUP BY account")
+def performance(spark, d):
+    t = an.performance(_trades(spark, d).withColumn("price", F.col("pnl") + 200000), ["account"], ["timestamp", "id"])
+    return t.select("account", "trades", "wins", r("max_win", 4).alias("max_win"), r("max_loss", 4).alias("max_loss"), *[r(c).alias(c) for c in ("win_rate", "sharpe", "max_drawdown")])
+
+
+@query(f"WITH {_TR} SELECT account, id, timestamp, pnl FROM tr WHERE account = 'BUILDING' AND timestamp >= 946684800000 ORDER BY timestamp DESC, id DESC LIMIT 40")
+def trades_newest(spark, d):
+    t = _trades(spark, d).withColumnRenamed("account", "symbol")
+    return an.newest_trades(t, symbol="BUILDING", start=946684800000, limit=40).select(F.col("symbol").alias("account"), "id", "timestamp", "pnl")
+
+
+@query(f"WITH {_TR} SELECT account, id, timestamp FROM tr QUALIFY row_number() OVER (PARTITION BY account ORDER BY timestamp DESC, id DESC) <= 15")
+def metrics_last_n(spark, d):
+    return an.last_metrics(_trades(spark, d), 15, keys=["account"]).select("account", "id", "timestamp")
+
+
+@query(f"WITH {_TR}, s AS (SELECT account, round(avg(pnl) / stddev_pop(pnl), 9) AS sharpe FROM tr GROUP BY account) SELECT account, round(sharpe, 6) AS sharpe, row_number() OVER (ORDER BY sharpe DESC NULLS LAST, account) AS rank FROM s")
+def param_ranking(spark, d):
+    runs = _trades(spark, d).groupBy("account").agg(r(an.sharpe(F.col("pnl")), 9).alias("sharpe"))
+    return an.rank_runs(runs, unique=["account"]).select("account", r("sharpe").alias("sharpe"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    """SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority, count(*) AS trades, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus <> 'F'), 0), 2) AS buy_volume, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0), 2) AS sell_volume,
+    round(sum(o_totalprice - 200000), 2) AS pnl, round(sum(o_totalprice * 0.001), 6) AS fees, round(sum(o_totalprice - 200000) - sum(o_totalprice * 0.001), 2) AS net_pnl, round(count(*) FILTER (o_totalprice > 200000) / count(*), 6) AS win_rate FROM orders GROUP BY 1, 2"""
+)
+def daily_trades(spark, d):
+    o = read_table(spark, d, "orders").withColumns({"pnl": F.col("o_totalprice") - 200000, "fee": F.col("o_totalprice") * 0.001, "side": F.when(F.col("o_orderstatus") == "F", "sell").otherwise("buy")})
+    t = an.trades_report(o, ["o_orderpriority"], F.date_format("o_orderdate", "yyyy-MM-dd"), pnl="pnl", fee="fee", side="side", amount="o_totalprice")
+    return t.withColumns({c: r(c, n) for c, n in (("buy_volume", 2), ("sell_volume", 2), ("pnl", 2), ("fees", 6), ("net_pnl", 2), ("win_rate", 6))})
+
+
+@query(
+    f"""WITH {TICKS}, h AS (SELECT user_id, symbol, count(*)::DOUBLE AS position, avg(price) AS average FROM ticks WHERE symbol <> 'error' GROUP BY 1, 2), m AS (SELECT symbol, arg_max(price, timestamp) AS price FROM ticks WHERE symbol <> 'view' GROUP BY 1)
+    SELECT user_id, round(1000 + sum(position * coalesce(price, average)), 4) AS equity, round(sum(position * (coalesce(price, average) - average)), 4) AS unrealised FROM h LEFT JOIN m USING (symbol) GROUP BY user_id"""
+)
+def equity_marked(spark, d):
+    t = ticks(spark, d)
+    held = t.where("symbol <> 'error'").groupBy("user_id", "symbol").agg(F.count("*").cast("double").alias("position"), F.avg("price").alias("average")).withColumn("cash", F.lit(1000.0))
+    marks = t.where("symbol <> 'view'").groupBy("symbol").agg(F.max_by("price", "timestamp").alias("price"))
+    return an.marked_equity(held, marks, ["user_id"], cash="cash", position="position", average="average").select("user_id", r("equity", 4).alias("equity"), r("unrealised", 4).alias("unrealised"))
 
 
 @query("SELECT a AS fast, b AS slow, c AS signal FROM (VALUES (5), (10), (12)) x(a), (VALUES (20), (26)) y(b), (VALUES (7), (9)) z(c)")
@@ -815,13 +884,9 @@ def param_grid(spark, d):
 
 
 def _stream(spark, d, run):
-    """Runs a stream over the events table with a fresh checkpoint; the state store setting is put back."""
-    import tempfile
-    import uuid
-
+    """Runs a stream over the events table in a new folder; the state store setting is put back."""
     from chronolith.streaming import file_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
     spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -830,21 +895,200 @@ def _stream(spark, d, run):
         e = file_stream(spark, d, schema, pattern="events.parquet")
         k = F.get_json_object("props", "$.k").cast("double")
         t = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), k.alias("volume"))
-        return run(t, f"{base}/stream-{uuid.uuid4().hex}", f"s{uuid.uuid4().hex[:12]}")
+        return run(t, work_path(spark, "stream"))
     finally:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
+def _streamed(spark, d, make) -> DataFrame:
+    from chronolith.streaming import run_to_table, stream_indicators
+
+    return _stream(spark, d, lambda t, path: run_to_table(stream_indicators(t.drop("volume"), make), path, "append"))
+
+
 @query(f"WITH {BARS} SELECT symbol, timestamp, open, high, low, close, volume FROM bars")
 def stream_sample_by(spark, d):
     from chronolith.streaming import run_to_table, stream_bars
 
-    out = _stream(spark, d, lambda t, path, name: run_to_table(stream_bars(t, "1 hour", "2 hours"), name, "complete", path))
+    out = _stream(spark, d, lambda t, path: run_to_table(stream_bars(t, "1 hour", "2 hours"), path, "complete"))
     return out.select("symbol", F.unix_millis("bar_start").alias("timestamp"), "open", "high", "low", "close", "volume")
 
 
-@query()
+_NT = f"n AS (SELECT *, row_number() OVER w AS rn, greatest(price - lag(price) OVER w, 0) AS gain, greatest(lag(price) OVER w - price, 0) AS loss FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY timestamp, id))"
+_RT = "WITH RECURSIVE " + TICKS + ", " + _NT + ", "
+_TB = "OVER (PARTITION BY symbol ORDER BY timestamp, id ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
+
+
+@query(_RT + _recursive("price", 2 / 13, 1, 1) + " SELECT n.symbol, id, price, y AS ema FROM n JOIN y ON n.symbol = y.symbol AND n.rn = y.rn")
 def stream_ema(spark, d):
-    from chronolith.streaming import run_to_table, stream_indicator
+    from chronolith.streaming import Ema
+
+    return _streamed(spark, d, lambda: [Ema(12)])  # the same operations in the same order: equal to the last bit
+
+
+@query(f"WITH {TICKS} SELECT symbol, id, price, round(avg(price) {_TB.format(11)}, 6) AS sma FROM ticks")
+def stream_sma(spark, d):
+    from chronolith.streaming import Sma
+
+    return _streamed(spark, d, lambda: [Sma(12)]).withColumn("sma", r("sma"))
+
+
+@query(_RT + _recursive("gain", 1 / 14, 14, 15, "a") + ", " + _recursive("loss", 1 / 14, 14, 15, "b") + " SELECT n.symbol, id, price, round(CASE WHEN b = 0 THEN 100 WHEN b IS NULL THEN 0 ELSE 100 - 100 / (1 + a / b) END, 6) AS rsi FROM n LEFT JOIN a ON a.symbol = n.symbol AND a.rn = n.rn LEFT JOIN b ON b.symbol = n.symbol AND b.rn = n.rn")
+def stream_rsi(spark, d):
+    from chronolith.streaming import Rsi
+
+    return _streamed(spark, d, lambda: [Rsi(14)]).withColumn("rsi", r("rsi"))
+
+
+def _macd_sma(n: str) -> str:
+    """MACD of averages seeded with means, from ``n``'s column of that name: CTEs up to l (symbol, rn, m, g)."""
+    return (
+        _recursive(n, 2 / 13, 12, 12, "f") + ", " + _recursive(n, 2 / 27, 26, 26, "s")
+        + """, m AS (SELECT f.symbol, f.rn, f - s AS m FROM f JOIN s ON f.symbol = s.symbol AND f.rn = s.rn),
+        g(symbol, rn, g) AS (SELECT symbol, 34, avg(m) FILTER (rn <= 34) FROM m GROUP BY symbol HAVING count(*) >= 9 UNION ALL SELECT m.symbol, m.rn, 0.2 * m.m + 0.8 * g.g FROM g JOIN m ON m.symbol = g.symbol AND m.rn = g.rn + 1),
+        l AS (SELECT m.symbol, m.rn, m, g FROM m LEFT JOIN g ON g.symbol = m.symbol AND g.rn = m.rn)"""
+    )
+
+
+@query(_RT + _macd_sma("price") + " SELECT n.symbol, id, price, round(coalesce(m, 0), 6) AS macd, round(coalesce(g, 0), 6) AS signal, round(coalesce(m - g, 0), 6) AS histogram FROM n LEFT JOIN l ON l.symbol = n.symbol AND l.rn = n.rn")
+def stream_macd(spark, d):
+    from chronolith.streaming import Macd
+
+    return _streamed(spark, d, lambda: [Macd()]).withColumns({c: r(c) for c in Macd.names})
+
+
+@query(f"WITH {TICKS} SELECT symbol, id, price, round(avg(price) {_TB.format(19)}, 6) AS middle, round(avg(price) {_TB.format(19)} + 2 * stddev_pop(price) {_TB.format(19)}, 6) AS upper, round(avg(price) {_TB.format(19)} - 2 * stddev_pop(price) {_TB.format(19)}, 6) AS lower FROM ticks")
+def stream_bollinger(spark, d):
+    from chronolith.streaming import Bollinger
+
+    return _streamed(spark, d, lambda: [Bollinger()]).withColumns({c: r(c) for c in Bollinger.names})
+
+
+# --- forms of operators that differ in a parameter ---------------------------------------------------------------
+
+
+_indicator("rolling_std_zero", lambda: {"std": S.std("close", 20, "zero")}, {"std": f"CASE WHEN {_N} >= 20 THEN {_dev} ELSE 0 END"})
+_indicator("rolling_std_expanding", lambda: {"std": S.std("close", 20, "expanding")}, {"std": _dev})
+_indicator("grid_spacing", lambda: {"spacing": S.grid_spacing("close", 20, 0.01, 0.005, 0.3)}, {"spacing": f"greatest(0.005, least(0.3, 0.01 * (1 + coalesce({_dev} / {_mid}, 0) * 100)))"})
+_indicator("indicator_manager", lambda: {"sma5": S.sma("close", 5), "max20": S.greatest("close", 20)}, {"sma5": _full(5, f"avg(close) {_B.format(4)}"), "max20": f"max(close) {_B.format(19)}"})
+
+
+@query(f"WITH {BARS} SELECT symbol, timestamp, round(avg(close) {_B.format(19)}, 6) AS sma FROM bars QUALIFY {_N} >= 20")
+def sma_valid(spark, d):
+    return ind.valid_sma(bars(spark, d), S, "close", 20).select("symbol", "timestamp", r("sma").alias("sma"))
+
+
+@query(_RB + _macd_sma("close") + " SELECT n.symbol, timestamp, round(m, 6) AS macd, round(g, 6) AS signal, round(m - g, 6) AS histogram FROM n LEFT JOIN l ON l.symbol = n.symbol AND l.rn = n.rn")
+def macd_sma_seed(spark, d):
+    return ind.macd(bars(spark, d), S, "close", seed="sma").select("symbol", "timestamp", *[r(c).alias(c) for c in ("macd", "signal", "histogram")])
+
+
+# Prices that only rise, so that the average loss is 0.
+@query(f"WITH {BARS} SELECT symbol, timestamp, CASE WHEN {_N} >= 15 THEN 99.0099 END::DOUBLE AS rsi FROM bars")
+def rsi_no_loss(spark, d):
+    rising = bars(spark, d).withColumn("close", F.col("timestamp") / 1000.0)
+    return ind.rsi(rising, S, "close", no_loss=100 - 100 / 101).select("symbol", "timestamp", r("rsi", 4).alias("rsi"))
+
+
+@query("WITH RECURSIVE " + BARS + f", n AS (SELECT *, {_N} AS rn, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)), " + _recursive("tr", 1 / 14, 14, 15) + " SELECT n.symbol, timestamp, round(y, 6) AS atr FROM n LEFT JOIN y ON n.symbol = y.symbol AND n.rn = y.rn")
+def atr_null_start(spark, d):
+    return ind.atr(bars(spark, d), S, first="none").select("symbol", "timestamp", r("atr").alias("atr"))
+
+
+# Hours of the night without volume: the last value is kept there.
+_QUIET = BARS + ", q AS (SELECT * REPLACE (CASE WHEN timestamp // 3600000 % 24 < 8 THEN 0 ELSE volume END AS volume) FROM bars)"
+
+
+def _quiet(spark, d) -> DataFrame:
+    return bars(spark, d).withColumn("volume", F.when(F.expr("timestamp div 3600000") % 24 < 8, 0.0).otherwise(F.col("volume")))
+
+
+def _vwap_close(frame: str) -> str:
+    w = f"OVER (PARTITION BY symbol ORDER BY timestamp ROWS BETWEEN {frame} PRECEDING AND CURRENT ROW)"
+    return f"WITH {_QUIET}, v AS (SELECT symbol, timestamp, sum(close * volume) {w} / nullif(sum(volume) {w}, 0) AS v FROM q) SELECT symbol, timestamp, round(last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY timestamp ROWS UNBOUNDED PRECEDING), 6) AS vwap FROM v"
+
+
+@query(_vwap_close("UNBOUNDED"))
+def vwap_close(spark, d):
+    return ind.with_vwap_close(_quiet(spark, d), S).select("symbol", "timestamp", r("vwap").alias("vwap"))
+
+
+@query(_vwap_close("4"))
+def vwap_close_rolling(spark, d):
+    return ind.with_vwap_close(_quiet(spark, d), S, 5).select("symbol", "timestamp", r("vwap").alias("vwap"))
+
+
+@query(f"WITH {TICKS} SELECT id, timestamp AS decoded FROM ticks")
+def delta_decode(spark, d):
+    keys = {"keys": ["symbol"], "order": ["timestamp", "id"]}
+    return ts.delta_decode(ts.delta_encode(ticks(spark, d), "timestamp", **keys), "delta", span=DAY, **keys).select("id", "decoded")
+
+
+@query("SELECT o_orderpriority, count(*) AS n, arg_min(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_orderpriority")
+def agg_first_row(spark, d):
+    return ts.first_rows(read_table(spark, d, "orders"), ["o_orderpriority"], ["o_orderkey"], ["o_orderstatus"], n=F.count("*"))
+
+
+@query(f"WITH {BARS}, f AS (SELECT symbol, timestamp AS gap_from, lead(timestamp) OVER w AS gap_to, row_number() OVER w AS rn FROM bars WHERE timestamp // 3600000 % 7 <> 3 WINDOW w AS (PARTITION BY symbol ORDER BY timestamp)), g AS (SELECT *, max(gap_to - gap_from) FILTER (rn = 1) OVER (PARTITION BY symbol) AS step FROM f) SELECT symbol, gap_from, gap_to, step FROM g WHERE gap_to - gap_from <> step")
+def dq_gaps_first_step(spark, d):
+    return dq.gaps(bars(spark, d).where(F.expr("timestamp div 3600000") % 7 != 3), ["symbol"])
+
+
+@query(f"WITH {BARS}, x AS (SELECT symbol, timestamp, open, CASE WHEN timestamp % 5 = 0 THEN low - 1 ELSE high END AS high, low, CASE WHEN timestamp % 3 = 0 THEN 'inf'::DOUBLE ELSE close END AS close, volume FROM bars) SELECT symbol, timestamp FROM x WHERE isfinite(close) AND high >= greatest(open, close, low) AND low <= least(open, close, high) AND volume >= 0")
+def dq_valid_bars(spark, d):
+    b = bars(spark, d).withColumns({"high": F.when(F.col("timestamp") % 5 == 0, F.col("low") - 1).otherwise(F.col("high")), "close": F.when(F.col("timestamp") % 3 == 0, float("inf")).otherwise(F.col("close"))})
+    return dq.valid_bars(b).select("symbol", "timestamp")
+
+
+def _dialect(spark, d, text: str, **tables: DataFrame) -> DataFrame:
+    dialect = Dialect(spark)
+    for name, df in tables.items():
+        dialect.register(name, df)
+    return dialect.sql(text)
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2 ORDER BY 2, 3 DESC, 1 LIMIT 8")
+def order_ordinal(spark, d):
+    return _dialect(spark, d, "SELECT o_orderpriority, o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderpriority, o_orderstatus ORDER BY 2, 3 DESC, 1 LIMIT 8", orders=read_table(spark, d, "orders"))
+
+
+@query("SELECT c_custkey, coalesce(o_orderkey::VARCHAR, '') || '/' || c_mktsegment AS label FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 400000) o ON c_custkey = o_custkey")
+def dialect_concat(spark, d):
+    big = read_table(spark, d, "orders").where("o_totalprice > 400000")
+    return _dialect(spark, d, "SELECT c_custkey, o_orderkey || '/' || c_mktsegment AS label FROM customer LEFT JOIN big ON c_custkey = o_custkey", customer=read_table(spark, d, "customer"), big=big)
+
+
+@query(f"SELECT vec_id, round({_SIM}, 6) AS similarity FROM embeddings WHERE {_SIM} > 0.1")
+def dialect_vectors(spark, d):
+    e = read_table(spark, d, "embeddings")
+    sim = f"COSINE_SIM(embedding, [{', '.join(map(str, _probe(e)))}])"
+    return _dialect(spark, d, f"SELECT vec_id, {sim} AS similarity FROM vectors WHERE {sim} > 0.1", vectors=e).withColumn("similarity", r("similarity"))
+
+
+@query(f"WITH {BARS} SELECT symbol, strftime(epoch_ms(timestamp), '%Y-%m-%d') AS day, round(lag(close) OVER (PARTITION BY symbol ORDER BY timestamp), 6) AS before FROM bars")
+def dialect_strftime_over(spark, d):
+    t = _dialect(spark, d, "SELECT symbol, STRFTIME(timestamp, '%Y-%m-%d') OVER (PARTITION BY symbol) AS day, LAG(close) OVER (PARTITION BY symbol ORDER BY timestamp) AS before FROM bars", bars=bars(spark, d))
+    return t.withColumn("before", r("before"))
+
+
+@query(f"SELECT vec_id, round({_SIM} * exp(-ln(2) * greatest(1000000000 - vec_id * 3000000, 0) / 604800000.0), 9) AS score FROM embeddings WHERE label <> 3 ORDER BY {_SIM} * exp(-ln(2) * greatest(1000000000 - vec_id * 3000000, 0) / 604800000.0) DESC, vec_id LIMIT 12")
+def facts_decay(spark, d):
+    e = read_table(spark, d, "embeddings")
+    facts = e.where("label <> 3").withColumn("timestamp", F.col("vec_id") * 3000000)
+    return fa.search_with_decay(facts, _probe(e), 12, now=1000000000, half_life="7d", unique="vec_id").select("vec_id", r("score", 9).alias("score"))
+
+
+@query("SELECT vec_id FROM embeddings WHERE label = 2 ORDER BY vec_id DESC LIMIT 9")
+def facts_list(spark, d):
+    facts = read_table(spark, d, "embeddings").withColumnsRenamed({"label": "type"}).withColumn("timestamp", F.col("vec_id"))
+    return fa.list_facts(facts, kind=2, limit=9, unique="vec_id").select("vec_id")
+
 
-    return _stream(spark, d, lambda t, path, name: run_to_table(stream_indicator(t.drop("volume"), 12), name, "append", path))
+@query("SELECT DISTINCT CASE o_custkey % 4 WHEN 0 THEN '1h' WHEN 1 THEN '4h' WHEN 2 THEN '1d' ELSE '15m' END AS interval, CASE o_custkey % 4 WHEN 0 THEN 24 WHEN 1 THEN 6 WHEN 2 THEN 1 ELSE 96 END::BIGINT AS bars FROM orders")
+def interval_names(spark, d):
+    raw = F.element_at(F.array(*map(F.lit, ("60", "240", "1440", "15"))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    names = read_table(spark, d, "orders").select(schemas.canonical_interval(raw).alias("interval")).distinct()
+    counts = F.lit(None).cast("long")
+    for name in ("1h", "4h", "1d", "15m"):
+        counts = F.when(F.col("interval") == name, schemas.bars_count(F.lit(DAY), name)).otherwise(counts)
+    return names.withColumn("bars", counts)
