@@ -42,7 +42,8 @@ def test_query_equals_sql(spark, duck, name):
     assert got == want
 
 
-def test_lsh_recall(spark, sf):
+@pytest.mark.parametrize("name", ["ann_lsh", "ann_ivf"])
+def test_ann_recall(spark, sf, name):
     import numpy as np
 
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
@@ -51,7 +52,7 @@ def test_lsh_recall(spark, sf):
     m /= np.linalg.norm(m, axis=1, keepdims=True)
     ids = np.array([r.vec_id for r in rows])
     found = {}
-    for r in catalog.QUERIES["ann_lsh"](spark, sf).collect():
+    for r in catalog.QUERIES[name](spark, sf).collect():
         found.setdefault(r.query_id, set()).add(r.id)
     hits = total = 0
     for q in ids[ids % 50 == 0]:

@@ -144,3 +144,248 @@ def test_similar_pairs_above_the_former_limit(spark):
     assert vectors.similar_pairs(df, 1 - 0.0004**2 / 2).count() == n - 1
     equal = df.withColumn("embedding", F.array(F.lit(1.0), F.lit(2.0)))
     assert vectors.similar_to_earlier(equal, 0.95).count() == n - 1
+
+
+def test_upsert_takes_the_last_change(spark):
+    base = spark.createDataFrame([(1, "a")], "k int, v string")
+    new = spark.createDataFrame([(1, "b", 2), (1, "c", 1), (2, "d", 1), (2, "e", 5)], "k int, v string, at int")
+    assert sorted(map(tuple, mut.upsert(base, new, ["k"], seq="at").collect())) == [(1, "b"), (2, "e")]
+    assert sorted(map(tuple, mut.upsert(base, new.drop("at").coalesce(1), ["k"]).collect())) == [(1, "c"), (2, "e")]
+
+
+def test_mutations(spark, tmp_path):
+    bars = spark.createDataFrame([("x", "1m", i, float(i), 10.0) for i in range(6)] + [("y", "5m", 1, 1.0, 5.0)], "symbol string, interval string, timestamp long, close double, volume double")
+    assert [r.close for r in mut.update_row(bars, 2, {"close": F.lit(99.0)}, order=["symbol", "timestamp"]).orderBy("symbol", "timestamp").collect()] == [0, 1, 99, 3, 4, 5, 1]
+    assert mut.clear_series(bars, symbol="x", interval="1m").count() == 1
+    log = bars.withColumn("seq", F.col("timestamp")).unionByName(bars.where("timestamp = 3").withColumns({"seq": F.lit(50).cast("long"), "volume": F.lit(-1.0)}))
+    left = mut.compact(log, str(tmp_path / "c"), ["symbol", "timestamp"], "seq", partition="symbol")
+    assert left.count() == 6 and left.where("timestamp = 3").count() == 0
+    other = bars.withColumn("timestamp", F.col("timestamp") + 100)
+    assert mut.merge_absent(other, bars, ["symbol", "timestamp"], symbols=["y"]).count() == 8
+    assert mut.merge_absent(other, bars, ["symbol", "timestamp"], interval="1m").count() == 13
+    assert mut.merge_absent(other, bars, ["symbol", "timestamp"], symbols=[]).count() == 7
+
+
+def test_csv_drops_only_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("symbol,interval,timestamp,open,high,low,close,volume\nsymbol-7,1m,1,1,2,0.5,1.5,10\nsymbol,1m,2,1,2,0.5,1.5,10\nsymbol,interval\n")
+    rows, bad = ingest_csv(spark, str(tmp_path / "a.csv"))
+    assert sorted(r.symbol for r in rows.collect()) == ["symbol", "symbol-7"] and bad.count() == 1
+
+
+def test_days_tiers_and_exports(spark, tmp_path):
+    from chronolith.sources import copy_series, merged_tiers, read_days, synthetic_bars, write_tiers
+
+    bars = synthetic_bars(spark, ["a", "b"], 4000, step=600_000)
+    assert bars.count() == 8000 and bars.exceptAll(synthetic_bars(spark, ["a", "b"], 4000, step=600_000)).count() == 0
+    from chronolith.operators.data_quality import valid_bars
+
+    assert valid_bars(bars).count() == 8000
+    write_by_day(bars, str(tmp_path / "days"))
+    start, end = 1_700_100_000_000, 1_700_900_000_000
+    got = read_days(spark, str(tmp_path / "days"), start=start, end=end)
+    assert got.count() == bars.where(F.col("timestamp").between(start, end)).count()
+    assert "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().toString()
+    assert read_days(spark, str(tmp_path / "days"), start=-1).count() == 8000
+    write_tiers(bars, str(tmp_path / "hot"), str(tmp_path / "cold"), end)
+    assert merged_tiers(spark, str(tmp_path / "hot"), str(tmp_path / "cold")).count() == 8000
+    assert spark.read.parquet(str(tmp_path / "hot")).agg(F.min("timestamp")).first()[0] >= end
+    copy_series(bars, str(tmp_path / "copy"), symbols=["a"])
+    assert spark.read.parquet(str(tmp_path / "copy")).select("symbol").distinct().count() == 1
+    export(bars.where("symbol = 'a'").limit(1), str(tmp_path / "csv"), fmt="csv")
+    line = spark.read.text(str(tmp_path / "csv")).where("value not like 'symbol%'").first().value.split(",")
+    assert line[0] == "a" and all(len(x.split(".")[1]) == 8 for x in line[3:])
+
+
+def test_vector_lines(spark, tmp_path):
+    from chronolith.sources import ingest_vectors
+
+    (tmp_path / "v.jsonl").write_text('{"embedding": [1, 0], "timestamp": 5, "agent_id": "x"}\n{"timestamp": 6, "symbol": "s", "interval": "1m", "close": 2}\n{"symbol": "s"}\nnot json\n{"timestamp": 7, "symbol": "own", "embedding": [0, 1]}\n')
+    bars, vectors, bad = ingest_vectors(spark, str(tmp_path / "v.jsonl"))
+    assert [r.close for r in bars.collect()] == [2.0] and bad.count() == 2
+    assert sorted((r.symbol, r.interval, r.embedding) for r in vectors.collect()) == [("bot-006", "semantic", [1.0, 0.0]), ("own", "semantic", [0.0, 1.0])]
+
+
+def test_facts(spark, tmp_path):
+    from chronolith.operators import facts
+    from chronolith.operators.vectors import hash_embedding
+
+    (tmp_path / "f.jsonl").write_text('{"timestamp": 1, "text": "the red fox", "scope": "a", "agent_id": "p"}\n{"timestamp": 2, "embedding": [1, 0], "text": "given", "scope": "b"}\n{"text": "no time"}\n{"timestamp": 3, "text": "a blue whale", "scope": "a", "agent_id": "q"}\n')
+    rows, bad = facts.import_jsonl(spark, str(tmp_path / "f.jsonl"))
+    assert rows.count() == 3 and bad.count() == 1
+    assert rows.where("timestamp = 2").first().embedding == [1.0, 0.0]
+    named = rows.withColumn("fact_id", F.col("timestamp"))
+    assert [r.fact_id for r in facts.list_facts(named, scope="a").collect()] == [3, 1]
+    assert [r.fact_id for r in facts.search(named, "red fox", 1).collect()] == [1]
+    assert [r.fact_id for r in facts.search(named, "red fox", 5, agent="q").collect()] in ([3], [])
+    assert [facts.duration_ms(x) for x in ("7d", "24h", "1mo", "30m", "2s", "15", "1.5h")] == [604_800_000, 86_400_000, 2_592_000_000, 1_800_000, 2000, 15, 5_400_000]
+    with pytest.raises(ValueError):
+        facts.duration_ms("7x")
+    e = spark.createDataFrame([("a b",), ("A  b",), ("b a",), ("",), (None,)], "t string").select(hash_embedding(F.col("t"), 16).alias("v")).collect()
+    assert e[0].v == e[1].v != e[2].v and set(e[3].v) == set(e[4].v) == {0.0} and abs(sum(x * x for x in e[0].v) - 1) < 1e-9
+
+
+def test_names_and_schemas(spark):
+    from chronolith import schemas
+    from chronolith.functions import hash_bucket, safe_divide
+
+    assert schemas.missing_columns(spark.createDataFrame([], "symbol string, timestamp long, close double")) == ["interval", "open", "high", "low", "volume"]
+    assert schemas.canonical_columns(spark.createDataFrame([], "symbol string, t string, ts long, o double, vol double")).columns == ["symbol", "t", "timestamp", "open", "volume"]
+    df = spark.createDataFrame([("60", 10, 0.0), ("7", 61_000, 2.0), ("1h", 60_000, None)], "i string, n long, x double")
+    assert [tuple(r) for r in df.select(schemas.canonical_interval(F.col("i")), schemas.bars_count(F.col("n"), "1m"), safe_divide(F.lit(1.0), F.col("x"))).collect()] == [("1h", 1, None), ("7m", 2, 0.5), ("1h", 1, None)]
+    assert all(0 <= r[0] < 5 for r in df.select(hash_bucket(F.col("i"), 5)).collect())
+    assert schemas.fill_defaults(df).where("x is null").count() == 0
+
+
+def test_indicators_by_name(spark):
+    df = spark.createDataFrame([("x", i, float(10 + i * i % 7)) for i in range(60)], "symbol string, timestamp long, close double")
+    df = df.withColumns({"high": F.col("close") + 1, "low": F.col("close") - 1})
+    got = ind.indicators(df, S, "close", ["sma5", "rsi14", "ema3", "atr7", "macd", "std4"]).orderBy("timestamp")
+    assert set(got.columns) >= {"sma5", "rsi14", "ema3", "atr7", "macd", "signal", "histogram", "std4"}
+    assert values(got, "sma5") == values(df.withColumn("s", S.sma("close", 5)), "s")
+    assert values(got, "rsi14") == values(ind.rsi(df, S, "close"), "rsi")
+    with pytest.raises(ValueError):
+        ind.indicators(df, S, "close", ["nope3"])
+    assert set(ind.indicator_set(df, S, "close").columns) >= {"sma5", "max20"}
+
+
+def test_sma_of_too_few_rows_is_an_error(spark):
+    df = series(spark, [1, 2, 3])
+    assert values(ind.valid_sma(df, S, "close", 2), "sma") == [1.5, 2.5]
+    with pytest.raises(Exception, match="fewer than 5"):
+        ind.valid_sma(df, S, "close", 5).collect()
+
+
+def test_smoothing_needs_one_shuffle_and_no_join(spark):
+    plan = ind.macd(series(spark, range(50)), S, "close")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("span", [1, 7, 1000])
+def test_long_series_in_buckets(spark, span):
+    rng = random.Random(span)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(60), i, rng.choice([rng.uniform(-5, 5), None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp long, id long, price double")
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    keys = {"keys": ["symbol"], "order": ["timestamp", "id"]}
+    assert same(ts.numbered(df, **keys), ts.numbered(df, **keys, span=span))
+    whole = df.fillna(0.0, ["price"])
+    a, b = (ts.prefix_sum(whole, "price", **keys, span=s).withColumn("prefix_sum", F.round("prefix_sum", 6) + 0.0) for s in (None, span))
+    assert same(a, b)
+    left, right = df.where("id % 3 = 0").select("symbol", "timestamp", "id"), df.where("id % 3 = 1")
+    join = lambda s: ts.asof_join(left, right, by=["symbol"], ts="timestamp", values=["price"], right_unique="id", span=s)
+    assert same(join(None), join(span))
+
+
+def test_dialects_keep_their_tables_apart(spark):
+    a, b = Dialect(spark), Dialect(spark)
+    for d, v in ((a, 1), (b, 2)):
+        d.sql("CREATE TABLE t (x INT, s STRING)")
+        d.sql(f"INSERT INTO t VALUES ({v}, null), ({v + 5}, 'q')")
+    assert [sorted(r.x for r in d.sql("SELECT x FROM t").collect()) for d in (a, b)] == [[1, 6], [2, 7]]
+    got = a.sql("SELECT k.x FROM t AS k, t WHERE t.x = 1 AND k.x > t.x").collect()
+    assert [r.x for r in got] == [6]
+    rows = a.sql("WITH u AS (SELECT t.x AS n, s FROM t WHERE t.x IN (SELECT x FROM t)) SELECT n, s || '-' || (n + 1) || s AS y FROM u ORDER BY 1").collect()
+    assert [(r.n, r.y) for r in rows] == [(1, "-2"), (6, "q-7q")]
+    assert a.sql("SELECT p.x FROM t p JOIN t q ON p.x = q.x").count() == 2
+    with pytest.raises(ValueError, match="ORDER BY"):
+        a.sql("SELECT SUM(x) OVER (PARTITION BY s) AS y FROM t")
+    a.register_function("twice", lambda x: x * 2, "int")
+    assert sorted(r.y for r in a.sql("SELECT twice(x) AS y FROM t").collect()) == [2, 12]
+    a.close()
+    assert b.sql("SELECT * FROM t").count() == 2
+
+
+def test_inverted_file_index(spark, tmp_path):
+    import numpy as np
+
+    from chronolith.operators.ann import Index
+
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(20, 16))
+    m = (centers[rng.integers(0, 20, 1500)] + 0.25 * rng.normal(size=(1500, 16))).astype("float32")
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)] + [(5000, None), (5001, [1.0])], "vec_id long, embedding array<float>")
+    index = Index.build(df.where("vec_id < 1000 or vec_id >= 5000"), f"file://{tmp_path}/ivf", cells=25)
+    index.insert(df.where("vec_id between 1000 and 1499"))
+    index.delete(df.where("vec_id % 10 = 7"))
+    assert index.rows().count() == 1350
+    queries = df.where("vec_id % 50 = 0 and embedding is not null and size(embedding) = 16").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    u = m.astype(float) / np.linalg.norm(m, axis=1, keepdims=True)
+    for got in (index, index.vacuum(f"file://{tmp_path}/ivf2")):
+        found = {}
+        for r in got.search(queries, 10, probes=5).collect():
+            found.setdefault(r.query_id, set()).add(r.id)
+        hits = total = 0
+        for q in range(0, 1500, 50):
+            best = [i for i in np.argsort(-(u @ u[q])) if i != q and i % 10 != 7][:10]
+            hits, total = hits + len(found[q] & set(best)), total + 10
+            assert all(i % 10 != 7 for i in found[q])
+        assert hits / total >= 0.9
+
+
+def test_position_marks_and_reports(spark):
+    from chronolith.operators import analytics as an
+
+    p = spark.createDataFrame([("a", "x", 100.0, 2.0, 10.0), ("a", "y", 100.0, -1.0, 5.0)], "account string, symbol string, cash double, position double, average double")
+    marks = spark.createDataFrame([("x", 12.0)], "symbol string, price double")
+    r = an.marked_equity(p, marks, ["account"], cash="cash", position="position", average="average").first()
+    assert (r.equity, r.unrealised) == (100 + 24 - 5, 4.0)
+
+
+def stream_of(spark, tmp_path, rows, files=1, extra=""):
+    folder = tmp_path / "in"
+    schema = "symbol string, id long, ts timestamp, price double" + extra
+    import datetime
+
+    made = [(s, i, datetime.datetime.fromtimestamp(1_700_000_000 + t), v, *rest) for s, i, t, v, *rest in rows]
+    for k in range(files):
+        spark.createDataFrame(made[k::files] if files == 1 else made[k * len(made) // files : (k + 1) * len(made) // files], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    from chronolith.streaming import file_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return file_stream(spark, str(folder), spark.read.parquet(str(folder)).schema, 100)
+
+
+def test_stream_orders_more_rows_than_a_batch(spark, tmp_path):
+    from chronolith.streaming import run_to_table, stream_indicator
+
+    rng = random.Random(9)
+    prices = [rng.uniform(1, 9) for _ in range(25_000)]
+    rows = [("x", i, i, v) for i, v in enumerate(prices)][::-1]
+    got = {r.id: r for r in run_to_table(stream_indicator(stream_of(spark, tmp_path, rows), 12), f"file://{tmp_path}/out", "append").collect()}
+    ema = None
+    for i, v in enumerate(prices):
+        ema = v if ema is None else 2 / 13 * v + 11 / 13 * ema
+        assert abs(got[i].ema - ema) < 1e-9
+        last = prices[max(0, i - 11) : i + 1]
+        assert abs(got[i].sma - sum(last) / len(last)) < 1e-9
+
+
+def test_stream_backfill_and_reset(spark, tmp_path):
+    from chronolith.streaming import Ema, Macd, Rsi, run_to_table, stream_indicators
+
+    prices = [50 + 10 * ((i * 37) % 11) / 11 for i in range(120)]
+    make = lambda: [Ema(5), Rsi(7), Macd(3, 6, 4)]
+    whole, want = make(), []
+    for i, v in enumerate(prices):
+        if i == 90:
+            whole = make()
+        want.append([x for f in whole for x in f.update(v)])
+    stream = stream_of(spark, tmp_path, [("x", i, i, v, i == 90) for i, v in enumerate(prices) if i >= 50], extra=", reset boolean")
+    import datetime
+
+    history = spark.createDataFrame([("x", i, datetime.datetime.fromtimestamp(1_700_000_000 + i), v) for i, v in enumerate(prices[:50])][::-1], "symbol string, id long, ts timestamp, price double")
+    got = {r.id: r for r in run_to_table(stream_indicators(stream, make, history=history), f"file://{tmp_path}/out", "append").collect()}
+    assert set(got) == set(range(50, 120))
+    for i, r in got.items():
+        assert [r.ema, r.rsi, r.macd, r.signal, r.histogram] == pytest.approx(want[i])
+
+
+def test_upsert_sink_and_late_rows(spark, tmp_path):
+    from chronolith.streaming import run_to_table, stream_bars, upsert_sink
+
+    kept = []
+    upsert_sink(lambda b: kept.extend(map(tuple, b.collect())), ["k"], "at")(spark.createDataFrame([(1, "a", 1), (1, "b", 3), (2, "c", 2)], "k int, v string, at int"), 0)
+    assert sorted(kept) == [(1, "b", 3), (2, "c", 2)]
+    stream = stream_of(spark, tmp_path, [("x", i, 60 * i, float(i)) for i in range(60)]).withColumn("volume", F.lit(1.0))
+    bars = run_to_table(stream_bars(stream, "10 minutes", "5 minutes", slide="5 minutes"), f"file://{tmp_path}/out", "complete").orderBy("bar_start").collect()
+    assert len(bars) >= 12 and sum(b.n for b in bars) == 120  # each row is in two windows
