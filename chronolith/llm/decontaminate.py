@@ -52,8 +52,8 @@ SHORT = 8  # items of fewer words must be found whole
 MAX_ITEMS, MAX_BYTES = 4096, 8 << 20
 AT_ONCE = 4
 PIVOT = 0.3  # share of the threshold that a passage's words before the pivot may reach: the lower, the tighter the first bound
-KNOWN_WORDS = 300_000
-PAIRS = 1 << 20  # of passages and words, or postings, looked at together
+KNOWN_WORDS = 150_000
+PAIRS = 1 << 18  # of passages and words, or postings, looked at together
 _SLACK = 1.00001  # bounds stay above rounded sums
 _LEAK = "array<struct<item_id:long,score:double,question:double,answer:double,first_word:long>>"
 

@@ -41,7 +41,7 @@ WINDOW = 6
 QUOTED_SHARE, MISS_SHARE = 0.2, 0.7
 QUOTES = "\"“”„«»‘’'"
 REPORTING = {"said", "says", "quote", "quoted", "called", "wrote", "dit", "sagte", "dijo"}
-KNOWN_CLEAN = 300_000
+KNOWN_CLEAN = 150_000
 _letters = re.compile(r"[^\W\d_]+")
 
 
@@ -148,18 +148,19 @@ def features(found: list, weights: dict[str, float]) -> tuple[float, float, floa
     return math.log1p(total), min(sum(terms.values()), 6.0), top, math.log1p(100 * total / (n + 20))
 
 
-class Scorer:
-    def __init__(self, model: ToxicityModel):
-        self.model, self.automaton = model, LexiconAutomaton(model.weights)
+class Matcher:
+    """The automaton of some terms, with the words it has looked at."""
+
+    def __init__(self, terms: Iterable[str]):
+        self.automaton = LexiconAutomaton(terms)
         self.clean: set[str] = set()
-        self.hits: dict[str, tuple[tuple[str, int], ...]] = {}
+        self.hits: dict[str, tuple[tuple[str, int, str], ...]] = {}
 
     def _look(self, chunk: str) -> None:
         found = []
         for word in _letters.findall(chunk):
-            hit = self.automaton.match(word)
-            if hit and not (hit[1] and word in self.model.exceptions):
-                found.append((hit[0], hit[1], word))
+            if hit := self.automaton.match(word):
+                found.append((*hit, word))
         if found:
             self.hits[chunk] = tuple(found)
         else:
@@ -169,9 +170,7 @@ class Scorer:
 
     def matches(self, text: str | None) -> list[tuple[str, int, str, bool, int]]:
         """(term, misspellings, word, quoted, the text's words) of every match in the text."""
-        if not text or not self.model.weights:
-            return []
-        chunks = text.lower().split()
+        chunks = text.lower().split() if text else []
         for chunk in set(chunks).difference(self.clean, self.hits):
             self._look(chunk)
         if self.hits.keys().isdisjoint(chunks):
@@ -186,6 +185,29 @@ class Scorer:
                 found.append((term, e, word, bool((opened and closed) or (told and opened)), len(chunks)))
         return found
 
+
+_matchers: dict[tuple[str, ...], Matcher] = {}
+
+
+def _matcher(terms: Iterable[str]) -> Matcher:
+    """One matcher for each worker process and lexicon, whatever model uses it."""
+    key = tuple(sorted(terms))
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(key)
+    return _matchers[key]
+
+
+class Scorer:
+    def __init__(self, model: ToxicityModel):
+        self.model, self.matcher = model, _matcher(model.weights)
+
+    def matches(self, text: str | None) -> list[tuple[str, int, str, bool, int]]:
+        """The text's matches without the misspellings that the model excepts."""
+        if not self.model.weights:
+            return []
+        return [h for h in self.matcher.matches(text) if not (h[1] and h[2] in self.model.exceptions)]
+
     def features(self, found: list) -> tuple[float, float, float, float]:
         return features(found, self.model.weights)
 
@@ -284,25 +306,31 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_
     model.weights = choose_terms([(r.form, r.a, r.b) for r in top.collect()], toxic, clean, max_terms)
     if not model.weights:
         return model
-    spelled = sample.select("y", F.explode(_matcher(spark, model, "array<string>", misspellings)("text")).alias("word"))
-    seen = spelled.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("b > 0")
-    model.exceptions = clean_misspellings([(r.word, r.a, r.b) for r in seen.collect()], toxic, clean)  # within a few edits of the lexicon
     weights = model.weights
-    seen = _matcher(spark, model, "array<double>", lambda found: features(found, weights))
-    rows = sample.select("y", seen("text").alias("x")).collect()  # bounded by max_labelled
+    matched = materialize(sample.select("y", _matches_of(weights)("text").alias("m")), "matches")
+    words = F.array_distinct(F.transform(F.filter("m", lambda h: (h["e"] > 0) & ~h["quoted"]), lambda h: h["word"]))
+    seen = matched.select("y", F.explode(words).alias("word")).groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("b > 0")
+    model.exceptions = clean_misspellings([(r.word, r.a, r.b) for r in seen.collect()], toxic, clean)  # within a few edits of the lexicon
+    excepted = model.exceptions
+
+    def numbers(batches: Iterable) -> Iterable:
+        import pyarrow as pa
+
+        for batch in batches:
+            kept = [[tuple(h.values()) for h in m if not (h["e"] and h["word"] in excepted)] for m in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(m, weights) for m in kept], pa.list_(pa.float64()))], ["y", "x"])
+
+    rows = matched.mapInArrow(numbers, "y int, x array<double>").collect()  # bounded by max_labelled
     model.coef, model.bias = fit_logistic(np.array([r.x for r in rows]), np.array([r.y for r in rows], float))
     return model
 
 
-def _matcher(spark, model: ToxicityModel, kind: str, of):
-    """A function of texts: ``of`` each one's matches."""
-    shared = spark.sparkContext.broadcast(model)  # bounded: 2 * max_terms terms and a sample's misspellings
-
+def _matches_of(weights: dict[str, float]):
     def run(texts: pd.Series) -> pd.Series:
-        scorer = _scorer(shared.value)
-        return pd.Series([of(scorer.matches(t)) for t in texts], dtype=object)
+        of = _matcher(weights).matches
+        return pd.Series([[dict(zip(("term", "e", "word", "quoted", "n"), h)) for h in of(t)] for t in texts], dtype=object)
 
-    return F.pandas_udf(run, kind)
+    return F.pandas_udf(run, "array<struct<term:string,e:int,word:string,quoted:boolean,n:int>>")
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", out: str = "toxicity") -> DataFrame:
