@@ -66,7 +66,7 @@ def assign_shards(docs: DataFrame, *, key_col: str = "doc_id", text_col: str = "
         rest = placed.where(F.col(f"{place}.m").isNull()).select(
             *names, key, body, size, F.concat(prefix, F.expr(f"lpad(bin({fine}), {bits}, '0')")).alias(prefix), F.col(f"{place}.next").alias(kind), F.col(row) if k else F.monotonically_increasing_id().alias(row)
         )
-        if k == 0 and not rest.take(1):
+        if k == 0 and not rest.select(prefix).take(1):
             break
         # written, so that a lost executor cannot number the rows anew
         rest = materialize(rest, "oversized")
