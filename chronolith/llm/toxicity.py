@@ -26,7 +26,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +42,7 @@ QUOTED_SHARE, MISS_SHARE = 0.2, 0.7
 QUOTES = "\"“”„«»‘’'"
 REPORTING = {"said", "says", "quote", "quoted", "called", "wrote", "dit", "sagte", "dijo"}
 KNOWN_CLEAN = 150_000
+STRIP = 256  # texts of a batch that are Python strings at a time
 _letters = re.compile(r"[^\W\d_]+")
 
 
@@ -314,8 +315,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_
     excepted = model.exceptions
 
     def numbers(batches: Iterable) -> Iterable:
-        import pyarrow as pa
-
         for batch in batches:
             kept = [[tuple(h.values()) for h in m if not (h["e"] and h["word"] in excepted)] for m in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(m, weights) for m in kept], pa.list_(pa.float64()))], ["y", "x"])
@@ -325,23 +324,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_
     return model
 
 
+_MATCH = pa.struct([("term", pa.string()), ("e", pa.int32()), ("word", pa.string()), ("quoted", pa.bool_()), ("n", pa.int32())])
+_TOXICITY = pa.struct([("score", pa.float64()), ("n_matches", pa.int32()), ("n_quoted", pa.int32())])
+
+
+def _strips(texts: pa.Array) -> Iterable[str | None]:
+    """The texts of a batch; only a strip of them is held as Python strings."""
+    for low in range(0, len(texts), STRIP):
+        yield from texts.slice(low, STRIP).to_pylist()
+
+
 def _matches_of(weights: dict[str, float]):
-    def run(texts: pd.Series) -> pd.Series:
+    def run(texts: pa.Array) -> pa.Array:
         of = _matcher(weights).matches
-        return pd.Series([[dict(zip(("term", "e", "word", "quoted", "n"), h)) for h in of(t)] for t in texts], dtype=object)
+        return pa.array([[dict(zip(("term", "e", "word", "quoted", "n"), h)) for h in of(t)] for t in _strips(texts)], pa.list_(_MATCH))
 
-    return F.pandas_udf(run, "array<struct<term:string,e:int,word:string,quoted:boolean,n:int>>")
+    return F.arrow_udf(run, "array<struct<term:string,e:int,word:string,quoted:boolean,n:int>>")
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, *, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """Adds ``out`` (in place of a column of that name): a struct of ``score`` (0 to 1), ``n_matches`` and ``n_quoted``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 2 * max_terms terms and a sample's misspellings
 
-    @F.pandas_udf("struct<score double, n_matches int, n_quoted int>")
-    def toxicity(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf("struct<score double, n_matches int, n_quoted int>")
+    def toxicity(texts: pa.Array) -> pa.Array:
         scorer = _scorer(shared.value)
-        found = [scorer.matches(t) for t in texts]
-        return pd.DataFrame({"score": [scorer.score(f) for f in found], "n_matches": [len(f) for f in found], "n_quoted": [sum(h[3] for h in f) for f in found]})
+        found = map(scorer.matches, _strips(texts))
+        return pa.array([(scorer.score(f), len(f), sum(h[3] for h in f)) for f in found], _TOXICITY)
 
     return docs.withColumn(out, toxicity(F.col(text_col)))
 
