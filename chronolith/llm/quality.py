@@ -1,9 +1,9 @@
 """Quality rules: fixed counts, and a hashed n-gram log-likelihood ratio between trusted and raw text.
 
 All n-grams of one and two words are hashed into ``BUCKETS`` bins. The raw multinomial counts every document;
-the trusted one counts the documents that labels call good, at most ``max_trusted`` of them, chosen by a hash
-of the id. A document's score is the mean over its n-grams of log(trusted / raw). The threshold is fixed from the
-labelled sample: the cut with the fewest errors, each label weighing the same; every document is decided by it.
+the trusted one counts every document that labels call good. A document's score is the mean over its n-grams of
+log(trusted / raw). The threshold is fixed from all labelled documents: the cut with the fewest errors, each label
+weighing the same; every document is decided by it.
 
 Everything runs as DataFrame expressions; the bins' weights are one array of fixed size.
 
@@ -17,13 +17,13 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.llm.common import fresh
 
 BUCKETS = 1 << 14
-MAX_LABELLED = 12_000
+SLICES = 1 << 14
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 SMOOTH = 2.0
@@ -115,14 +115,34 @@ def with_counts(docs: DataFrame, weights: list[float] | None = None, *, text_col
     )
 
 
-def fit_ratio(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED) -> tuple[list[float], float]:
-    """The bins' log-ratios and the score below which a document is rejected."""
-    one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"))
-    ids = [(r.doc_id, r.good) for r in one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled).collect()]  # bounded
-    sample = docs.sparkSession.createDataFrame(ids, "doc_id long, good int")
-    marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id", "left")
+def pack_labels(labels: DataFrame) -> DataFrame:
+    """(block, known, bad): one row for each 64 neighbouring ids, one bit for each id; bad if one of its labels is 0."""
+    doc_id = F.col("doc_id").cast("long")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(doc_id, F.lit(64)).cast("int"))
+    bits = labels.where("doc_id is not null and quality is not null").select(F.shiftright(doc_id, 6).alias("block"), bit.alias("bit"), F.when(F.col("quality") == 0, bit).otherwise(0).alias("bad"))
+    return bits.groupBy("block").agg(F.bit_or("bit").alias("known"), F.bit_or("bad").alias("bad"))
+
+
+def with_labels(rows: DataFrame, packed: DataFrame, how: str) -> DataFrame:
+    """``rows`` (with a long ``doc_id``) with ``good``: 1, 0, or null without a label."""
+    place = F.pmod(F.col("doc_id"), F.lit(64)).cast("int")
+    good = F.when(F.getbit("known", place) == 1, 1 - F.getbit("bad", place).cast("int"))
+    return rows.withColumn("block", F.shiftright("doc_id", 6)).join(packed, "block", how).select(*rows.columns, good.alias("good"))
+
+
+def fit_ratio(docs: DataFrame, labels: DataFrame) -> tuple[list[float], float]:
+    """The bins' log-ratios and the score below which a document is rejected, from all documents and all labels."""
+    packed = pack_labels(labels).persist()
+    try:
+        packed.count()  # now the planner knows its size, and broadcasts it or deals both sides by blocks of ids
+        return _fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), packed)
+    finally:
+        packed.unpersist()
+
+
+def _fit(texts: DataFrame, packed: DataFrame) -> tuple[list[float], float]:
     # the outer form: for the inner one the optimizer would add filters that compute the bins again
-    counted = marked.select(F.coalesce("good", F.lit(0)).alias("good"), F.explode_outer(let(hashes(words_of(F.col("text"))), lambda h: grams(h, pairs(h)))).alias("bin"))
+    counted = with_labels(texts, packed, "left").select(F.coalesce("good", F.lit(0)).alias("good"), F.explode_outer(let(hashes(words_of(F.col("text"))), lambda h: grams(h, pairs(h)))).alias("bin"))
     rows = counted.where("bin is not null").groupBy("bin").agg(F.count("*").alias("raw"), F.sum("good").alias("trusted")).collect()  # at most BUCKETS rows
     raw, trusted = [0] * BUCKETS, [0] * BUCKETS
     for r in rows:
@@ -132,9 +152,41 @@ def fit_ratio(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LAB
         return [0.0] * BUCKETS, -math.inf
     share = n_trusted / n_raw  # smoothing in proportion: a bin without evidence weighs nothing
     table = [round(math.log((t + SMOOTH * share) / (n_trusted + SMOOTH * share * BUCKETS) * (n_raw + SMOOTH * BUCKETS) / (c + SMOOTH)), 6) for t, c in zip(trusted, raw)]
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    scored = [(r.s, r.good) for r in labelled.select("good", let(hashes(words_of(F.col("text"))), lambda h: score(h, pairs(h), table)).alias("s")).where("s is not null").collect()]  # bounded
-    return table, best_cut(scored)
+    # scored before the join: should the planner shuffle for it, only ids and scores are moved
+    scores = texts.select("doc_id", let(hashes(words_of(F.col("text"))), lambda h: score(h, pairs(h), table)).alias("s"))
+    return table, best_cut_of(with_labels(scores, packed, "inner").where("good is not null").select("s", "good"))
+
+
+def best_cut_of(scored: DataFrame) -> float:
+    """``best_cut`` of all rows (s, good) of a table of any size; rows without a score are left out.
+
+    Equal scores are counted together. Each slice of the scores' range is put in order apart; a cut's error is that
+    of the slices before it plus what its own slice adds, so the slices' totals and best places give the exact cut."""
+    by_score = scored.groupBy("s").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad")).persist()
+    try:
+        found = by_score.where("s is not null")  # behind the cache: it would be pushed down and compute the scores twice
+        good, bad, low, high = found.agg(F.sum("good"), F.sum("bad"), F.min("s"), F.max("s")).first()
+        if not good or not bad or low == high:
+            return -math.inf
+        part = F.floor((F.col("s") - low) / (high - low) * SLICES)
+        order = Window.partitionBy("slice").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = [F.sum(c).over(order).cast("decimal(19,0)").alias(c) for c in ("good", "bad")]
+        placed = found.withColumn("slice", part).select("slice", "s", F.lead("s").over(Window.partitionBy("slice").orderBy("s")).alias("next"), *sums)
+        error = (F.col("good") * F.lit(bad) - F.col("bad") * F.lit(good)).alias("error")
+        totals = [F.max(c).cast("long").alias(c) for c in ("good", "bad")]
+        slices = placed.groupBy("slice").agg(*totals, F.min("s").alias("first"), F.min(F.struct(error, "s", "next")).alias("place")).collect()  # at most SLICES + 1 rows
+    finally:
+        by_score.unpersist()
+    slices.sort(key=lambda r: r.slice)
+    lost = kept = 0
+    best, cut = good * bad, -math.inf  # good below times all bad, plus bad above times all good
+    for r, after in zip(slices, [*slices[1:], None]):
+        error = lost * bad + (bad - kept) * good + int(r.place.error)
+        nxt = r.place.next if r.place.next is not None else after and after.first
+        if error < best and nxt is not None:
+            best, cut = error, (r.place.s + nxt) / 2
+        lost, kept = lost + r.good, kept + r.bad
+    return cut
 
 
 def best_cut(scored: list[tuple[float, int]]) -> float:

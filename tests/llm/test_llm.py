@@ -1,6 +1,7 @@
 """The training-data operators against brute force, the tokenizers' libraries, and hard rows."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -782,6 +783,59 @@ def test_op9_separates_labels(spark):
     assert quality.best_cut([(0.1, 0), (0.2, 0), (0.4, 1), (0.5, 1)]) == pytest.approx(0.3)
 
 
+def test_op9_fits_on_all_labels(spark):
+    import xxhash
+
+    def h(*longs, word=None):
+        x = xxhash.xxh64_intdigest(word.encode(), 42) if word is not None else 42
+        for v in longs:
+            x = xxhash.xxh64_intdigest(struct.pack("<q", v), x)
+        return x - 2**64 if x >= 2**63 else x
+
+    rng = random.Random(9)
+    good = [int(rng.random() < 0.7) for _ in range(14_000)]
+    rows = [(i, " ".join(rng.choice("abcdefgh" if g else "efghijkl") for _ in range(4))) for i, g in enumerate(good)] + [(14_000, "z z"), (14_001, None)]
+    labels = spark.createDataFrame([*enumerate(good), (3, good[3]), (14_001, 1), (99_999, 1)], "doc_id long, quality int")
+    words = [[h(word=x) for x in (t or "").split()] for _, t in rows]
+    bins = [[x % quality.BUCKETS for x in [*w, *map(h, w, w[1:])]] for w in words]
+    raw, trusted = Counter(b for x in bins for b in x), Counter(b for x, g in zip(bins, good) if g for b in x)
+    share = trusted.total() / raw.total()
+    smooth = quality.SMOOTH
+
+    def ratio(b):
+        return math.log((trusted[b] + smooth * share) / (trusted.total() + smooth * share * quality.BUCKETS) * (raw.total() + smooth * quality.BUCKETS) / (raw[b] + smooth))
+
+    expected = [round(ratio(b), 6) for b in range(quality.BUCKETS)]
+    scored = [(sum(expected[b] for b in x) / len(x), g) for x, g in zip(bins, good)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for join in (threshold, "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", join)
+        try:
+            weights, cut = quality.fit_ratio(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        assert max(abs(a - b) for a, b in zip(weights, expected)) < 2e-6
+        assert cut == pytest.approx(quality.best_cut(scored), abs=1e-6)
+
+
+def test_op9_packed_labels(spark):
+    ids = [0, 1, 62, 63, 64, 127, 128, -1, -64, -65, 2**62, 2**63 - 1, -(2**63)]
+    rows = [(i, k % 2) for k, i in enumerate(ids)] + [(1, 0), (62, 1), (63, None), (None, 1), (65, None)]
+    packed = quality.pack_labels(spark.createDataFrame(rows, "doc_id long, quality int"))
+    asked = spark.createDataFrame([(i,) for i in [*ids, 2, 65, 129, -2, 1, None]], "doc_id long")
+    expected = Counter([*((i, 0 if i == 1 else k % 2) for k, i in enumerate(ids)), *((i, None) for i in (2, 65, 129, -2, None)), (1, 0)])
+    assert Counter(map(tuple, quality.with_labels(asked, packed, "left").collect())) == expected
+
+
+def test_op9_cut_of_a_table(spark):
+    rng = random.Random(10)
+    cases = [[], [(0.5, 1)], [(0.5, 1), (0.5, 0)], [(0.5, 0), (0.6, 0)], [(0.1, 0), (0.2, 0), (0.4, 1), (0.5, 1)], [(0.1, 1), (0.2, 0)], [(0.0, 0), (5e-324, 1)], [(-1e9, 0), (1.0, 0), (1.0 + 1e-15, 1), (1e9, 1)]]
+    cases += [[(round(rng.gauss(g, 1), d), g) for g in rng.choices((0, 1), k=n)] for n, d in ((9, 1), (60, 1), (400, 2), (3000, 9))]
+    for case in cases:
+        rows = [*case, (None, 0), (None, 1)]
+        assert quality.best_cut_of(spark.createDataFrame(rows, "s double, good int").repartition(3)) == quality.best_cut(case)
+
+
 # --- secrets -----------------------------------------------------------------------------------------------------
 
 
