@@ -14,6 +14,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from chronolith.llm.common import worker_cache
+
 SHINGLE = 5
 WORDS_KEPT = 250_000
 _U = np.uint64
@@ -45,6 +47,7 @@ class WordHashes:
 
 
 word_hashes = WordHashes()
+worker_cache("near dedup", word_hashes.kept)
 
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:

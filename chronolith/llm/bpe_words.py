@@ -14,6 +14,8 @@ import unicodedata
 
 import regex
 
+from chronolith.llm.common import using, worker_cache
+
 #: Entries that a cache holds before it is emptied: bounds a worker's memory, never changes a result.
 CACHE_ENTRIES = 300_000
 
@@ -94,11 +96,12 @@ class WordTokenizer:
         return b"".join(got)
 
 
-_made: dict[tuple[str, int, int], WordTokenizer] = {}
+_made: dict[tuple[str, int, int], WordTokenizer] = worker_cache("word tokenizer", {})
 
 
 def word_tokenizer(path: str, width: int = 4, entries: int = CACHE_ENTRIES) -> WordTokenizer:
     """One tokenizer for each worker process and file."""
+    using("word tokenizer")
     if (path, width, entries) not in _made:
         _made[path, width, entries] = WordTokenizer(path, width, entries)
     return _made[path, width, entries]

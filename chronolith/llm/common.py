@@ -1,10 +1,13 @@
-"""Helpers shared by the training-data operators: shared storage and names of helper columns."""
+"""Helpers shared by the training-data operators: shared storage, names of helper columns, and workers' caches."""
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
@@ -57,5 +60,48 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+_caches: dict[str, list[dict]] = {}  # of this process, by operator
+_using: dict = {"task": None, "now": set(), "before": set()}  # the operators that this task and the one before have used
+
+
+def worker_cache(operator: str, cache: dict) -> dict:
+    """Lets :func:`using` empty ``cache``, which a worker process keeps from task to task."""
+    _caches.setdefault(operator, []).append(cache)
+    return cache
+
+
+def _task() -> int | None:
+    context = TaskContext.get()
+    return context.taskAttemptId() if context else None
+
+
+def using(operator: str) -> None:
+    """Called in a task before it uses an operator's caches. Spark hands worker processes on from one query to the next:
+    caches of operators that neither this task nor the process's task before it uses are emptied, so that a pipeline's
+    workers do not hold those of all its stages. Outside of tasks nothing is emptied."""
+    task = _task()
+    if task is None:
+        return
+    if task != _using["task"]:
+        _using.update(task=task, now=set(), before=_using["now"])
+    if operator in _using["now"]:
+        return
+    _using["now"].add(operator)
+    for other in _caches.keys() - _using["now"] - _using["before"]:
+        for cache in _caches[other]:
+            cache.clear()
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives back to the machine what this process has freed; allocators keep it, and the executor's other processes lack it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None  # glibc's
+    if trim:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.llm import bagminhash as bmh
-from chronolith.llm.common import fresh, materialize
+from chronolith.llm.common import fresh, materialize, release_memory, using
 from chronolith.llm.components import components
 
 BANDS, ROWS = 26, 5  # a pair of similarity 0.8 shares a band with probability 0.99997
@@ -45,7 +45,7 @@ def band_table(rows: DataFrame) -> DataFrame:
     just seen are skipped, so most copies cost nothing; the others repeat the same pairs."""
     import pyarrow as pa
 
-    def run(batches: Iterator) -> Iterator:
+    def keys_of(batches: Iterator) -> Iterator:
         seen: set[bytes] = set()
         for batch in batches:
             for low in range(0, batch.num_rows, 256):
@@ -66,6 +66,11 @@ def band_table(rows: DataFrame) -> DataFrame:
                 node = part.column(0).take(pa.array(np.repeat(full, BANDS)))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), node], ["key", "node"])
 
+    def run(batches: Iterator) -> Iterator:
+        using("near dedup")
+        yield from keys_of(batches)
+        release_memory()  # the joins that follow need no Python for long
+
     return rows.select("node", "text").mapInArrow(run, "key long, node binary")
 
 
@@ -89,6 +94,7 @@ def _against_hub(text: str, hub: tuple) -> tuple[float, int, bytes, bytes]:
 
 
 def compare_with_hub(texts: pd.Series, hubs: pd.Series) -> pd.DataFrame:
+    using("near dedup")
     last, held, rows = None, None, []
     for text, hub in zip(texts, hubs):
         if hub != last:

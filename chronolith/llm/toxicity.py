@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import materialize
+from chronolith.llm.common import materialize, using, worker_cache
 
 MAX_LABELLED = 8_000
 MAX_TERMS = 500
@@ -187,11 +187,12 @@ class Matcher:
         return found
 
 
-_matchers: dict[tuple[str, ...], Matcher] = {}
+_matchers: dict[tuple[str, ...], Matcher] = worker_cache("toxicity", {})
 
 
 def _matcher(terms: Iterable[str]) -> Matcher:
     """One matcher for each worker process and lexicon, whatever model uses it."""
+    using("toxicity")
     key = tuple(sorted(terms))
     if key not in _matchers:
         _matchers.clear()
@@ -220,11 +221,12 @@ class Scorer:
         return 1.0 / (1.0 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-_scorers: dict[int, Scorer] = {}
+_scorers: dict[int, Scorer] = worker_cache("toxicity", {})
 
 
 def _scorer(model: ToxicityModel) -> Scorer:
     """One scorer for each worker process and model."""
+    using("toxicity")
     if id(model) not in _scorers:
         _scorers.clear()
         _scorers[id(model)] = Scorer(model)

@@ -9,13 +9,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from chronolith.llm import bagminhash as bmh
-from chronolith.llm import binary_packing, decontaminate, near_dedup, packing, quality, secret_scan, sharding, token_counts, toxicity, warc
+from chronolith.llm import binary_packing, bpe_words, decontaminate, near_dedup, packing, quality, secret_scan, sharding, token_counts, toxicity, warc
 from chronolith.llm.bpe_words import WordTokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -1010,3 +1011,34 @@ def test_pipeline_keeps_and_removes(spark):
     assert not any(x in " ".join(rows[d].split()) for d in left for x in items)
     assert len({rows[d] for d in left}) == len(left)
     assert len(left) > 0.5 * len(rows)
+
+
+def test_worker_keeps_no_caches_of_earlier_stages(monkeypatch):
+    from pyspark import TaskContext
+
+    class Task:
+        def __init__(self, number):
+            self.taskAttemptId = lambda: number
+
+    task = lambda number: monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: Task(number)))
+    same = pd.Series(["alpha beta gamma delta epsilon zeta"])
+    task(1)
+    bpe_words.word_tokenizer(WORDS).encode("alpha beta")
+    task(2)
+    toxicity._scorer(toxicity.ToxicityModel(weights={"moron$": 1.0})).matches("you moron")
+    assert len(bpe_words._made) == 1  # a task that uses both would use it again
+    task(3)
+    toxicity._scorer(toxicity.ToxicityModel(weights={"moron$": 1.0})).matches("you moron")
+    assert not bpe_words._made and toxicity._scorers and toxicity._matchers
+    for number in (4, 5):
+        task(number)
+        assert near_dedup.compare_with_hub(same, same).j[0] == 1
+    assert not toxicity._scorers and not toxicity._matchers and bmh.word_hashes.kept
+    # operators that one task uses by turns keep theirs, in it and from task to task
+    task(6)
+    matcher = toxicity._matcher(["moron$"])
+    near_dedup.compare_with_hub(same, same)
+    for number in (6, 7, 8):
+        task(number)
+        assert toxicity._matcher(["moron$"]) is matcher and bmh.word_hashes.kept
+        near_dedup.compare_with_hub(same, same)
