@@ -6,17 +6,18 @@ import itertools
 import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolith.functions import cosine, cosine_to
+from chronolith.functions import cosine_to
 
 PIVOTS = 64
 STRIP = 512  # rows of a block that are multiplied at a time
+SEARCH_ASKED, SEARCH_ROWS, SEARCH_STRIP = 4096, 8192, 128  # queries and rows of a search's blocks, queries that are multiplied at a time
 
 
 def literal(vector: list[float]) -> Column:
@@ -169,26 +170,126 @@ def similar_to_earlier(vectors: DataFrame, threshold: float, *, vector: str = "e
 
 
 def _signatures(dim: int, tables: int, bits: int):
-    p = planes(dim, tables, bits)
+    """A vector's bucket in each table, as bytes of :func:`_bucket_type`."""
+    p, kind = planes(dim, tables, bits), _bucket_type(bits)
 
     def run(vectors: pd.Series) -> pd.Series:
         m = np.stack([np.asarray(v, float) for v in vectors]) if len(vectors) else np.empty((0, dim))
         on = np.einsum("nd,tbd->ntb", m, p) > 0
-        return pd.Series((on * (1 << np.arange(bits))).sum(axis=2).astype(np.int64).tolist())
-
-    return F.pandas_udf(run, "array<long>")
+        return pd.Series([x.tobytes() for x in (on * (1 << np.arange(bits))).sum(axis=2).astype(kind)], dtype=object)
+
+    return F.pandas_udf(run, "binary")
+
+
+def _bucket_type(bits: int) -> str:
+    return "u1" if bits <= 8 else "i8"
+
+
+def _norms(m: np.ndarray) -> np.ndarray:
+    return np.sqrt(_dots(m, m))
+
+
+def _dots(a: np.ndarray, b: np.ndarray, i=slice(None), j=slice(None)) -> np.ndarray:
+    """Products of a's rows i and b's rows j, summed in the order of :func:`chronolith.functions.cosine`: equal to the last bit."""
+    total = 0.0
+    for d in range(a.shape[1]):
+        total = total + a[i, d] * b[j, d]
+    return total
+
+
+def _best(q: np.ndarray, v: np.ndarray, allowed: Callable[[slice], np.ndarray], k: int, rank: np.ndarray, once: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows of q, rows of v, similarities) of the k best rows of v for each of q, ties by ``rank``; ``once`` counts rows of
+    one rank and similarity once. Matrix products choose, with a margin; what they choose is compared as Spark does it."""
+    nq, nv = _norms(q), _norms(v)
+    plain = lambda n: (n == 0) | ((n > 1e-100) & (n < 1e100))
+    unit = lambda m, n: np.where(plain(n)[:, None], m / np.where(n > 0, n, 1.0)[:, None], 0.0)
+    uq, uv, odd = unit(q, nq), unit(v, nv), ~plain(nv)
+    q, v = np.asfortranarray(q), np.asfortranarray(v)
+    take = k * (np.bincount(rank).max() if once else 1)
+    for at in range(0, len(q), SEARCH_STRIP):
+        strip = slice(at, at + SEARCH_STRIP)
+        ok = allowed(strip)
+        sims = np.where(ok & ~odd, uq[strip] @ uv.T, -np.inf)
+        least = np.partition(sims, -take, axis=1)[:, -take] if take < len(v) else np.full(len(sims), -np.inf)
+        i, j = np.nonzero(ok & ((sims >= least[:, None] - 1e-9) | odd | ~plain(nq[strip])[:, None]))
+        i += at
+        norm = nq[i] * nv[j]
+        exact = np.where((norm > 0) | np.isnan(norm), _dots(q, v, i, j) / np.where(norm == 0, 1.0, norm), 0.0)
+        falling = np.where(np.isnan(exact), -np.inf, -exact)
+        order = np.lexsort((rank[j], falling, i))
+        i, j, exact, falling = i[order], j[order], exact[order], falling[order]
+        if once and len(i):
+            new = np.r_[True, (i[1:] != i[:-1]) | (falling[1:] != falling[:-1]) | (rank[j][1:] != rank[j][:-1])]
+            i, j, exact = i[new], j[new], exact[new]
+        first = np.searchsorted(i, i)
+        top = np.arange(len(i)) - first < k
+        yield i[top], j[top], exact[top]
+
+
+def search_blocks(asked: DataFrame, rows: DataFrame, k: int, meets: Callable[[np.ndarray, np.ndarray], np.ndarray], *, once: bool = False) -> DataFrame:
+    """(query_id, id, similarity) of the k best rows for each query, without its own id.
+
+    ``asked`` has query_id, v and tag, ``rows`` id, v and tag, all vectors of one length; ``meets`` takes the tags' bytes of
+    some queries and some rows and says which may pair. Both are dealt by hash into blocks of bounded size; a task takes a
+    block of each, and gives k rows for a query. ``once`` counts equal (query_id, id, similarity) once."""
+    kind = rows.schema["id"].dataType.simpleString()
+    of = asked.schema["query_id"].dataType.simpleString()
+
+    value = {s: "f4" if df.schema["v"].dataType.simpleString() == "array<float>" else "f8" for s, df in (("q", asked), ("v", rows))}
+
+    def packed(side: DataFrame, name: str, ids: list[str], kinds: str, n: int) -> DataFrame:
+        # a value that is null makes the similarity 0, as a vector of zeros does
+        v = F.when(F.exists("v", lambda x: x.isNull()), F.transform("v", lambda x: F.lit(0.0).cast(side.schema["v"].dataType.elementType))).otherwise(F.col("v"))
+
+        def pack(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+            m = np.array(g.v.tolist(), value[name])
+            return pd.DataFrame({"b": [key[0]], **{c: [g[c].tolist()] for c in ids}, "n": [len(g)], "m": [m.tobytes()], "tags": [b"".join(g.tag)]})
+
+        return side.select(F.pmod(F.xxhash64(ids[0], "v"), F.lit(n)).cast("int").alias("b"), *ids, v.alias("v"), "tag").groupBy("b").applyInPandas(pack, f"b int, {kinds}, n int, m binary, tags binary")
+
+    asked = asked.where("query_id is not null").withColumn("own", F.col("query_id").try_cast(kind)).where("own is not null")
+    rows = rows.where("id is not null")
+    many, few = max(1, math.ceil(rows.count() / SEARCH_ROWS)), max(1, math.ceil(asked.count() / SEARCH_ASKED))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = packed(asked, "q", ["query_id", "own"], f"query_id array<{of}>, own array<{kind}>", few).withColumnRenamed("b", "x").withColumn("y", spread(many))
+    right = packed(rows, "v", ["id"], f"id array<{kind}>", many).withColumnRenamed("b", "y").withColumn("x", spread(few))
+
+    def compare(qs: pd.DataFrame, vs: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query_id": [], "id": [], "similarity": []})
+        if not len(qs) or not len(vs):
+            return none
+        a, b = qs.iloc[0], vs.iloc[0]
+        load = lambda r, side: np.frombuffer(r.m, value[side]).reshape(r.n, -1).astype(float)
+        tags = lambda r: np.frombuffer(r.tags, np.uint8).reshape(r.n, -1)
+        asked_ids, own, ids, qt, vt = np.asarray(a.query_id), np.asarray(a.own), np.asarray(b.id), tags(a), tags(b)
+        rank = np.unique(np.concatenate([own, ids]), return_inverse=True)[1].ravel()
+        mine, rank = rank[: a.n], rank[a.n :]
+        allowed = lambda strip: meets(qt[strip], vt) & (mine[strip, None] != rank)
+        found = [pd.DataFrame({"query_id": asked_ids[i], "id": ids[j], "similarity": s}) for i, j, s in _best(load(a, "q"), load(b, "v"), allowed, k, rank, once)]
+        return pd.concat(found)
+
+    scored = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(compare, f"query_id {of}, id {kind}, similarity double")
+    scored = scored.distinct() if once else scored
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
 
 
 def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, *, dim: int, tables: int = 24, bits: int = 5, vector: str = "embedding", unique: str = "vec_id") -> DataFrame:
     """Approximate search: rows that share a random-hyperplane bucket with the query, ranked by exact similarity.
 
-    For tables that one pass can read whole; :class:`chronolith.operators.ann.Index` reads only the cells it probes."""
-    sign = _signatures(dim, tables, bits)
-    side = lambda df, a, b: df.select(F.col(unique).alias(a), F.col(vector).alias(b), F.posexplode(sign(vector)).alias("t", "h"))
-    pairs = side(queries, "query_id", "q").join(side(vectors, "id", "v"), ["t", "h"])
-    scored = pairs.select("query_id", "id", cosine(F.col("q"), F.col("v")).alias("similarity")).where("query_id <> id").distinct()
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+    For tables that one pass can read whole; :class:`chronolith.operators.ann.Index` reads only the cells it probes. Blocks of
+    queries and rows are compared by matrix products, without a row for each pair that shares a bucket."""
+    sign, kind = _signatures(dim, tables, bits), _bucket_type(bits)
+    side = lambda df, name: df.select(F.col(unique).alias(name), F.col(vector).alias("v"), sign(vector).alias("tag"))
+
+    def meets(asked: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        a, b = (np.ascontiguousarray(t).view(kind).T.copy() for t in (asked, rows))
+        shared = np.zeros((len(asked), len(rows)), bool)
+        for x, y in zip(a, b):
+            shared |= x[:, None] == y
+        return shared
+
+    return search_blocks(side(queries, "query_id"), side(vectors, "id"), k, meets, once=True)
 
 
 _token = re.compile(r"[a-z0-9]+|[^\x00-\x7f]")

@@ -1,5 +1,7 @@
 """Small fixed cases of operators and the dialect."""
 
+import functools
+import math
 import random
 
 import pytest
@@ -389,3 +391,38 @@ def test_upsert_sink_and_late_rows(spark, tmp_path):
     stream = stream_of(spark, tmp_path, [("x", i, 60 * i, float(i)) for i in range(60)]).withColumn("volume", F.lit(1.0))
     bars = run_to_table(stream_bars(stream, "10 minutes", "5 minutes", slide="5 minutes"), f"file://{tmp_path}/out", "complete").orderBy("bar_start").collect()
     assert len(bars) >= 12 and sum(b.n for b in bars) == 120  # each row is in two windows
+
+
+def _searched(m, ids, queries, allowed, k):
+    """Brute force for a search: (query, id) to similarity, with the exact cosine of the operators."""
+    want = {}
+    for q in queries:
+        near = []
+        for i, v in zip(ids, m):
+            if i != ids[q] and allowed(q, i):
+                dot = [functools.reduce(lambda s, x: s + x, (float(x) * float(y) for x, y in zip(a, b)), 0.0) for a, b in ((m[q], v), (m[q], m[q]), (v, v))]
+                norm = math.sqrt(dot[1]) * math.sqrt(dot[2])
+                near.append((-(dot[0] / norm if norm > 0 else 0.0), i))
+        want |= {(ids[q], i): -s for s, i in sorted(near)[:k]}
+    return want
+
+
+def test_lsh_search_by_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from chronolith.operators import vectors
+
+    rng = np.random.default_rng(8)
+    m = np.concatenate([rng.normal(size=(150, 8)), np.tile(rng.normal(size=8), (30, 1)), np.zeros((3, 8))]).astype("float32")
+    ids = [int(i) for i in rng.permutation(len(m))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m)], "vec_id long, embedding array<float>")
+    bucket = (np.einsum("nd,tbd->ntb", m.astype(float), vectors.planes(8, 6, 3)) > 0) @ (1 << np.arange(3))
+    at = {i: p for p, i in enumerate(ids)}
+    want = _searched(m, ids, [p for p, i in enumerate(ids) if i % 9 == 0], lambda q, i: (bucket[q] == bucket[at[i]]).any(), 7)
+    for asked, rows in ((4096, 8192), (5, 16)):
+        monkeypatch.setattr(vectors, "SEARCH_ASKED", asked)
+        monkeypatch.setattr(vectors, "SEARCH_ROWS", rows)
+        found = vectors.lsh_search(df, df.where("vec_id % 9 = 0"), 7, dim=8, tables=6, bits=3)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan  # no row for each pair that shares a bucket
+        assert {(r.query_id, r.id): r.similarity for r in found.collect()} == want
