@@ -11,10 +11,10 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.functions import cosine
+from chronolith.operators.vectors import search_blocks
 
 SAMPLE = 20_000  # rows that centroids are fitted on
 
@@ -94,9 +94,27 @@ class Index:
         return Index(self.spark, path)
 
     def search(self, queries: DataFrame, k: int, *, probes: int = 8, query_id: str = "query_id", query: str = "query") -> DataFrame:
-        """(query_id, id, similarity) of the k best rows of the probed cells, without the query's own id."""
-        asked = queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("q")).withColumn("cell", F.explode(_nearest(self.centers, probes)("q")))
-        rows = self.rows().select("cell", F.col(self.unique).alias("id"), F.col(self.vector).alias("v"))
-        scored = asked.join(rows, "cell").where("query_id <> id").select("query_id", "id", cosine(F.col("q"), F.col("v")).alias("similarity"))
-        best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-        return scored.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k).drop("_n")
+        """(query_id, id, similarity) of the k best rows of the probed cells, without the query's own id.
+
+        Blocks of queries and rows meet in matrix products, without a row for each query and cell. Few queries read only the
+        cells that one of them probes."""
+        count = len(self.centers)
+
+        def bits(cells: pd.Series) -> pd.Series:
+            on = np.zeros((len(cells), count), bool)
+            for row, probed in zip(on, cells):
+                row[probed] = True
+            return pd.Series([x.tobytes() for x in np.packbits(on, axis=1, bitorder="little")], dtype=object)
+
+        def own(cells: pd.Series) -> pd.Series:
+            return pd.Series([x.tobytes() for x in cells.to_numpy("i4")], dtype=object)
+
+        def meets(asked: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            return np.unpackbits(asked, axis=1, count=count, bitorder="little").astype(bool)[:, rows.view("i4").ravel()]
+
+        asked = queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("v")).withColumn("cells", _nearest(self.centers, probes)("v"))
+        wanted = [r.cell for r in asked.select(F.explode("cells").alias("cell")).distinct().collect()]  # at most all cells
+        asked = asked.where(F.size("cells") > 0).select("query_id", "v", F.pandas_udf(bits, "binary")("cells").alias("tag"))
+        rows = self.rows().where(F.col("cell").isin(wanted)) if len(wanted) < count else self.rows()
+        rows = rows.select(F.col(self.unique).alias("id"), F.col(self.vector).alias("v"), F.pandas_udf(own, "binary")("cell").alias("tag"))
+        return search_blocks(asked, rows, k, meets)

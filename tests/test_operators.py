@@ -426,3 +426,27 @@ def test_lsh_search_by_blocks(spark, monkeypatch):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan  # no row for each pair that shares a bucket
         assert {(r.query_id, r.id): r.similarity for r in found.collect()} == want
+
+
+def test_index_search_by_blocks(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from chronolith.operators import ann, vectors
+
+    rng = np.random.default_rng(4)
+    m = np.concatenate([rng.normal(size=(150, 8)), np.tile(rng.normal(size=8), (30, 1))]).astype("float32")
+    ids = [int(i) for i in rng.permutation(len(m))]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, m)], "vec_id long, embedding array<float>")
+    index = ann.Index.build(df, f"file://{tmp_path}/ivf", cells=12)
+    cell = {r.vec_id: r.cell for r in index.rows().collect()}
+    near = lambda q: np.argsort(-(index.centers @ m[q].astype(float)), kind="stable")[:5]
+    want = _searched(m, ids, [p for p, i in enumerate(ids) if i % 9 == 0], lambda q, i: cell[i] in near(q), 7)
+    queries = df.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    for asked, rows in ((4096, 8192), (5, 16)):
+        monkeypatch.setattr(vectors, "SEARCH_ASKED", asked)
+        monkeypatch.setattr(vectors, "SEARCH_ROWS", rows)
+        found = index.search(queries, 7, probes=5)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # no row for each query and cell
+        assert {(r.query_id, r.id): r.similarity for r in found.collect()} == want
+    one = index.search(queries.limit(1), 7, probes=5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cell" in one and " IN (" in one  # only the probed cells are read
