@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import math
+import os
+import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+RUN_ROWS, MERGE_ROWS, FAN_IN, OUT_ROWS = 200_000, 4096, 64, 10_000  # rows sorted in memory, held of each run, runs merged at a time, rows of a frame
+KEY, NO_KEY = ("ts", "id", "at"), np.iinfo("int64").max
+
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int = 8, pattern: str | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
@@ -135,8 +142,111 @@ class Macd(Indicator):
         return line, signal[1], line - signal[1]
 
 
+def _ordered(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    whole = {c: np.concatenate([p[c] for p in parts]) for c in parts[0]}
+    order = np.lexsort((whole["at"], whole["id"], whole["ts"]))
+    return {c: x[order] for c, x in whole.items()}
+
+
+def _rows(frame: pd.DataFrame, at: int) -> dict[str, np.ndarray]:
+    """A frame's columns as numbers; missing times and ids come last. ``at`` is the first row's number of arrival."""
+
+    def time(x: pd.Series) -> np.ndarray:
+        if pd.api.types.is_datetime64_any_dtype(x):
+            return x.astype("datetime64[us]").to_numpy().view("i8")
+        bits = (x.astype(float).to_numpy() + 0.0).view("i8")  # in the order of the numbers
+        return np.where(bits < 0, bits ^ NO_KEY, bits)
+
+    reset = frame["reset"].eq(True).to_numpy(bool) if "reset" in frame else np.zeros(len(frame), bool)
+    key = {"ts": np.where(frame["ts"].isna(), NO_KEY, time(frame["ts"])), "id": np.where(frame["id"].isna(), NO_KEY, frame["id"].fillna(0).astype("int64"))}
+    return {**key, "at": np.arange(at, at + len(frame)), "price": frame["price"].astype(float).to_numpy(), "reset": reset}
+
+
+class _Run:
+    """Ordered rows in a file, of which one batch is held."""
+
+    def __init__(self, path: str):
+        self.file = pa.OSFile(path)
+        self.reader, self.next, self.held = pa.ipc.open_file(self.file), 0, {}
+        self.fill()
+
+    def fill(self) -> bool:
+        """Holds the next batch if none is left; whether there are rows."""
+        if not (self.held and len(self.held["ts"])):
+            if self.next == self.reader.num_record_batches:
+                return False
+            batch, self.next = self.reader.get_batch(self.next), self.next + 1
+            self.held = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        return True
+
+    def last(self) -> tuple[int, int, int]:
+        return tuple(int(self.held[c][-1]) for c in KEY)
+
+    def take(self, bound: tuple[int, int, int]) -> dict[str, np.ndarray]:
+        """The held rows up to the bound."""
+        ts, id, at = (self.held[c] for c in KEY)
+        n = int(((ts < bound[0]) | ((ts == bound[0]) & ((id < bound[1]) | ((id == bound[1]) & (at <= bound[2]))))).sum())
+        out, self.held = {c: x[:n] for c, x in self.held.items()}, {c: x[n:] for c, x in self.held.items()}
+        return out
+
+
+def _merged(paths: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    runs = [_Run(p) for p in paths]
+    try:
+        while left := [r for r in runs if r.fill()]:
+            bound = min(r.last() for r in left)
+            yield _ordered([r.take(bound) for r in left])
+    finally:
+        for r in runs:
+            r.file.close()
+
+
+def _write(path: str, parts: Iterator[dict[str, np.ndarray]]) -> str:
+    out = None
+    with pa.OSFile(path, "wb") as file:
+        for part in parts:
+            batch = pa.record_batch(part)
+            out = out or pa.ipc.new_file(file, batch.schema)
+            out.write_table(pa.Table.from_batches([batch]), max_chunksize=MERGE_ROWS)
+        out.close()
+    return path
+
+
+def in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (id, price, reset) in order of (ts, id), in frames of bounded size; equal ones stay as they come.
+
+    RUN_ROWS rows are sorted in memory. More go to runs in a temporary folder, which are merged, FAN_IN at a time, each
+    holding MERGE_ROWS."""
+    with tempfile.TemporaryDirectory(prefix="chronolith-") as folder:
+        held, size, seen, paths = [], 0, 0, []
+        for frame in frames:
+            held.append(_rows(frame, seen))
+            size, seen = size + len(frame), seen + len(frame)
+            if size >= RUN_ROWS:
+                paths.append(_write(f"{folder}/{len(paths)}", iter([_ordered(held)])))
+                held, size = [], 0
+        if not paths:
+            parts = iter([_ordered(held)] if held else [])
+        else:
+            if held:
+                paths.append(_write(f"{folder}/{len(paths)}", iter([_ordered(held)])))
+            held, made = [], len(paths)
+            while len(paths) > FAN_IN:
+                some, paths = paths[:FAN_IN], paths[FAN_IN:]
+                paths.append(_write(f"{folder}/{made}", _merged(some)))
+                made += 1
+                for p in some:
+                    os.remove(p)
+            parts = _merged(paths)
+        for part in parts:
+            for i in range(0, len(part["ts"]), OUT_ROWS):
+                ids = part["id"][i : i + OUT_ROWS]
+                ids = pd.Series(ids, dtype="Int64").mask(ids == NO_KEY) if (ids == NO_KEY).any() else ids
+                yield pd.DataFrame({"id": ids, **{c: part[c][i : i + OUT_ROWS] for c in ("price", "reset")}})
+
+
 class _Indicators(StatefulProcessor):
-    """Per key the states of some indicators. A trigger's rows of a key are put in order together."""
+    """Per key the states of some indicators. A trigger's rows of a key are put in order together, in bounded memory."""
 
     def __init__(self, make: Callable[[], list[Indicator]]):
         self.make = make
@@ -162,16 +272,16 @@ class _Indicators(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         found = self._load()
-        whole = pd.concat(list(rows)).sort_values(["ts", "id"], kind="stable")  # the rows come in batches of Arrow's size
-        resets = whole["reset"].fillna(False).tolist() if "reset" in whole else [False] * len(whole)
-        out = []
-        for x, again in zip(whole["price"].tolist(), resets):
-            if again:
-                found = self.make()
-            out.append([v for f in found for v in f.update(float(x))])
-        self._save(found)
         names = [n for f in found for n in f.names]
-        yield pd.concat([whole[["symbol", "id", "price"]].reset_index(drop=True), pd.DataFrame(out, columns=names, dtype=float)], axis=1)
+        for part in in_order(rows):
+            out = []
+            for x, again in zip(part["price"].tolist(), part["reset"].tolist()):
+                if again:
+                    found = self.make()
+                out.append([v for f in found for v in f.update(x)])
+            head = pd.DataFrame({"symbol": [key[0]] * len(part), "id": part["id"], "price": part["price"]})
+            yield pd.concat([head, pd.DataFrame(out, columns=names, dtype=float)], axis=1)
+        self._save(found)
 
     def close(self) -> None:
         pass
@@ -182,8 +292,9 @@ def stream_indicators(ticks: DataFrame, make: Callable[[], list[Indicator]], *,
 
     ``ticks`` has symbol, id, ts and price; a row that is true in an optional column ``reset`` begins anew. Rows of one trigger
     are put in order of (ts, id); a row that comes triggers later than later ones is taken when it comes. ``history`` is a table
-    of rows that bring each key's state up to date before the first trigger. A key's rows of one trigger, which
-    ``maxFilesPerTrigger`` bounds, are held in memory. The session must use the RocksDB state store."""
+    of rows that bring each key's state up to date before the first trigger. A key's rows of one trigger
+    are sorted in runs of RUN_ROWS, which lie in the executor's temporary folder until they are merged. The session must use
+    the RocksDB state store."""
     out = ["symbol string", "id long", "price double", *[f"{n} double" for x in make() for n in x.names]]
     start = None if history is None else history.select("symbol", "id", "ts", "price").groupBy("symbol")
     return ticks.groupBy("symbol").transformWithStateInPandas(statefulProcessor=_Indicators(make), outputStructType=", ".join(out), outputMode="append", timeMode="None", initialState=start)

@@ -450,3 +450,40 @@ def test_index_search_by_blocks(spark, tmp_path, monkeypatch):
         assert {(r.query_id, r.id): r.similarity for r in found.collect()} == want
     one = index.search(queries.limit(1), 7, probes=5)._jdf.queryExecution().optimizedPlan().toString()
     assert "cell" in one and " IN (" in one  # only the probed cells are read
+
+
+def test_stream_rows_are_ordered_in_bounded_memory(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from chronolith.streaming import streams
+
+    for name, n in (("RUN_ROWS", 10_000), ("MERGE_ROWS", 500), ("FAN_IN", 4), ("OUT_ROWS", 900)):
+        monkeypatch.setattr(streams, name, n)
+    rng = np.random.default_rng(2)
+
+    def frames(n):
+        for at in range(0, n, 3000):
+            times = pd.Series(pd.to_datetime(rng.integers(0, 5000, 3000), unit="s"))
+            yield pd.DataFrame({"symbol": "x", "ts": times.mask(times.index % 991 == 5), "id": rng.integers(0, 9, 3000), "price": np.arange(at, at + 3000, dtype=float), "reset": [None, True, False] * 1000})
+
+    fed = list(frames(120_000))
+    fed[3]["id"] = fed[3]["id"].astype(float).mask(fed[3].index % 7 == 0)
+    want = pd.concat(fed).sort_values(["ts", "id"], kind="stable")
+    got = list(streams.in_order(iter(fed)))
+    assert max(map(len, got)) <= 900
+    got = pd.concat([g.astype({"id": "Int64"}) for g in got])
+    assert got["price"].tolist() == want["price"].tolist() and got["reset"].tolist() == want["reset"].fillna(False).tolist()
+    assert got["id"].isna().tolist() == want["id"].isna().tolist() and got["id"].fillna(-1).tolist() == want["id"].fillna(-1).tolist()
+    small = pd.DataFrame({"ts": [2.5, -1.0, None, 2.25, -3.5], "id": range(5), "price": range(5)})
+    assert pd.concat(streams.in_order(iter([small])))["id"].tolist() == [4, 1, 3, 0, 2]
+    assert list(streams.in_order(iter([]))) == []
+    peaks = []
+    for n in (60_000, 480_000):
+        tracemalloc.start()
+        assert sum(map(len, streams.in_order(frames(n)))) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]  # eight times the rows
