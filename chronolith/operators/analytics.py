@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 
 def trade_stats(trades: DataFrame, keys: list[str], pnl: str = "pnl") -> DataFrame:
@@ -49,29 +52,38 @@ def backtest_result(trades: DataFrame, keys: list[str], order: list[str], ts: st
 def positions(fills: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Average-cost accounting of fills (side, price, qty): position, average price and realised profit after each.
 
-    Each fill depends on all before it, so a key's fills go through one task in order."""
+    Each fill depends on all before it, so a key's fills go through one task in order. A task's keys stream through one
+    function in batches of Arrow's size: neither a key's fills nor a frame for each key is held."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(order, kind="stable")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pos = avg = 0.0
-        out = []
-        for side, price, qty in zip(g.side, g.price, g.qty):
-            q = qty if side == "buy" else -qty
-            gain = 0.0
-            if pos * q >= 0:
-                avg = (avg * abs(pos) + price * abs(q)) / (abs(pos) + abs(q)) if q else avg
-            else:
-                closed = min(abs(pos), abs(q))
-                gain = closed * (price - avg) * (1 if pos > 0 else -1)
-                if abs(q) > abs(pos):
-                    avg = price  # the position turns over
-                elif abs(q) == abs(pos):
-                    avg = 0.0
-            pos += q
-            out.append((pos, avg, gain))
-        return g.assign(position=[x[0] for x in out], avg_price=[x[1] for x in out], realised=[x[2] for x in out])
-
-    return fills.groupBy(*keys).applyInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fills.schema) + ", position double, avg_price double, realised double")
+        for b in batches:
+            out = []
+            plain = lambda c: b.column(c).to_numpy(zero_copy_only=False).tolist()
+            for first, side, price, qty in zip(plain("_first"), plain("side"), plain("price"), plain("qty")):
+                if first:
+                    pos = avg = 0.0
+                q = qty if side == "buy" else -qty
+                gain = 0.0
+                if pos * q >= 0:
+                    avg = (avg * abs(pos) + price * abs(q)) / (abs(pos) + abs(q)) if q else avg
+                else:
+                    closed = min(abs(pos), abs(q))
+                    gain = closed * (price - avg) * (1 if pos > 0 else -1)
+                    if abs(q) > abs(pos):
+                        avg = price  # the position turns over
+                    elif abs(q) == abs(pos):
+                        avg = 0.0
+                pos += q
+                out.append((pos, avg, gain))
+            made = [pa.array([x[k] for x in out], pa.float64(), from_pandas=True) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + made, names=[*names, "position", "avg_price", "realised"])
+
+    names = fills.columns
+    # the window deals the rows by key and puts them in order, which the map keeps
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last(order))) == 1
+    schema = StructType([*fills.schema.fields, *(StructField(c, DoubleType()) for c in ("position", "avg_price", "realised"))])
+    return fills.withColumn("_first", first).mapInArrow(run, schema)
 
 
 def daily_report(orders: DataFrame, keys: list[str], day: Column, *, status: str, amount: str, filled: str) -> DataFrame:

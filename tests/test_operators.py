@@ -487,3 +487,33 @@ def test_stream_rows_are_ordered_in_bounded_memory(monkeypatch):
         peaks.append(tracemalloc.get_traced_memory()[1])
         tracemalloc.stop()
     assert peaks[1] < 1.5 * peaks[0]  # eight times the rows
+
+
+def test_positions_stream_through_batches(spark):
+    from chronolith.operators.analytics import positions
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", None]), i, rng.choice(["buy", "sell"]), rng.uniform(1, 9), float(rng.randint(0, 3))) for i in range(900)] + [(f"k{i}", i, "sell", 2.0, 1.0) for i in range(300)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, id long, side string, price double, qty double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = positions(df.withColumn("made", F.array("price")), ["k"], "id")
+        assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()  # no frame for each key
+        got = {(r.k, r.id): r for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    held, want = {}, {}
+    for k, i, side, price, qty in sorted(rows, key=lambda r: r[1]):
+        pos, avg = held.get(k, (0.0, 0.0))
+        q, gain = (qty if side == "buy" else -qty), 0.0
+        if pos * q >= 0:
+            avg = (avg * abs(pos) + price * abs(q)) / (abs(pos) + abs(q)) if q else avg
+        else:
+            gain = min(abs(pos), abs(q)) * (price - avg) * (1 if pos > 0 else -1)
+            avg = price if abs(q) > abs(pos) else 0.0 if abs(q) == abs(pos) else avg
+        held[k] = pos + q, avg
+        want[k, i] = (pos + q, avg, gain)
+    assert {x: (r.position, r.avg_price, r.realised) for x, r in got.items()} == want
+    assert all(r.made == [r.price] for r in got.values())
