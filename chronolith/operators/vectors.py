@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import cosine_to
 
-PIVOTS = 64
-STRIP = 512  # rows of a block that are multiplied at a time
+PIVOTS = 32
+STRIP = 128  # rows of a block that are multiplied at a time
+LEAST_BLOCK, BLOCK_VALUES, SPREAD = 4096, 1 << 21, 14  # rows of a block at least, numbers in it at most, blocks that all rows make at least, if they can
 SEARCH_ASKED, SEARCH_ROWS, SEARCH_STRIP = 4096, 8192, 128  # queries and rows of a search's blocks, queries that are multiplied at a time
 
 
@@ -54,14 +55,20 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
 
 
-def _cells(groups: DataFrame, threshold: float, block: int) -> tuple[DataFrame, list[tuple[int, int]], list[list[int]]]:
+def _block_rows(n: int, dim: int) -> int:
+    """Rows of a block: each block is sent to every block near it, so fewer and larger ones send less."""
+    return max(LEAST_BLOCK, min(n // SPREAD, BLOCK_VALUES // max(dim, 1)))
+
+
+def _cells(groups: DataFrame, threshold: float, block: int | None) -> tuple[DataFrame, list[tuple[int, int]], list[list[int]]]:
     """Groups with the cell of their nearest pivot, each cell's (first block, blocks), and the cells near each.
 
     A cell's vectors lie within an angle of its pivot; two cells are not compared if their pivots are further apart than
     both angles and the threshold's. Vectors of another length than the pivots' have a cell of their own, near to all."""
-    n = groups.count()
-    pivots = [r.v for r in groups.orderBy("key").limit(max(1, min(PIVOTS, n // block))).collect()]  # at most PIVOTS rows
+    n, widest = groups.agg(F.count("*"), F.max("d")).first()
+    pivots = [r.v for r in groups.orderBy("key").limit(max(1, min(PIVOTS, n // (block or LEAST_BLOCK)))).collect()]  # at most PIVOTS rows
     dim = len(pivots[0]) if pivots else 0
+    block = block or _block_rows(n, widest or 0)
     p = _unit(np.array([v for v in pivots if len(v) == dim], float).reshape(-1, dim))
     other = len(p)
 
@@ -92,9 +99,11 @@ def _cells(groups: DataFrame, threshold: float, block: int) -> tuple[DataFrame,
     return placed, blocks, [[b for b in range(other + 1) if b in sizes and a in sizes and near(a, b)] for a in range(other + 1)]
 
 
-def _compare(groups: DataFrame, threshold: float, found, schema: str, block: int) -> DataFrame:
-    """``found(keys, firsts, keys, firsts, similarities)`` over every two blocks of near cells, in strips of rows; the
-    similarity is -inf where a pair is met twice. A block is one row: a matrix of at most about ``block`` vectors."""
+def _compare(groups: DataFrame, threshold: float, block: int | None) -> Callable[..., DataFrame]:
+    """A function of (found, schema, shared) that gives ``found(rows of a, rows of b, similarities)`` over every two blocks of
+    near cells, in strips of rows; rows are (keys, firsts), the similarity is -inf where a pair is met twice. Without
+    ``shared`` all groups meet, else those pairs of which one group has several members (True) or none has (False); only
+    groups of several members have a key then. A block is one row: a matrix of at most about ``block`` vectors."""
     placed, cells, near = _cells(groups, threshold, block)
     pick = lambda values, kind: F.from_json(F.lit(json.dumps(values)), kind)
     first, count = pick([c[0] for c in cells], "array<int>"), pick([c[1] for c in cells], "array<int>")
@@ -102,29 +111,44 @@ def _compare(groups: DataFrame, threshold: float, found, schema: str, block: int
     ranges = pick([[list(cells[b]) for b in bs] for bs in near], "array<array<array<int>>>")
     whom = F.flatten(F.transform(F.get(ranges, F.col("c")), lambda r: F.sequence(r[0], r[0] + r[1] - 1)))
     kind = groups.schema["first"].dataType.simpleString()
+    value = "f4" if groups.schema["v"].dataType.simpleString() == "array<float>" else "f8"
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        m = np.array(rows.v.tolist(), float)
-        return pd.DataFrame({"own": [key[0]], "c": [key[1]], "d": [key[2]], "keys": [rows.key.tolist()], "firsts": [rows["first"].tolist()], "m": [_unit(m.reshape(len(rows), -1)).tobytes()]})
+        m = np.array(rows.v.tolist(), value)
+        return pd.DataFrame({"own": [key[0]], "c": [key[1]], "d": [key[2]], "keys": [[k if n > 1 else None for k, n in zip(rows.key, rows.n)]], "firsts": [rows["first"].tolist()], "m": [m.tobytes()]})
 
-    packed = placed.select(own.alias("own"), F.col("p.c").alias("c"), "d", "key", "first", "v").groupBy("own", "c", "d")
+    packed = placed.select(own.alias("own"), F.col("p.c").alias("c"), "d", "key", "first", "n", "v").groupBy("own", "c", "d")
     packed = packed.applyInPandas(pack, f"own int, c int, d int, keys array<binary>, firsts array<{kind}>, m binary")
     sides = packed.withColumn("with", F.explode(whom)).select(F.least("own", "with").alias("x"), F.greatest("own", "with").alias("y"), "d", "own", "keys", "firsts", "m")
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        both = sorted((r for batch in batches for r in batch.itertuples()), key=lambda r: r.own)  # one row or two
-        if len(both) < 2 and both[0].x != both[0].y:
-            return
-        load = lambda r: np.frombuffer(r.m, float).reshape(len(r.keys), -1)
-        a, b = both[0], both[-1]
-        ma, mb, ka, kb, fa, fb = load(a), load(b), np.array(a.keys, object), np.array(b.keys, object), np.array(a.firsts), np.array(b.firsts)
-        for i in range(0, len(ma), STRIP):
-            sims = ma[i : i + STRIP] @ mb.T
-            if a.own == b.own:
-                sims[np.tri(*sims.shape, i, dtype=bool)] = -np.inf
-            yield found(ka[i : i + STRIP], fa[i : i + STRIP], kb, fb, sims)
-
-    return sides.groupBy("x", "y", "d").applyInPandas(compare, schema)
+    def over(found, schema: str, shared: bool | None = None) -> DataFrame:
+        def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            both = sorted((r for batch in batches for r in batch.itertuples()), key=lambda r: r.own)  # one row or two
+            if len(both) < 2 and both[0].x != both[0].y:
+                return
+            load = lambda r: (_unit(np.frombuffer(r.m, value).reshape(len(r.keys), -1)), np.array(r.keys, object), np.array(r.firsts))
+            same = both[0].own == both[-1].own
+            a = load(both[0])
+            b = a if same else load(both[-1])
+            whole_a, whole_b = np.arange(len(a[0])), np.arange(len(b[0]))
+            if shared is None:
+                parts = [(whole_a, whole_b)]
+            else:
+                many_a, many_b = (np.array([k is not None for k in s[1]], bool) for s in (a, b))
+                single = whole_a[~many_a]
+                parts = [(whole_a[many_a], whole_b), (single, whole_b[many_b])] if shared else [(single, whole_b[~many_b])]
+            for left, right in parts:
+                mb, rb = b[0][right], (b[1][right], b[2][right])
+                for at in range(0, len(left) if len(right) else 0, STRIP):
+                    rows = left[at : at + STRIP]
+                    sims = a[0][rows] @ mb.T
+                    if same:
+                        sims[rows[:, None] >= right] = -np.inf
+                    yield found((a[1][rows], a[2][rows]), rb, sims)
+
+        return sides.groupBy("x", "y", "d").applyInPandas(compare, schema)
+
+    return over
 
 
 def _alike(groups: DataFrame, threshold: float) -> DataFrame:
@@ -133,37 +157,55 @@ def _alike(groups: DataFrame, threshold: float) -> DataFrame:
     return groups.where((F.col("n") > 1) & ~F.isnan(norm) & norm.isNotNull() & (F.when(norm > 0, 1.0).otherwise(0.0) >= threshold)).withColumn("similarity", F.when(norm > 0, 1.0).otherwise(0.0))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, *, vector: str = "embedding", unique: str = "vec_id", block: int = 4096) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, *, vector: str = "embedding", unique: str = "vec_id", block: int | None = None) -> DataFrame:
     """All pairs with similarity of at least the threshold, exact for tables of any size.
 
     Equal vectors are compared once, as one group; groups are compared by matrix products of blocks, without those that
     pivots keep apart. Work grows with the square of the groups that pivots leave together, and the result has a row for
-    every pair, also of equal vectors: :func:`similar_to_earlier` needs none of these rows. Vectors of different lengths
-    do not match."""
+    every pair, also of equal vectors: :func:`similar_to_earlier` needs none of these rows. Pairs of vectors that have no
+    equal come from the blocks with their ids; only pairs of a group with equal vectors are joined with its members.
+    Vectors of different lengths do not match."""
     members, groups = _groups(vectors, vector, unique)
     kind = groups.schema["first"].dataType.simpleString()
+    over = _compare(groups, threshold, block)
 
-    def found(ka, fa, kb, fb, sims) -> pd.DataFrame:
+    def found(a, b, sims) -> pd.DataFrame:
         i, j = np.nonzero(sims >= threshold)
-        return pd.DataFrame({"ka": ka[i], "kb": kb[j], "similarity": sims[i, j]})
-
-    links = _compare(groups, threshold, found, "ka binary, kb binary, similarity double", block)
-    links = links.unionByName(_alike(groups, threshold).select(F.col("key").alias("ka"), F.col("key").alias("kb"), "similarity"))
-    a, b = (members.select(F.col("key").alias(f"k{s}"), F.col("id").alias(f"id_{s}")) for s in "ab")
-    pairs = links.join(a, "ka").join(b, "kb").where((F.col("ka") != F.col("kb")) | (F.col("id_a") < F.col("id_b"))).where("id_a <> id_b")
-    return pairs.select(F.least("id_a", "id_b").cast(kind).alias("id_a"), F.greatest("id_a", "id_b").cast(kind).alias("id_b"), "similarity")
+        return pd.DataFrame({"ka": a[0][i], "fa": a[1][i], "kb": b[0][j], "fb": b[1][j], "similarity": sims[i, j]})
 
-
-def similar_to_earlier(vectors: DataFrame, threshold: float, *, vector: str = "embedding", unique: str = "vec_id", block: int = 4096) -> DataFrame:
+    def alone(a, b, sims) -> pd.DataFrame:
+        i, j = np.nonzero(sims >= threshold)
+        return pd.DataFrame({"id_a": a[1][i], "id_b": b[1][j], "similarity": sims[i, j]})
+
+    pairs = over(alone, f"id_a {kind}, id_b {kind}, similarity double", False)
+    several = groups.where("n > 1")
+    if not several.isEmpty():
+        links = over(found, f"ka binary, fa {kind}, kb binary, fb {kind}, similarity double", True)
+        links = links.select(*[F.coalesce(f"k{s}", F.unhex(F.md5(F.col(f"f{s}").cast("string")))).alias(f"k{s}") for s in "ab"], *[F.when(F.col(f"k{s}").isNull(), F.col(f"f{s}")).alias(f"f{s}") for s in "ab"], "similarity")
+        own = _alike(groups, threshold).select(F.col("key").alias("ka"), F.lit(None).cast(kind).alias("fa"), F.col("key").alias("kb"), F.lit(None).cast(kind).alias("fb"), "similarity")
+        of = members.join(several.select("key"), "key", "left_semi")
+        a, b = (of.select(F.col("key").alias(f"k{s}"), F.col("id").alias(f"m{s}")) for s in "ab")
+        met = links.unionByName(own).join(a, "ka", "left").join(b, "kb", "left")
+        met = met.select("ka", "kb", F.coalesce("fa", "ma").alias("id_a"), F.coalesce("fb", "mb").alias("id_b"), "similarity")
+        pairs = pairs.unionByName(met.where((F.col("ka") != F.col("kb")) | (F.col("id_a") < F.col("id_b"))).drop("ka", "kb"))
+    return pairs.where("id_a <> id_b").select(F.least("id_a", "id_b").cast(kind).alias("id_a"), F.greatest("id_a", "id_b").cast(kind).alias("id_b"), "similarity")
+
+
+def similar_to_earlier(vectors: DataFrame, threshold: float, *, vector: str = "embedding", unique: str = "vec_id", block: int | None = None) -> DataFrame:
     """The ids of rows that are similar to one with a smaller id: the ``id_b`` of :func:`similar_pairs`, without the pairs."""
     members, groups = _groups(vectors, vector, unique)
+    kind = groups.schema["first"].dataType.simpleString()
 
-    def found(ka, fa, kb, fb, sims) -> pd.DataFrame:
+    def found(a, b, sims) -> pd.DataFrame:
         i, j = np.nonzero(sims >= threshold)
-        return pd.DataFrame({"key": np.unique(np.concatenate([kb[j[fa[i] < fb[j]]], ka[i[fb[j] < fa[i]]]]))})
-
-    later = _compare(groups, threshold, found, "key binary", block).distinct()
-    whole = members.join(later, "key", "left_semi").select("id")
+        (ka, fa), (kb, fb) = a, b
+        up, down = np.unique(j[fa[i] < fb[j]]), np.unique(i[fb[j] < fa[i]])
+        return pd.DataFrame({"key": np.concatenate([kb[up], ka[down]]), "first": np.concatenate([fb[up], fa[down]])})
+
+    later = _compare(groups, threshold, block)(found, f"key binary, first {kind}").distinct()
+    # a vector that has no equal comes with its id, a group of several members with its key
+    whole = members.join(later.where("key is not null").select("key"), "key", "left_semi").select("id")
+    whole = later.where("key is null").select(F.col("first").alias("id")).unionByName(whole)
     # of a group with equal members, all but the least id
     rest = members.join(_alike(groups, threshold).select("key", "first"), "key").where("id > first").select("id")
     return whole.unionByName(rest).distinct().withColumnRenamed("id", unique)

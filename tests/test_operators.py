@@ -517,3 +517,14 @@ def test_positions_stream_through_batches(spark):
         want[k, i] = (pos + q, avg, gain)
     assert {x: (r.position, r.avg_price, r.realised) for x, r in got.items()} == want
     assert all(r.made == [r.price] for r in got.values())
+
+
+def test_similar_pairs_send_blocks_and_pairs_seldom(spark):
+    from chronolith.operators import vectors
+
+    df = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.cos(F.col("id") * 0.1), F.sin(F.col("id") * 0.1)).alias("embedding"))
+    pairs = vectors.similar_pairs(df, 0.99)
+    assert "Join" not in pairs._jdf.queryExecution().optimizedPlan().toString()  # no pair is shuffled if no vectors are equal
+    assert pairs.count() == sum(math.cos((j - i) * 0.1) >= 0.99 for i in range(300) for j in range(i + 1, 300))
+    for n in (100_000, 600_000, 1_000_000):  # a block is sent to each other block
+        assert n / vectors._block_rows(n, 64) <= 31 and vectors._block_rows(n, 64) * 64 <= vectors.BLOCK_VALUES
