@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from chronolith.functions import cosine_to
 
 PIVOTS = 32
 STRIP = 128  # rows of a block that are multiplied at a time
+EMBED_STRIP = 64  # texts that are held as strings
 LEAST_BLOCK, BLOCK_VALUES, SPREAD = 4096, 1 << 21, 14  # rows of a block at least, numbers in it at most, blocks that all rows make at least, if they can
 SEARCH_ASKED, SEARCH_ROWS, SEARCH_STRIP = 4096, 8192, 128  # queries and rows of a search's blocks, queries that are multiplied at a time
 
@@ -337,22 +339,29 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, *, dim: int, tabl
 _token = re.compile(r"[a-z0-9]+|[^\x00-\x7f]")
 
 
-def hash_embedding(text: Column, dim: int = 64) -> Column:
-    """Normalised hashing embedding of words (1), word pairs (1.5) and characters (0.7)."""
+def _embedded(texts: pa.Array, dim: int) -> pa.Array:
+    """The vectors of texts, of which EMBED_STRIP at a time are Python strings; the vectors are one array of numbers."""
+    import xxhash
 
-    def run(texts: pd.Series) -> pd.Series:
-        import xxhash
-
-        hash_of = xxhash.xxh64_intdigest
-        out = []
-        for t in texts:
+    hash_of = xxhash.xxh64_intdigest
+    out = np.zeros((len(texts), dim))
+    for at in range(0, len(texts), EMBED_STRIP):
+        for k, t in enumerate(texts.slice(at, EMBED_STRIP).to_pylist(), at):
             words = _token.findall((t or "").lower())
-            parts = [*words, *map(" ".join, zip(words, words[1:])), *itertools.chain.from_iterable(words)]
-            weight = np.repeat([1.0, 1.5, 0.7], [len(words), max(len(words) - 1, 0), sum(map(len, words))])
-            h = np.fromiter(map(hash_of, parts), np.uint64, len(parts))
+            parts = itertools.chain(words, map(" ".join, zip(words, words[1:])), itertools.chain.from_iterable(words))
+            sizes = [len(words), max(len(words) - 1, 0), sum(map(len, words))]
+            weight = np.repeat([1.0, 1.5, 0.7], sizes)
+            h = np.fromiter(map(hash_of, parts), np.uint64, sum(sizes))
             v = np.bincount((h % np.uint64(dim)).astype(np.int64), np.where(h >> np.uint64(63), weight, -weight), dim)
             n = np.linalg.norm(v)
-            out.append((v / n if n else v).tolist())
-        return pd.Series(out, dtype=object)
+            out[k] = v / n if n else v
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dim, dtype="i4")), pa.array(out.ravel()))
+
+
+def hash_embedding(text: Column, dim: int = 64) -> Column:
+    """Normalised hashing embedding of words (1), word pairs (1.5) and characters (0.7)."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        return _embedded(texts, dim)
 
-    return F.pandas_udf(run, "array<double>")(text)
+    return F.arrow_udf(run, "array<double>")(text)

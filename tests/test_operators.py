@@ -528,3 +528,21 @@ def test_similar_pairs_send_blocks_and_pairs_seldom(spark):
     assert pairs.count() == sum(math.cos((j - i) * 0.1) >= 0.99 for i in range(300) for j in range(i + 1, 300))
     for n in (100_000, 600_000, 1_000_000):  # a block is sent to each other block
         assert n / vectors._block_rows(n, 64) <= 31 and vectors._block_rows(n, 64) * 64 <= vectors.BLOCK_VALUES
+
+
+def test_embeddings_are_held_as_numbers(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from chronolith.operators import vectors
+
+    texts = pa.array([f"the fox {i} of {i % 7} 日本 " * 5 for i in range(4000)] + [None, ""])
+    tracemalloc.start()
+    made = vectors._embedded(texts, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * len(texts) * 64 * 8  # lists of Python numbers take four times as much
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts.to_pylist())], "id int, t string").coalesce(1)
+    got = [r[0] for r in df.select("id", vectors.hash_embedding(F.col("t")).alias("e")).orderBy("id").select("e").collect()]
+    assert got == made.to_pylist() and got[-2:] == [[0.0] * 64] * 2
